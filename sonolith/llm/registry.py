@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .media import op10_media_columns
 from .packing import op8_best_fit_packing
 from .token_counts import op2_token_counts
+from .simhash import op5_simhash_near_dedup
 from .url_filter import op1_url_filter
+from .warc import op9_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_token_counts, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op1_url_filter, op2_token_counts, op5_simhash_near_dedup, op8_best_fit_packing, op9_warc, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
