@@ -39,19 +39,9 @@ def digest(form: Column) -> Column:
     return F.lower(F.concat(*(F.lpad(F.hex(h), 16, "0") for h in wide)))
 
 
-def next_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, next: the text of the document with the next smaller id; after the last comes the first.
-
-    Documents are dealt by ranges of ids (null last), ordered within them; a range's last document takes the
-    first of the next range that has any. Only bounds (at most RANGES) are gathered, no texts.
-    """
-    each = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    steps = [(i + 1) / RANGES for i in range(RANGES - 1)]
-    bounds = sorted({b for b in each.agg(F.percentile_approx("doc_id", steps, 20_000)).first()[0] or () if b is not None}, reverse=True)
-    ranged = each.withColumn("range", F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(_position(F.col("doc_id"), bounds)))
-    order = Window.partitionBy("range").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text"))
-    placed = ranged.withColumn("next", F.lead("text").over(order)).withColumn("first", F.row_number().over(order) == 1).withColumn("last", F.lead(F.lit(1)).over(order).isNull())
-    return placed, bounds
+def mark(form: Column) -> Column:
+    """A third hash, to name a form whose fingerprint belongs to another one's bytes."""
+    return F.lower(F.lpad(F.hex(F.xxhash64(F.lit(0xC0FFEE), form)), 16, "0"))
 
 
 def _position(value: Column, bounds: list[int]) -> Column:
@@ -64,3 +54,57 @@ def _position(value: Column, bounds: list[int]) -> Column:
         return F.when(value >= F.lit(bounds[mid]), among(lo, mid)).otherwise(among(mid + 1, hi))
 
     return among(0, len(bounds))
+
+
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int = RANGES) -> DataFrame:
+    """doc_id, text, next_text: that of the document with the next smaller id; after the last comes the first.
+
+    Documents are dealt by ranges of ids and ordered within them; a range's last document takes the first of
+    the next range that has one. The driver sees bounds and numbers of ranges, ``ranges`` of them at most.
+    """
+    each = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    found = each.agg(F.percentile_approx("doc_id", [(i + 1) / ranges for i in range(ranges - 1)], 20_000)).first()[0]
+    bounds = sorted({b for b in found or () if b is not None}, reverse=True)
+    ranged = each.withColumn("range", F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(_position(F.col("doc_id"), bounds)))
+    # the largest id of each range, then the first text of that id: as many rows as ranges, but for repeated ids
+    heads = ranged.groupBy("range").agg(F.max("doc_id").alias("head"))
+    filled = sorted(r.range for r in heads.select("range").collect())
+    follows = each.sparkSession.createDataFrame([(a, b) for a, b in zip(filled, filled[1:] + filled[:1], strict=True)], "range int, following int")
+    firsts = ranged.join(F.broadcast(heads), "range").where("doc_id <=> head").groupBy("range").agg(F.min("text").alias("following_text"))
+    firsts = firsts.withColumnRenamed("range", "following").join(follows, "following").drop("following")
+    order = Window.partitionBy("range").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text"))
+    led = ranged.withColumn("led", F.lead("text").over(order))
+    return led.join(firsts, "range", "left").select("doc_id", "text", F.coalesce("led", "following_text").alias("next_text"))
+
+
+def clashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """fingerprint, mark of forms that share a bucket with other bytes: the form of the bucket's smallest id is the one compared with."""
+    hashed = docs.select(F.col(id_col).cast("long").alias("doc_id"), canonical(text_of(text_col)).alias("form")).select("doc_id", digest(F.col("form")).alias("fingerprint"), mark(F.col("form")).alias("mark"), "form")
+    buckets = hashed.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    members = hashed.join(buckets, "fingerprint")
+    ahead = members.where("doc_id <=> least").groupBy("fingerprint").agg(F.min(F.struct(F.lit(0), "mark", "form")).alias("ahead"))
+    return members.join(ahead, "fingerprint").where(F.col("form") != F.col("ahead.form")).select("fingerprint", "mark").distinct()
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint: equal for equal canonical bytes and for nothing else."""
+    each = docs.select(F.col(id_col).cast("long").alias("doc_id"), canonical(text_of(text_col)).alias("form")).select("doc_id", digest(F.col("form")).alias("fingerprint"), mark(F.col("form")).alias("mark"))
+    return settled(each, clashes(docs, id_col, text_col)).drop("mark")
+
+
+def settled(each: DataFrame, clash: DataFrame) -> DataFrame:
+    """Forms whose bytes differ from their bucket's get their mark at the end of the fingerprint."""
+    named = clash.withColumn("apart", F.lit(True))
+    return each.join(named, ["fingerprint", "mark"], "left").withColumn("fingerprint", F.when(F.col("apart"), F.concat_ws("-", "fingerprint", "mark")).otherwise(F.col("fingerprint"))).drop("apart")
+
+
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    count = F.char_length("text")
+    cut = F.floor(count / 3).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), count - cut), F.substring("next_text", F.lit(1), cut))
+    forms = with_next(docs).select("doc_id", count.cast("long").alias("n_chars"), canonical(F.col("text")).alias("form"), canonical(F.col("next_text")).alias("next_form"), edited.alias("edited"))
+    forms = forms.withColumn("edited_form", canonical(F.col("edited")))
+    alike = lambda other: F.when(F.col("form") == F.col(other), 1.0).otherwise(0.0)
+    each = stored(forms.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest(F.col("form")).alias("fingerprint"), mark(F.col("form")).alias("mark"), digest(F.col("edited_form")).alias("edited_fingerprint"), alike("edited_form").alias("near_edited"), alike("next_form").alias("near_next")), "fingerprints")
+    return settled(each, clashes(docs)).drop("mark")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .exact_digest import op7_document_fingerprints
 from .media import op10_media_columns
 from .packing import op8_best_fit_packing
 from .token_counts import op2_token_counts
@@ -15,7 +16,7 @@ from .warc import op9_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_token_counts, op5_simhash_near_dedup, op8_best_fit_packing, op9_warc, op10_media_columns)}
+    return {f.__name__: f for f in (op1_url_filter, op2_token_counts, op5_simhash_near_dedup, op7_document_fingerprints, op8_best_fit_packing, op9_warc, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
