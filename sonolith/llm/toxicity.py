@@ -264,6 +264,24 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return scored.withColumn("toxic", F.col("score") >= limit)
 
 
+def _rejects(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        for batch in batches:
+            langs = batch.column("lang").to_pylist()
+            texts = batch.column("text")
+            scores = score_of(model, [margin(model, hashed(t.as_py() or "", known)) for t in texts])
+            limit = np.array([model.thresholds.get(x or "", model.threshold) for x in langs])
+            yield batch.filter(pa.array(scores < limit))
+
+    return keep
+
+
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of documents (text, lang and any other columns) that the classifier doesn't reject; texts pass once, without a join."""
+    return docs.mapInArrow(_rejects(model), docs.schema)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
