@@ -11,6 +11,7 @@ from .media import op10_media_columns
 from .packing import op8_best_fit_packing
 from .suffix_dedup import op3_suffix_dedup
 from .token_counts import op2_token_counts
+from .sentencepiece_fst import op4_sentencepiece
 from .simhash import op5_simhash_near_dedup
 from .toxicity import op6_toxicity
 from .url_filter import op1_url_filter
@@ -18,7 +19,7 @@ from .warc import op9_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_token_counts, op3_suffix_dedup, op5_simhash_near_dedup, op6_toxicity, op7_document_fingerprints, op8_best_fit_packing, op9_warc, op10_media_columns)}
+    return {f.__name__: f for f in (op1_url_filter, op2_token_counts, op3_suffix_dedup, op4_sentencepiece, op5_simhash_near_dedup, op6_toxicity, op7_document_fingerprints, op8_best_fit_packing, op9_warc, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
