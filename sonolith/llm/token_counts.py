@@ -1,12 +1,15 @@
 """Token counts without token ids.
 
-1. Texts are cut into pre-tokens once. Each batch of documents becomes a block: its
-   distinct pre-tokens, and for each document the positions in that list with their
-   frequencies. The blocks are written to shared storage.
-2. The library counts the pieces of every distinct pre-token of the corpus once.
-3. Those counts are joined to the blocks' pre-tokens. A pre-token occurs once a block,
-   however many documents hold it, so common words make no hot key.
-4. A document's count is the sum of frequency times pieces.
+1. Texts are cut into pre-tokens once. Each batch of documents becomes a block. Pre-tokens
+   that the vocabulary file itself lists as whole words (a table bounded by that file, made
+   once on the driver) are summed at once; of the others a block holds the distinct ones, and
+   for each document their positions in that list with their frequencies. The blocks are
+   written to shared storage.
+2. The blocks' pre-tokens are sorted, and the library counts the pieces of every distinct
+   pre-token of the corpus once, where its run begins. A pre-token occurs once a block,
+   however many documents hold it, so there are no hot keys.
+3. Those counts are joined to their blocks, and a document's count is the sum of frequency
+   times pieces.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); a null id is kept;
 repeated rows are counted each; an empty table gives an empty result; other columns
@@ -26,45 +29,60 @@ from pyspark.sql import functions as F
 from .bpe import PreTokenizer
 from .common import stored, text_of
 
-_BLOCKS = "block long, doc_id array<long>, n_bytes array<long>, start array<int>, piece array<int>, freq array<int>, words array<string>"
+_BLOCKS = "block long, doc_id array<long>, n_bytes array<long>, base array<long>, start array<int>, piece array<int>, freq array<int>, words array<string>"
 #: Documents of one block hold this many characters at most, but for a single longer one.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 24_000_000
 
 
-def _blocks(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _blocks(path: str, listed: dict[str, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         pre, part, n = PreTokenizer(path), TaskContext.get().partitionId(), 0
-        schema = pa.schema([("block", pa.int64()), *((c, pa.list_(t)) for c, t in (("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("start", pa.int32()), ("piece", pa.int32()), ("freq", pa.int32()), ("words", pa.string())))])
+        schema = pa.schema([("block", pa.int64()), *((c, pa.list_(t)) for c, t in (("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("base", pa.int64()), ("start", pa.int32()), ("piece", pa.int32()), ("freq", pa.int32()), ("words", pa.string())))])
         for batch in batches:
             at = 0
             while at < batch.num_rows:
                 place: dict[str, int] = {}
-                ids, sizes, start, piece, freq, chars = [], [], [0], [], [], 0
+                ids, sizes, base, start, piece, freq, chars = [], [], [], [0], [], [], 0
                 while at < batch.num_rows and (not ids or chars < BLOCK_CHARS):
                     text = batch.column(1)[at].as_py()
                     counted = Counter(pre(text))
-                    piece.append(np.fromiter((place.setdefault(w, len(place)) for w in counted), np.int32, len(counted)))
-                    freq.append(np.fromiter(counted.values(), np.int32, len(counted)))
+                    base.append(sum([n * listed[w] for w, n in counted.items() if w in listed]))
+                    others = [w for w in counted if w not in listed]
+                    piece.append(np.fromiter((place.setdefault(w, len(place)) for w in others), np.int32, len(others)))
+                    freq.append(np.fromiter((counted[w] for w in others), np.int32, len(others)))
                     ids.append(batch.column(0)[at].as_py())
                     sizes.append(len(text.encode()))
-                    start.append(start[-1] + len(counted))
+                    start.append(start[-1] + len(others))
                     chars += len(text)
                     at += 1
-                row = [[(part << 32) + n], [ids], [sizes], [start], [np.concatenate(piece)], [np.concatenate(freq)], [list(place)]]
+                row = [[(part << 32) + n], [ids], [sizes], [base], [start], [np.concatenate(piece)], [np.concatenate(freq)], [list(place)]]
                 n += 1
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, schema.types, strict=True)], schema=schema)
 
     return cut
 
 
+def whole_words(path: str) -> dict[str, int]:
+    """Pieces of the pre-tokens that the vocabulary lists as whole words: as many as the file has at most."""
+    pre = PreTokenizer(path)
+    words = pre.listed()
+    return {w: len(ids) for w, ids in zip(words, pre.encode(words), strict=True)}
+
+
 def _pieces(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows in the order of their words: block, pos and the word's pieces."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pre = PreTokenizer(path)
+        pre, word, pieces = PreTokenizer(path), None, 0
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_pydict({"word": batch.column(0), "pieces": pa.array([len(i) for i in pre.encode(words)], pa.int32())})
+            out = []
+            for w in batch.column(0).to_pylist():
+                if w != word:
+                    word, pieces = w, len(pre.encode([w])[0])
+                out.append(pieces)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(out, pa.int32())], names=["block", "pos", "pieces"])
 
     return count
 
@@ -72,24 +90,23 @@ def _pieces(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in range(batch.num_rows):
-            ids, sizes, start, piece, freq, counts = (batch.column(c)[r].values for c in range(6))
+            ids, sizes, base, start, piece, freq, counts = (batch.column(c)[r].values for c in range(7))
             of = np.zeros(len(counts) or 1, np.int64)
             of[counts.field(0).to_numpy(zero_copy_only=False)] = counts.field(1).to_numpy(zero_copy_only=False)
             total = np.concatenate([[0], np.cumsum(of[piece.to_numpy()] * freq.to_numpy())])
             at = start.to_numpy()
-            yield pa.RecordBatch.from_pydict({"doc_id": ids, "n_bytes": sizes, "n_tokens": pa.array(total[at[1:]] - total[at[:-1]], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"doc_id": ids, "n_bytes": sizes, "n_tokens": pa.array(base.to_numpy() + total[at[1:]] - total[at[:-1]], pa.int64())})
 
 
 def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens of every document. ``vocabulary``: path of a word-end BPE file, as every worker sees it."""
     cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    blocks = stored(cut.mapInArrow(_blocks(vocabulary), _BLOCKS), "token-blocks")
-    words = blocks.select("block", F.posexplode("words").alias("pos", "word"))
-    pieces = words.select("word").distinct().mapInArrow(_pieces(vocabulary), "word string, pieces int")
-    counted = words.join(pieces, "word").groupBy("block").agg(F.collect_list(F.struct("pos", "pieces")).alias("counts"))
+    blocks = stored(cut.mapInArrow(_blocks(vocabulary, whole_words(vocabulary)), _BLOCKS), "token-blocks")
+    words = blocks.select(F.posexplode("words").alias("pos", "word"), "block").select("word", "block", "pos").repartition("word").sortWithinPartitions("word")
+    counted = words.mapInArrow(_pieces(vocabulary), "block long, pos int, pieces int").groupBy("block").agg(F.collect_list(F.struct("pos", "pieces")).alias("counts"))
     joined = blocks.drop("words").join(counted, "block", "left")
     counts = F.coalesce("counts", F.array().cast("array<struct<pos:int,pieces:int>>"))
-    return joined.select("doc_id", "n_bytes", "start", "piece", "freq", counts.alias("counts")).mapInArrow(_sums, "doc_id long, n_bytes long, n_tokens long")
+    return joined.select("doc_id", "n_bytes", "base", "start", "piece", "freq", counts.alias("counts")).mapInArrow(_sums, "doc_id long, n_bytes long, n_tokens long")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
