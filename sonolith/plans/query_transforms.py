@@ -31,73 +31,72 @@ def _u(seed):
     return f", cast(cast('0x' || md5('{seed}:' || vec_id)[1:13] as bigint) as double) / 4503599627370496.0::double as u"
 
 
-X = F.col("waveform")
 _PEAK = "list_max([abs(v) for v in x])"
 
 
 @query(_sql("[v * pow(10.0::double, (u * 15 - 12) / 20) / greatest(list_max([abs(q) for q in x]) * pow(10.0::double, (u * 15 - 12) / 20), 1.0) for v in x]", _u(1)))
 def xform_gain(spark, d):
-    return _some(spark, d, t.gain(X, uniform(F.col("vec_id"), 1) * 15 - 12))
+    return _some(spark, d, t.gain(F.col("waveform"), uniform(F.col("vec_id"), 1) * 15 - 12))
 
 
 @query(_sql("[v * least(1.0::double / list_max([abs(q) for q in x]), 31.622776601683793::double) for v in x]"))
 def xform_normalize(spark, d):
-    return _some(spark, d, t.normalise(X))
+    return _some(spark, d, t.normalise(F.col("waveform")))
 
 
 @query(_sql("[x[i] - 0.97::double * (case when i > 1 then x[i - 1] else 0 end) for i in range(1, len(x) + 1)]"))
 def xform_preemphasis(spark, d):
-    return _some(spark, d, t.pre_emphasis(X))
+    return _some(spark, d, t.pre_emphasis(F.col("waveform")))
 
 
 @query(_sql("[(x[i] - (case when i > 1 then x[i - 1] else 0 end)) / 2 for i in range(1, len(x) + 1)]"))
 def xform_derivative(spark, d):
-    return _some(spark, d, t.derivative(X))
+    return _some(spark, d, t.derivative(F.col("waveform")))
 
 
 @query(_sql("list_reverse(x)"))
 def xform_reverse(spark, d):
-    return _some(spark, d, t.reverse(X))
+    return _some(spark, d, t.reverse(F.col("waveform")))
 
 
 @query(_sql("x[cast(floor(u * 25) as bigint) + 1 : cast(floor(u * 25) as bigint) + 40]", _u(2)))
 def xform_crop(spark, d):
-    return _some(spark, d, t.crop(X, 40, uniform(F.col("vec_id"), 2)))
+    return _some(spark, d, t.crop(F.col("waveform"), 40, uniform(F.col("vec_id"), 2)))
 
 
 @query(_sql("[greatest(least(v, 0.1::double), -0.1::double) for v in x]"))
 def xform_clip(spark, d):
-    return _some(spark, d, t.clip(X, -0.1, 0.1))
+    return _some(spark, d, t.clip(F.col("waveform"), -0.1, 0.1))
 
 
 @query(_sql("[greatest(least(v, list_sort(x)[len(x) - 3]), list_sort(x)[4]) for v in x]"))
 def xform_clip_share(spark, d):
-    return _some(spark, d, t.clip_share(X, 0.1))
+    return _some(spark, d, t.clip_share(F.col("waveform"), 0.1))
 
 
 @query(_sql("[tanh(v * 4) for v in x]"))
 def xform_tanh(spark, d):
-    return _some(spark, d, t.tanh(X))
+    return _some(spark, d, t.tanh(F.col("waveform")))
 
 
 @query(_sql("[-v for v in x]"))
 def xform_polarity(spark, d):
-    return _some(spark, d, t.polarity(X))
+    return _some(spark, d, t.polarity(F.col("waveform")))
 
 
 @query(_sql("case when u < 0.1::double then [0.0::double for v in x] else x end", _u(3)))
 def xform_mute(spark, d):
-    return _some(spark, d, t.maybe(F.transform(X, lambda v: v.cast("double")), t.mute(X), F.col("vec_id"), 0.1, 3))
+    return _some(spark, d, t.maybe(F.transform(F.col("waveform"), lambda v: v.cast("double")), t.mute(F.col("waveform")), F.col("vec_id"), 0.1, 3))
 
 
 @query(_sql("[case when i - 1 >= vec_id % 40 and i - 1 < vec_id % 40 + 9 then 0 else x[i] end for i in range(1, len(x) + 1)]"))
 def xform_timemask(spark, d):
-    return _some(spark, d, t.time_mask(X, (F.col("vec_id") % 40).cast("int"), 9))
+    return _some(spark, d, t.time_mask(F.col("waveform"), (F.col("vec_id") % 40).cast("int"), 9))
 
 
 @query(_sql("list_concat(x[65 - (vec_id % 64) : 64], x[1 : 64 - (vec_id % 64)])"))
 def xform_shift(spark, d):
-    return _some(spark, d, t.shift(X, (F.col("vec_id") % 64).cast("int")))
+    return _some(spark, d, t.shift(F.col("waveform"), (F.col("vec_id") % 64).cast("int")))
 
 
 _WET = "[x[i] + 0.5::double * (0.75::double * (case when i > 3 then x[i - 3] else 0 end) + 0.25::double * (case when i > 4 then x[i - 4] else 0 end)) for i in range(1, 65)]"
@@ -105,32 +104,32 @@ _WET = "[x[i] + 0.5::double * (0.75::double * (case when i > 3 then x[i - 3] els
 
 @query(_sql(f"[v - list_sum({_WET}) / 64 for v in {_WET}]"))
 def xform_delay(spark, d):
-    return _some(spark, d, t.delay(X, F.lit(3.25), F.lit(0.5)))
+    return _some(spark, d, t.delay(F.col("waveform"), F.lit(3.25), F.lit(0.5)))
 
 
 @query(_sql("[(round(v * 16) + 0.0::double) / 16 for v in x]"))
 def xform_bitcrush(spark, d):
-    return _some(spark, d, t.bitcrush(X))
+    return _some(spark, d, t.bitcrush(F.col("waveform")))
 
 
 @query(_sql("[x[i - (i - 1) % 3] for i in range(1, len(x) + 1)]"))
 def xform_aliasing(spark, d):
-    return _some(spark, d, t.aliasing(X, 3))
+    return _some(spark, d, t.aliasing(F.col("waveform"), 3))
 
 
 @query(_sql("[x[i] * pow(10.0::double, (-6 + 12 * (i - 1) / 63.0::double) / 20) for i in range(1, len(x) + 1)]"))
 def xform_gain_transition(spark, d):
-    return _some(spark, d, t.gain_transition(X, F.lit(-6.0), F.lit(6.0)))
+    return _some(spark, d, t.gain_transition(F.col("waveform"), F.lit(-6.0), F.lit(6.0)))
 
 
 @query(_sql("list_concat(x[1:10], x[11:18], x[11:18], x[11:18], x[19:64])[1:64]"))
 def xform_repeat_part(spark, d):
-    return _some(spark, d, t.repeat_part(X, F.lit(10), 8, 2))
+    return _some(spark, d, t.repeat_part(F.col("waveform"), F.lit(10), 8, 2))
 
 
 @query(_sql("list_concat(x, [0.0::double for i in range(16)])"))
 def xform_adjust_duration(spark, d):
-    return _some(spark, d, t.adjust_duration(X, 80))
+    return _some(spark, d, t.adjust_duration(F.col("waveform"), 80))
 
 
 @query("select vec_id, list_position([case when i = label then 1 else 0 end for i in range(10)], 1)::bigint - 1 as hot, 10::bigint as n from embeddings")
@@ -142,63 +141,63 @@ def one_hot(spark, d):
 @query()
 def xform_noise(spark, d):
     """Noise of a given deviation: what it adds, by its mean and deviation."""
-    added = F.zip_with(t.add_noise(X, F.col("vec_id"), 11, 0.01), X, lambda a, b: a - b.cast("double"))
+    added = F.zip_with(t.add_noise(F.col("waveform"), F.col("vec_id"), 11, 0.01), F.col("waveform"), lambda a, b: a - b.cast("double"))
     return signals(spark, d).select("vec_id", F.explode(added).alias("e")).groupBy("vec_id").agg(F.round(F.avg("e"), 6).alias("mean"), F.round(F.stddev("e"), 6).alias("std"))
 
 
 @query()
 def xform_integrator(spark, d):
-    return _some(spark, d, signal.integrator(SR)(X))
+    return _some(spark, d, signal.integrator(SR)(F.col("waveform")))
 
 
 @query()
 def xform_biquad(spark, d):
-    return _some(spark, d, signal.filtered("lowpass", SR, 8)(X))
+    return _some(spark, d, signal.filtered("lowpass", SR, 8)(F.col("waveform")))
 
 
 @query()
 def xform_equaliser(spark, d):
-    return _some(spark, d, signal.equaliser(SR, [("lowshelf", 4, 0.7, 3), ("peak", 10, 1, -6), ("highshelf", 20, 0.7, 2)])(X))
+    return _some(spark, d, signal.equaliser(SR, [("lowshelf", 4, 0.7, 3), ("peak", 10, 1, -6), ("highshelf", 20, 0.7, 2)])(F.col("waveform")))
 
 
 @query()
 def xform_freqmask(spark, d):
-    return _some(spark, d, signal.mask_frequencies(4, 3, 16)(X))
+    return _some(spark, d, signal.mask_frequencies(4, 3, 16)(F.col("waveform")))
 
 
 @query()
 def xform_resample(spark, d):
-    return _some(spark, d, signal.resample(3, 2)(X))
+    return _some(spark, d, signal.resample(3, 2)(F.col("waveform")))
 
 
 @query()
 def xform_stretch(spark, d):
-    return _some(spark, d, signal.stretch(6, 5)(X))
+    return _some(spark, d, signal.stretch(6, 5)(F.col("waveform")))
 
 
 @query()
 def xform_compress(spark, d):
-    return _some(spark, d, signal.compress(SR)(X))
+    return _some(spark, d, signal.compress(SR)(F.col("waveform")))
 
 
 @query()
 def xform_impulse_response(spark, d):
-    return _some(spark, d, signal.convolve([1.0, 0.5, 0.25])(X))
+    return _some(spark, d, signal.convolve([1.0, 0.5, 0.25])(F.col("waveform")))
 
 
 @query()
 def xform_coloured_noise(spark, d):
-    return _some(spark, d, signal.add_coloured_noise(1.0, 0.01)(X))
+    return _some(spark, d, signal.add_coloured_noise(1.0, 0.01)(F.col("waveform")))
 
 
 @query()
 def loudness_gated(spark, d):
-    return signals(spark, d).select("vec_id", F.round(signal.loudness(SR * 10)(X), 4).alias("lufs"))
+    return signals(spark, d).select("vec_id", F.round(signal.loudness(SR * 10)(F.col("waveform")), 4).alias("lufs"))
 
 
 @query()
 def loudness_match(spark, d):
-    return _some(spark, d, signal.match_loudness(SR * 10, -23.0)(X))
+    return _some(spark, d, signal.match_loudness(SR * 10, -23.0)(F.col("waveform")))
 
 
 def _shape(spark, d, m):
@@ -208,22 +207,22 @@ def _shape(spark, d, m):
 
 @query()
 def mel(spark, d):
-    return _shape(spark, d, signal.mel(SR, n_fft=16, hop=8, n_mels=5)(X))
+    return _shape(spark, d, signal.mel(SR, n_fft=16, hop=8, n_mels=5)(F.col("waveform")))
 
 
 @query()
 def cqt(spark, d):
-    return _shape(spark, d, signal.cqt(SR, hop=16, fmin=4.0, n_bins=12, per_octave=6)(X))
+    return _shape(spark, d, signal.cqt(SR, hop=16, fmin=4.0, n_bins=12, per_octave=6)(F.col("waveform")))
 
 
 @query()
 def f0_yin(spark, d):
-    return signals(spark, d).select("vec_id", F.posexplode(signal.f0(SR, fmin=4.0, fmax=20.0, frame=32, hop=16)(X)).alias("frame", "hz")).select("vec_id", F.col("frame").cast("long").alias("frame"), F.round("hz", 4).alias("hz"))
+    return signals(spark, d).select("vec_id", F.posexplode(signal.f0(SR, fmin=4.0, fmax=20.0, frame=32, hop=16)(F.col("waveform"))).alias("frame", "hz")).select("vec_id", F.col("frame").cast("long").alias("frame"), F.round("hz", 4).alias("hz"))
 
 
 @query()
 def embedding_views(spark, d):
-    views = signal.views(X, signal.embedding(17, 4, 16), [t.polarity, t.reverse])
+    views = signal.views(F.col("waveform"), signal.embedding(17, 4, 16), [t.polarity, t.reverse])
     return signals(spark, d).select("vec_id", views.alias("v")).select("vec_id", F.size("v").cast("long").alias("views"), F.round(F.col("v")[0][0][0], 5).alias("first"), F.round(F.col("v")[1][0][0], 5).alias("second"))
 
 
