@@ -4,8 +4,9 @@ Canonical form: Unicode NFKC, case folding, runs of white space as one space, no
 ends. Normalising and folding are ICU's, which Spark ships, by the SQL function ``reflect``;
 texts of ASCII characters alone, which both leave to ``lower``, do not call it. The
 fingerprint is 128 bits wide: xxhash64 of the form under two seeds. Equal fingerprints are
-one group only if the forms' bytes are equal: members of a bucket of two or more are
-compared with its representative by a join, which a hot bucket does not gather in one task.
+one group only if the forms' bytes are equal: forms in a bucket of two documents or more are
+grouped by their bytes (within partitions first, so a hot form moves once a partition), and
+where a bucket has several, all but one get a third hash at the end of the fingerprint.
 
 Defined results: a null text is an empty one, whose form is empty; a null id is kept and
 comes after all others; repeated rows are each a document (in the order of their texts for
@@ -22,6 +23,8 @@ from .common import stored, text_of
 
 #: The order of documents is cut into this many ranges, by approximate quantiles of the ids.
 RANGES = 512
+#: Bits of the map that spares documents alone in their bucket a shuffle: half a megabyte.
+SLOTS = 1 << 22
 
 
 def canonical(text: Column) -> Column:
@@ -77,19 +80,35 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     return led.join(firsts, "range", "left").select("doc_id", "text", F.coalesce("led", "following_text").alias("next_text"))
 
 
-def clashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """fingerprint, mark of forms that share a bucket with other bytes: the form of the bucket's smallest id is the one compared with."""
-    hashed = docs.select(F.col(id_col).cast("long").alias("doc_id"), canonical(text_of(text_col)).alias("form")).select("doc_id", digest(F.col("form")).alias("fingerprint"), mark(F.col("form")).alias("mark"), "form")
-    buckets = hashed.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    members = hashed.join(buckets, "fingerprint")
-    ahead = members.where("doc_id <=> least").groupBy("fingerprint").agg(F.min(F.struct(F.lit(0), "mark", "form")).alias("ahead"))
-    return members.join(ahead, "fingerprint").where(F.col("form") != F.col("ahead.form")).select("fingerprint", "mark").distinct()
+def _shared_slots(each: DataFrame) -> DataFrame:
+    """One row, ``bits``: SLOTS bits as longs, those set that hashes of fingerprints with two documents or more fall on."""
+    slot = F.pmod(F.xxhash64("fingerprint"), F.lit(SLOTS))
+    many = each.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select(F.shiftright(slot, 6).alias("id"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
+    words = each.sparkSession.range(SLOTS // 64).join(many.groupBy("id").agg(F.bit_or("b").alias("b")), "id", "left")
+    return words.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("b", F.lit(0).cast("long")).alias("b")))).alias("w")).select(F.col("w.b").alias("bits"))
+
+
+def clashes(docs: DataFrame, each: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """fingerprint, mark of forms that share a bucket with other bytes; the form of the least mark in the bucket keeps the plain fingerprint.
+
+    ``each`` has the fingerprints of docs, written. Documents alone in their bucket mostly fall to a bitmap of fixed
+    size before their forms move; the others' forms are grouped by their bytes, copies within a partition first.
+    """
+    bits = stored(_shared_slots(each), "shared-slots").scalar()
+    hashed = docs.select(canonical(text_of(text_col)).alias("form")).select(digest(F.col("form")).alias("fingerprint"), "form")
+    slot = F.pmod(F.xxhash64("fingerprint"), F.lit(SLOTS))
+    word = F.element_at(bits, F.shiftright(slot, 6).cast("int") + 1)
+    shared = F.call_function("shiftrightunsigned", word, slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    forms = hashed.where(shared).groupBy("fingerprint", "form").agg(F.lit(1).alias("one")).select("fingerprint", mark(F.col("form")).alias("mark"))
+    mixed = forms.groupBy("fingerprint").agg(F.min("mark").alias("plain"), F.count("*").alias("n")).where("n > 1")
+    return forms.join(mixed, "fingerprint").where("mark <> plain").select("fingerprint", "mark").distinct()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint: equal for equal canonical bytes and for nothing else."""
     each = docs.select(F.col(id_col).cast("long").alias("doc_id"), canonical(text_of(text_col)).alias("form")).select("doc_id", digest(F.col("form")).alias("fingerprint"), mark(F.col("form")).alias("mark"))
-    return settled(each, clashes(docs, id_col, text_col)).drop("mark")
+    each = stored(each, "fingerprints")
+    return settled(each, clashes(docs, each, id_col, text_col)).drop("mark")
 
 
 def settled(each: DataFrame, clash: DataFrame) -> DataFrame:
@@ -107,4 +126,4 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = forms.withColumn("edited_form", canonical(F.col("edited")))
     alike = lambda other: F.when(F.col("form") == F.col(other), 1.0).otherwise(0.0)
     each = stored(forms.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest(F.col("form")).alias("fingerprint"), mark(F.col("form")).alias("mark"), digest(F.col("edited_form")).alias("edited_fingerprint"), alike("edited_form").alias("near_edited"), alike("next_form").alias("near_next")), "fingerprints")
-    return settled(each, clashes(docs)).drop("mark")
+    return settled(each, clashes(docs, each)).drop("mark")
