@@ -206,9 +206,18 @@ def _repeated(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.string(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "numbers", "hot"])
 
 
-_CONTEXTS = "bucket long, chunk string, name array<long>, context array<binary>, doc array<long>, of array<int>, at array<int>"
-_CONTEXT_TYPES = (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
-_CONTEXT_NAMES = ["bucket", "chunk", "name", "context", "doc", "of", "at"]
+_CONTEXTS = "bucket long, chunk string, name array<long>, size array<int>, contexts binary, doc array<long>, of array<int>, at array<int>"
+_CONTEXT_TYPES = (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+_CONTEXT_NAMES = ["bucket", "chunk", "name", "size", "contexts", "doc", "of", "at"]
+
+
+def _parted(row: dict) -> list[bytes]:
+    """The contexts of a row, which go together and compressed."""
+    if not row["size"]:
+        return []
+    whole = zstandard.ZstdDecompressor().decompress(row["contexts"])
+    ends = np.cumsum(row["size"]).tolist()
+    return [whole[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def _contexts(length: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -218,6 +227,7 @@ def _contexts(length: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]],
     """
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=6)
         for batch in batches:
             for row in batch.to_pylist():
                 data, start = _read_chunk(row["chunk"]), np.array(row["start"])
@@ -252,7 +262,7 @@ def _contexts(length: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]],
                         places.setdefault(key, []).append(a)
                         names[key] = n
                 if covered:
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((zlib.crc32(row["chunk"].encode()) % buckets, row["chunk"], [], [], [], [], covered), _CONTEXT_TYPES, strict=True)], names=_CONTEXT_NAMES)
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((zlib.crc32(row["chunk"].encode()) % buckets, row["chunk"], [], [], b"", [], [], covered), _CONTEXT_TYPES, strict=True)], names=_CONTEXT_NAMES)
                 distinct = list(places)
                 own = np.fromiter(names.values(), np.uint64, len(names))
                 bucket = (own >> np.uint64(16)) % np.uint64(buckets)
@@ -261,7 +271,7 @@ def _contexts(length: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]],
                 for b, i, j in _split(bucket[order]):
                     some = [distinct[k] for k in order[i:j]]
                     of = np.repeat(np.arange(len(some)), [len(places[k]) for k in some])
-                    values = (b, row["chunk"], own[order[i:j]].view(np.int64), some, [least[k] for k in some], of, [a for k in some for a in places[k]])
+                    values = (b, row["chunk"], own[order[i:j]].view(np.int64), [len(c) for c in some], packer.compress(b"".join(some)), [least[k] for k in some], of, [a for k in some for a in places[k]])
                     for column, value in zip(rows, values, strict=True):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, _CONTEXT_TYPES, strict=True)], names=_CONTEXT_NAMES)
@@ -311,6 +321,7 @@ def _covered(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             least: dict[bytes, int] = {}
             variants: dict[int, set] = {}
             for r in rows:
+                r["context"] = _parted(r)
                 for n, c, d in zip(r["name"], r["context"], r["doc"], strict=True):
                     if d < least.get(c, _NO_ID + 1):
                         least[c] = d
