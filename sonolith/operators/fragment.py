@@ -61,8 +61,8 @@ def louder(rows: DataFrame, threshold: float | None, level, signal: str = "wavef
 
 
 PRESETS = {
-    "rave": Windows(262144, hop=131072, pad="zero", least=32000),
-    "after": Windows(524288, hop=262144, pad="discard"),
+    "half_overlap_padded": Windows(262144, hop=131072, pad="zero", least=32000),
+    "half_overlap_whole": Windows(524288, hop=262144, pad="discard"),
 }
 #: Loudness thresholds (LUFS) that go with the presets.
-PRESET_LOUDNESS = {"after": -60.0}
+PRESET_LOUDNESS = {"half_overlap_whole": -60.0}

@@ -48,7 +48,7 @@ def test_window_counts(spark, n, pad):
 
 def test_window_options():
     assert fragment.Windows(1.0, hop=0.5).samples() == (44100, 22050, 44100)
-    assert fragment.PRESETS["rave"].samples() == (262144, 131072, 32000)
+    assert fragment.PRESETS["half_overlap_padded"].samples() == (262144, 131072, 32000)
     for bad in (dict(hop=2, overlap=0.5), dict(overlap=1.0), dict(pad="none"), dict(hop=0)):
         with pytest.raises(ValueError):
             fragment.Windows(8, **bad).samples()
