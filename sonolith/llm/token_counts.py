@@ -23,15 +23,29 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import PreTokenizer
 from .common import stored, text_of
 
-_BLOCKS = "block long, doc_id array<long>, n_bytes array<long>, base array<long>, start array<int>, piece array<int>, freq array<int>, words array<string>"
+_BLOCKS = "block long, doc_id array<long>, n_bytes array<long>, base array<long>, start array<int>, entries binary, words array<string>"
 #: Documents of one block hold this many characters at most, but for a single longer one.
 BLOCK_CHARS = 24_000_000
+#: Counted pre-tokens that are put together before they go to their blocks.
+HELD = 1_000_000
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of small numbers, byte by byte of equal weight, compressed."""
+    stacked = np.stack([c.astype("<u4") for c in columns])
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(stacked.reshape(-1).view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpacked(data: bytes, columns: int = 2) -> np.ndarray:
+    plain = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(plain.T).view("<u4").reshape(columns, -1).astype(np.int64)
 
 
 def _blocks(path: str, listed: dict[str, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -39,7 +53,7 @@ def _blocks(path: str, listed: dict[str, int]) -> Callable[[Iterator[pa.RecordBa
         from pyspark import TaskContext
 
         pre, part, n = PreTokenizer(path), TaskContext.get().partitionId(), 0
-        schema = pa.schema([("block", pa.int64()), *((c, pa.list_(t)) for c, t in (("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("base", pa.int64()), ("start", pa.int32()), ("piece", pa.int32()), ("freq", pa.int32()), ("words", pa.string())))])
+        schema = pa.schema([("block", pa.int64()), *((c, pa.list_(t)) for c, t in (("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("base", pa.int64()), ("start", pa.int32()))), ("entries", pa.binary()), ("words", pa.list_(pa.string()))])
         for batch in batches:
             at = 0
             while at < batch.num_rows:
@@ -50,14 +64,16 @@ def _blocks(path: str, listed: dict[str, int]) -> Callable[[Iterator[pa.RecordBa
                     counted = Counter(pre(text))
                     base.append(sum([n * listed[w] for w, n in counted.items() if w in listed]))
                     others = [w for w in counted if w not in listed]
-                    piece.append(np.fromiter((place.setdefault(w, len(place)) for w in others), np.int32, len(others)))
-                    freq.append(np.fromiter((counted[w] for w in others), np.int32, len(others)))
+                    at_place = np.fromiter((place.setdefault(w, len(place)) for w in others), np.int64, len(others))
+                    order = np.argsort(at_place)
+                    piece.append(np.diff(at_place[order], prepend=0))
+                    freq.append(np.fromiter((counted[w] for w in others), np.int64, len(others))[order])
                     ids.append(batch.column(0)[at].as_py())
                     sizes.append(len(text.encode()))
                     start.append(start[-1] + len(others))
                     chars += len(text)
                     at += 1
-                row = [[(part << 32) + n], [ids], [sizes], [base], [start], [np.concatenate(piece)], [np.concatenate(freq)], [list(place)]]
+                row = [[(part << 32) + n], [ids], [sizes], [base], [start], [packed(np.concatenate(piece), np.concatenate(freq))], [list(place)]]
                 n += 1
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, schema.types, strict=True)], schema=schema)
 
@@ -72,17 +88,33 @@ def whole_words(path: str) -> dict[str, int]:
 
 
 def _pieces(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of rows in the order of their words: block, pos and the word's pieces."""
+    """Of rows in the order of their words: by block, packed positions and pieces."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pre, word, pieces = PreTokenizer(path), None, 0
+        held, size = [], 0
+
+        def flushed() -> pa.RecordBatch:
+            block, pos, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.lexsort((pos, block))
+            block, pos, n = block[order], pos[order], n[order]
+            edge = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
+            rows = [(int(block[i]), packed(np.diff(pos[i:j], prepend=0), n[i:j])) for i, j in zip(edge[:-1], edge[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "counts"])
+
         for batch in batches:
             out = []
             for w in batch.column(0).to_pylist():
                 if w != word:
                     word, pieces = w, len(pre.encode([w])[0])
                 out.append(pieces)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(out, pa.int32())], names=["block", "pos", "pieces"])
+            held.append((batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.int64), np.array(out, np.int64)))
+            size += len(out)
+            if size > HELD:
+                yield flushed()
+                held, size = [], 0
+        if size:
+            yield flushed()
 
     return count
 
@@ -90,11 +122,17 @@ def _pieces(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in range(batch.num_rows):
-            ids, sizes, base, start, piece, freq, counts = (batch.column(c)[r].values for c in range(7))
-            of = np.zeros(len(counts) or 1, np.int64)
-            of[counts.field(0).to_numpy(zero_copy_only=False)] = counts.field(1).to_numpy(zero_copy_only=False)
-            total = np.concatenate([[0], np.cumsum(of[piece.to_numpy()] * freq.to_numpy())])
+            ids, sizes, base, start = (batch.column(c)[r].values for c in range(4))
             at = start.to_numpy()
+            delta, freq = unpacked(batch.column(4)[r].as_py())
+            # places add up within each document
+            whole = np.concatenate([[0], np.cumsum(delta)])
+            piece = whole[1:] - np.repeat(whole[at[:-1]], np.diff(at))
+            of = np.zeros(int(piece.max()) + 1 if len(piece) else 1, np.int64)
+            for part in batch.column(5)[r].as_py():
+                step, n = unpacked(part)
+                of[np.cumsum(step)] = n
+            total = np.concatenate([[0], np.cumsum(of[piece] * freq)])
             yield pa.RecordBatch.from_pydict({"doc_id": ids, "n_bytes": sizes, "n_tokens": pa.array(base.to_numpy() + total[at[1:]] - total[at[:-1]], pa.int64())})
 
 
@@ -103,10 +141,10 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     blocks = stored(cut.mapInArrow(_blocks(vocabulary, whole_words(vocabulary)), _BLOCKS), "token-blocks")
     words = blocks.select(F.posexplode("words").alias("pos", "word"), "block").select("word", "block", "pos").repartition("word").sortWithinPartitions("word")
-    counted = words.mapInArrow(_pieces(vocabulary), "block long, pos int, pieces int").groupBy("block").agg(F.collect_list(F.struct("pos", "pieces")).alias("counts"))
+    counted = words.mapInArrow(_pieces(vocabulary), "block long, counts binary").groupBy("block").agg(F.collect_list("counts").alias("counts"))
     joined = blocks.drop("words").join(counted, "block", "left")
-    counts = F.coalesce("counts", F.array().cast("array<struct<pos:int,pieces:int>>"))
-    return joined.select("doc_id", "n_bytes", "base", "start", "piece", "freq", counts.alias("counts")).mapInArrow(_sums, "doc_id long, n_bytes long, n_tokens long")
+    counts = F.coalesce("counts", F.array().cast("array<binary>"))
+    return joined.select("doc_id", "n_bytes", "base", "start", "entries", counts.alias("counts")).mapInArrow(_sums, "doc_id long, n_bytes long, n_tokens long")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
