@@ -9,7 +9,8 @@ full check follows.
 
 Wide fingerprints (several 64-bit words from one pass over the shingles) put chains at
 many places of a longer ring. There the limit lies above what the pigeonhole bound
-covers, so finding a pair is likely rather than certain: ``recall`` tells how likely.
+covers, so finding a pair is likely rather than certain: ``recall`` tells how likely. The
+pipeline, which needs every pair of a similarity, uses ``similar_sets`` instead.
 
 Candidates under one key are taken as pairs only for short runs. A longer run, such as a
 group of thousands of near copies, is searched breadth first: a member is compared with
@@ -75,13 +76,16 @@ def similar_ring(similarity: float = 0.8, shingle: int = 5, words: int = 16, cha
     return Ring(shingle, words, int(bits * share), tuple((at, chain // 2, chain - chain // 2) for at in range(0, bits, step)), 0)
 
 
-def recall(ring: Ring, similarity: float) -> float:
-    """The chance that a pair of this similarity shares a key, chains taken as independent."""
+def recall(ring: Ring, similarity: float, pairs: int = 2000) -> float:
+    """The share of simulated pairs of this similarity (bits differ independently) that share a key and are within the limit."""
+    bits = 64 * ring.words
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    miss = 1.0
-    for _, a, b in ring.keys:
-        miss *= 1 - (1 - p) ** a * ((1 - p) ** b + ring.flips * b * p * (1 - p) ** (b - 1))
-    return 1 - miss
+    differ = np.random.default_rng(1).random((pairs, bits)) < p
+    shared = np.zeros(pairs, bool)
+    for at, a, b in ring.keys:
+        first, second = (np.arange(at, at + a) % bits, np.arange(at + a, at + a + b) % bits)
+        shared |= ~differ[:, first].any(axis=1) & (differ[:, second].sum(axis=1) <= ring.flips)
+    return float((shared & (differ.sum(axis=1) <= ring.limit)).mean())
 
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -95,17 +99,25 @@ def _more(h: np.ndarray, word: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: str, shingle: int, words: int = 1) -> np.ndarray:
-    """The fingerprint's words (unsigned 64-bit)."""
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """The hash of the shingle at each place; a text of fewer words is one shingle, and of none has none."""
     parts = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not parts:
-        return np.zeros(words, np.uint64)
+        return np.zeros(0, np.uint64)
     whole = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(parts) - shingle + 1)
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(whole[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)), np.uint64, n)
+    return np.fromiter((digest(whole[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)), np.uint64, n)
+
+
+def fingerprint(text: str, shingle: int, words: int = 1) -> np.ndarray:
+    """The fingerprint's words (unsigned 64-bit)."""
+    h = shingle_hashes(text, shingle)
+    n = len(h)
+    if not n:
+        return np.zeros(words, np.uint64)
     out = np.empty(words, np.uint64)
     for k in range(words):
         bits = np.unpackbits((_more(h, k) if k else h).view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
