@@ -5,8 +5,9 @@ Filters of several widths run over the whole sequence of words; the largest resp
 each filter over the text goes to a logistic output. Training is mini-batch Adam on the
 driver over a bounded sample of labelled rows (``max_rows``, half of them of either label
 at most, chosen by hash of the id); the fitted arrays have a fixed size, whatever the
-input, and go to the workers. A part of the sample is kept from training: it sets the
-output's scale (so that a score is a probability) and, for each language, the threshold.
+input, and go to the workers. A third of the labelled rows is kept from training: all of
+them are scored where they are, and counts by language, label and margin (to 1/BINS) set
+the output's scale (so that a score is a probability) and, for each language, the threshold.
 
 Defined results: a null text is an empty one and gets the score of no words; a null id is
 kept and scored; a language without calibration rows uses the threshold of all; with no
@@ -36,6 +37,8 @@ BUCKETS = 1 << 15
 CACHE = 300_000
 #: The sequence is cut into stretches of this many words while scoring, with overlaps as wide as the widest filter.
 STRETCH = 20_000
+#: Margins are counted in steps of 1/BINS, from -LARGEST to LARGEST, to calibrate with.
+BINS, LARGEST = 256, 20
 
 
 @dataclass
@@ -189,16 +192,20 @@ def train(texts: list[str], labels: list[int], dim: int = 12, widths: tuple[int,
     return model
 
 
-def calibrate(model: Model, margins: np.ndarray, labels: np.ndarray, langs: list[str], precision: float = 0.97) -> None:
-    """Scale and shift by logistic regression of the label on the margin; by language the least threshold of that precision."""
+def calibrate(model: Model, margins: np.ndarray, labels: np.ndarray, langs: list[str], precision: float = 0.97, counts: np.ndarray | None = None) -> None:
+    """Scale and shift by logistic regression of the label on the margin; by language the least threshold of that precision.
+
+    counts: how many rows each stands for.
+    """
+    c = np.ones(len(margins)) if counts is None else np.asarray(counts, float)
     if model.constant or len(set(labels.tolist())) < 2:
         return
     a, b = 1.0, 0.0
-    m = np.clip(margins, -20, 20)
+    m = np.clip(margins, -LARGEST, LARGEST)
     for _ in range(200):  # with a little ridge, so that separable rows leave a finite scale
         p = 1 / (1 + np.exp(-np.clip(a * m + b, -30, 30)))
-        ga, gb = ((p - labels) * m).sum() + 0.1 * (a - 1), (p - labels).sum() + 0.01 * b
-        w = p * (1 - p) + 1e-6
+        ga, gb = (c * (p - labels) * m).sum() + 0.1 * (a - 1), (c * (p - labels)).sum() + 0.01 * b
+        w = c * (p * (1 - p) + 1e-6)
         haa, hab, hbb = (w * m * m).sum() + 0.1, (w * m).sum(), w.sum() + 0.01
         det = haa * hbb - hab * hab
         da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
@@ -211,7 +218,7 @@ def calibrate(model: Model, margins: np.ndarray, labels: np.ndarray, langs: list
             return None
         for t in np.arange(0.5, 1.0, 0.01):
             hit = chosen & (scores >= t)
-            if hit.any() and labels[hit].mean() >= precision:
+            if hit.any() and np.average(labels[hit], weights=c[hit]) >= precision:
                 return float(round(t, 2))
         return 0.99
 
@@ -225,22 +232,29 @@ def fold(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")), F.lit(3))
 
 
+def _margins(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        for batch in batches:
+            bins = np.rint(np.clip([margin(model, hashed(t.as_py(), known)) for t in batch.column(2)], -LARGEST, LARGEST) * BINS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bins.astype(np.int32))], names=["doc_id", "lang", "bin"])
+
+    return of
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Model:
-    """From at most ``max_rows`` labelled rows to train on and a third of it more to calibrate with, none of them held out."""
+    """From at most ``max_rows`` labelled rows to train on; calibrated with all labelled rows of another part. None of them is held out."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = None
-    for part, most in ((0, max_rows // 2), (2, max_rows // 6)):
-        for label in (0, 1):
-            some = marked.where((fold() == part) & (F.col("toxic") == label)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("part", F.lit(part))
-            chosen = some if chosen is None else chosen.unionByName(some)
+    each = [marked.where((fold() == 0) & (F.col("toxic") == label)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows // 2) for label in (0, 1)]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()  # max_rows * 4 / 3 rows at most
-    training = [r for r in rows if r.part == 0]
+    training = texts.join(F.broadcast(each[0].unionByName(each[1])), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()  # max_rows at most
     model = train([r.text for r in training], [r.toxic for r in training])
-    rest = [r for r in rows if r.part == 2]
-    if rest and not model.constant:
-        known = _Hashes()
-        calibrate(model, np.array([margin(model, hashed(r.text, known)) for r in rest]), np.array([r.toxic for r in rest]), [r.lang for r in rest])
+    if not model.constant:
+        scored = texts.where(fold() == 2).select("doc_id", "lang", "text").mapInArrow(_margins(model), "doc_id long, lang string, bin int")
+        one = scored.groupBy("doc_id").agg(F.min(F.struct("bin", "lang")).alias("x")).join(marked.where(fold() == 2), "doc_id")
+        rest = one.groupBy("x.lang", "toxic", "x.bin").agg(F.count("*").alias("n")).orderBy("lang", "toxic", "bin").collect()  # bounded by the steps, for each language
+        if rest:
+            calibrate(model, np.array([r.bin for r in rest]) / BINS, np.array([r.toxic for r in rest]), [r.lang for r in rest], counts=np.array([r.n for r in rest]))
     return model
 
 

@@ -47,3 +47,21 @@ def test_nothing_to_learn_from(spark, corpus):
         assert {r.score for r in t.toxicity(docs.limit(9), model).collect()} == {0.0}
     assert t.toxicity(docs.limit(0), model).count() == 0
     assert t.without_toxic(docs, model).count() == docs.count()
+
+
+def test_calibration_keeps_the_share_of_labels(spark):
+    """One in ten is toxic and the classes overlap: scores add up to that share, however few rows may train."""
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(4000):
+        toxic = i % 10 == 0
+        text = [f"word{rng.randrange(300)}" for _ in range(20)]
+        if toxic or rng.random() < 0.15:
+            text[rng.randrange(20)] = "vile"
+        rows.append((i, " ".join(text), "en"))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = t.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), max_rows=600)
+    scores = {r.doc_id: r.score for r in t.toxicity(docs, model).collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 2}
+    assert abs(sum(scores.values()) / len(scores) - 0.1) < 0.02
+    assert sum(s >= 0.7 for s in scores.values()) < 0.02 * len(scores)  # "vile" is toxic in less than half of its texts
