@@ -84,6 +84,17 @@ def combined_member(spark, d):
     return combine.member_of(sizes, wanted)
 
 
+@query("""with s as (select 0 as ds_id, (select count(*) from customer) as n union all select 1, (select count(*) from supplier)),
+r as (select ds_id, sum(n) over (order by ds_id) - n as low, sum(n) over (order by ds_id) as high from s),
+p as (select unnest(range(0, (select cast(sum(n) as bigint) from s))) as position)
+select position, ds_id, cast(position - low as bigint) as local from p join r on position >= low and position < high""")
+def combined_member_all(spark, d):
+    """Every position in the concatenation to its dataset and place there."""
+    sizes = _members(spark, d).groupBy("ds_id").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return combine.member_of(sizes, spark.range(total).select(F.col("id").alias("position")))
+
+
 @query(f"""select ds_id, key from (select *, -ln(greatest(cast(cast('0x' || md5('5:' || ds_id || '/' || key)[1:13] as bigint) as double) / 4503599627370496.0::double, 1e-16)) / weight as draw from {_ALL}) order by draw, ds_id, key limit 50""")
 def combined_weighted(spark, d):
     """A weighted sample of 50 (the limit is the sample's size)."""
