@@ -107,7 +107,7 @@ def _fragments(spark, roots, windows, sr, channels, include, exclude, loudness_t
     if loudness_threshold is not None:
         from .operators import signal
 
-        rows = rows.where(signal.loudness(sr or windows.sr)(F.element_at("waveform", 1)) >= loudness_threshold)
+        rows = rows.where(signal.loudness_of_channels(sr or windows.sr)(F.col("waveform")) >= loudness_threshold)
     return rows.select("root", "file_path", (F.col("start") / F.col("sr")).alias("start_pos"), (F.lit(chunk) / F.col("sr")).alias("length"), "file_length", "sr", "waveform")
 
 

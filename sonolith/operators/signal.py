@@ -46,6 +46,17 @@ def loudness(sr: int):
     return _each(lambda x: dsp.loudness(x, sr), "double")
 
 
+def loudness_of_channels(sr: int):
+    """Of a signal of several channels, all of them: array<array>."""
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([None if x is None else dsp.loudness(np.stack([np.asarray(c, float) for c in x]), sr) for x in batch], dtype=float)
+
+    return run
+
+
 def mel(sr: int, **options):
     return _each(lambda x: dsp.mel(x, sr, **options).tolist(), "array<array<double>>")
 
