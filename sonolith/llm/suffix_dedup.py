@@ -35,6 +35,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -372,23 +373,24 @@ def _results(length: int, texts: bool) -> Callable[[Iterator[pa.RecordBatch]], I
             for row in batch.to_pylist():
                 data = _read_chunk(row["chunk"])
                 gone = _mask(data, row["spans"], length)
-                out: list[list] = [[] for _ in range(6 if texts else 5)]
+                out: list[list] = [[] for _ in range(7 if texts else 5)]
                 for d, a, b in zip(row["ids"], row["start"][:-1], row["start"][1:], strict=True):
                     off = gone[a:b]
                     kept = data[a:b][~off].tobytes()
+                    own = np.uint64(xxhash.xxh64_intdigest(data[a:b].tobytes(), 42) if texts else 0).view(np.int64)
                     n = int(off.sum())
                     spans = int(off[:1].sum() + (off[1:] & ~off[:-1]).sum()) if n else 0
-                    for column, value in zip(out, (d, b - a, n, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")), strict=False):
+                    for column, value in zip(out, (d, b - a, n, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"), own), strict=False):
                         column.append(value)
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "row"]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=False)], names=names[: len(out)])
 
     return result
 
 
 def suffix_dedup(docs: DataFrame, length: int = 50, texts: bool = False, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; with ``texts`` also what is kept (characters cut in two go)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; with ``texts`` also what is kept (characters cut in two go) and row, Spark's xxhash64 of the text."""
     if length < GRAM + 1:
         raise ValueError(f"length must be over {GRAM}")
     spark = docs.sparkSession
@@ -403,7 +405,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, texts: bool = False, id_col:
     contexts = by_chunk.join(chunks, "chunk").select("chunk", "ids", "start", "shared").mapInArrow(_contexts(length, buckets), _CONTEXTS)
     covered = contexts.repartition(max(8, buckets // 4), "bucket").sortWithinPartitions("bucket").mapInArrow(_covered(length), "chunk string, spans binary")
     spans = covered.repartition(tasks, "chunk").groupBy("chunk").agg(F.collect_list("spans").alias("spans"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if texts else "")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string, row long" if texts else "")
     return chunks.repartition(tasks, "chunk").join(spans, "chunk", "left").select("chunk", "ids", "start", "spans").mapInArrow(_results(length, texts), schema)
 
 

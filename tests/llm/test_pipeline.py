@@ -29,3 +29,13 @@ def test_run(spark, tiny):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, tiny)
         assert empty.count() == 0
+
+
+def test_suffix_stage_tells_rows_of_one_id_apart(spark):
+    passage = " ".join(f"passage{k}" for k in range(20))
+    rows = [(1, passage), (5, "first text of five " + passage), (5, "second text of five, all clean"), (6, "one of six " + passage), (6, "two of six, longer, " + passage), (6, "one of six " + passage), (None, "no id " + passage), (None, "no id, clean")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    got = sorted(((r.doc_id or 0), r.text, r.n_chars) for r in corpus_pipeline.stage_suffix_dedup(spark, docs, "").collect())
+    want = [(1, passage), (5, "first text of five"), (5, "second text of five, all clean"), (6, "one of six"), (6, "two of six, longer,"), (6, "one of six"), (0, "no id"), (0, "no id, clean")]
+    assert [(i, t.strip()) for i, t, _ in got] == sorted((i, t) for i, t in want)
+    assert all(n == len(t) for _, t, n in got)
