@@ -1,31 +1,46 @@
 """Connected components of a distributed edge list, by alternating large and small stars.
 
-Every round is grouped minima and joins on the edges, and is written to shared storage;
-the driver sees two numbers a round. Nothing of a component's size meets in one task:
-minima are aggregated before the shuffle and joins may be split by adaptive execution.
+Every round is grouped minima and joins on the edges, and is written to shared storage; the
+driver sees four numbers a round. Nothing of a component's size meets in one task: a node's
+neighbours are dealt in SALTS parts, a node's least neighbour is sent to the parts that it has.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
+#: Parts that the neighbours of one node are dealt in.
+SALTS = 64
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, component (its smallest node) of every node of the edges (a, b); nodes are longs."""
+
+def _salted(edges: DataFrame, by: str, of: str, least: Column) -> DataFrame:
+    """Adds m: the least ``of`` over all rows of ``by``."""
+    rows = edges.withColumn("_s", F.pmod(F.xxhash64(of), F.lit(SALTS)).cast("int"))
+    parts = rows.groupBy(by, "_s").agg(F.min(of).alias("_p"))
+    whole = parts.groupBy(by).agg(least.alias("m"), F.collect_list("_s").alias("_all"))  # SALTS at most
+    return rows.join(whole.select(by, "m", F.explode("_all").alias("_s")), [by, "_s"]).drop("_s")
+
+
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
+    """node, component (its smallest node) of every node of the edges (a, b); nodes are longs.
+
+    It settles within rounds that grow as the logarithm squared of the longest component; more than ``rounds`` is an error.
+    """
     pair = lambda x, y: (F.greatest(x, y).alias("u"), F.least(x, y).alias("v"))
     now = stored(edges.where("a <> b").select(*pair(F.col("a"), F.col("b"))).distinct(), "edges")
     seen = None
     for _ in range(rounds):
         both = now.select(F.col("u").alias("n"), F.col("v").alias("w")).unionByName(now.select(F.col("v").alias("n"), F.col("u").alias("w")))
-        least = both.groupBy("n").agg(F.least(F.min("w"), F.col("n")).alias("m"))
-        large = both.join(least, "n").where("w > n").select(*pair(F.col("w"), F.col("m"))).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(*pair(F.col("v"), F.col("m"))).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        now = stored(small, "edges")
-        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+        large = _salted(both, "n", "w", F.least(F.min("_p"), F.col("n"))).where("w > n").select(*pair(F.col("w"), F.col("m"))).distinct()
+        small = _salted(large, "u", "v", F.min("_p"))
+        small = small.select(F.explode(F.array(F.when(F.col("v") != F.col("m"), F.struct(*pair(F.col("v"), F.col("m")))), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        now = stored(small.where("e is not null").select("e.*").distinct(), "edges")
+        # a digest of the edge set: their number and three independent 64-bit sums of hashes
+        digest = [F.expr(f"bit_xor(xxhash64({s}, u, v))") for s in (1, 2)] + [F.sum(F.xxhash64(F.lit(3), "u", "v").cast("decimal(38,0)"))]
+        mark = tuple(now.agg(F.count("*"), *digest).first())
         if mark == seen:
             break
         seen = mark

@@ -7,10 +7,9 @@ carry the first two segments of the chain: the first exact, the second with ever
 that the budget of two segments allows. Fingerprints that share a key are candidates; the
 full check follows.
 
-Wide fingerprints (several 64-bit words from one pass over the shingles) put chains at
-many places of a longer ring. There the limit lies above what the pigeonhole bound
-covers, so finding a pair is likely rather than certain: ``recall`` tells how likely. The
-pipeline, which needs every pair of a similarity, uses ``similar_sets`` instead.
+Fingerprints may be several 64-bit words wide. The operator's other form, ``similar_sets``,
+links texts of a Jaccard similarity: its candidates pass ``chained``, the same filter with a
+word as a segment, before their sets decide.
 
 Candidates under one key are taken as pairs only for short runs. A longer run, such as a
 group of thousands of near copies, is searched breadth first: a member is compared with
@@ -27,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -66,28 +66,6 @@ def contract_ring() -> Ring:
     return Ring(4, 1, 4, tuple((starts[i], sizes[i], sizes[(i + 1) % 5]) for i in range(5)), 1)
 
 
-def similar_ring(similarity: float = 0.8, shingle: int = 5, words: int = 16, chain: int = 26, step: int = 6) -> Ring:
-    """For shingle sets of at least this Jaccard similarity: cosine 2j/(1+j), so an angle, so a share of differing bits.
-
-    A chain of two exact segments (13 + 13 bits) starts every ``step`` bits of the ring.
-    """
-    bits = 64 * words
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return Ring(shingle, words, int(bits * share), tuple((at, chain // 2, chain - chain // 2) for at in range(0, bits, step)), 0)
-
-
-def recall(ring: Ring, similarity: float, pairs: int = 2000) -> float:
-    """The share of simulated pairs of this similarity (bits differ independently) that share a key and are within the limit."""
-    bits = 64 * ring.words
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    differ = np.random.default_rng(1).random((pairs, bits)) < p
-    shared = np.zeros(pairs, bool)
-    for at, a, b in ring.keys:
-        first, second = (np.arange(at, at + a) % bits, np.arange(at + a, at + a + b) % bits)
-        shared |= ~differ[:, first].any(axis=1) & (differ[:, second].sum(axis=1) <= ring.flips)
-    return float((shared & (differ.sum(axis=1) <= ring.limit)).mean())
-
-
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -112,18 +90,28 @@ def shingle_hashes(text: str, shingle: int) -> np.ndarray:
     return np.fromiter((digest(whole[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)), np.uint64, n)
 
 
+def chained(differ: list[Column], limit: int) -> Column:
+    """Pigeonring filter and full check in one: from some segment on, the differing bits of the chain's first l segments
+    stay within l shares of the limit, for every l up to the whole ring. No two within the limit fail it."""
+    m = len(differ)
+    within = lambda start, n: sum((differ[(start + i) % m] for i in range(n)), F.lit(0)) * m <= limit * n
+    chain = lambda start: reduce(lambda x, y: x & y, (within(start, n) for n in range(1, m + 1)))
+    return reduce(lambda x, y: x | y, (chain(start) for start in range(m)))
+
+
+def fingerprint_of(h: np.ndarray, words: int, first: int = 0) -> np.ndarray:
+    """The words of a set or sequence of hashes, from hash word ``first`` on."""
+    out = np.zeros(words, np.uint64)
+    for k in range(words if len(h) else 0):
+        bits = np.unpackbits((_more(h, k + first) if k + first else h).view(np.uint8).reshape(len(h), 8), axis=1, bitorder="little")
+        out[k] = np.packbits(2 * bits.sum(axis=0, dtype=np.int32) > len(h), bitorder="little").view(np.uint64)[0]
+    return out
+
+
 def fingerprint(text: str, shingle: int, words: int = 1) -> np.ndarray:
     """The fingerprint's words (unsigned 64-bit)."""
     h = shingle_hashes(text, shingle)
-    n = len(h)
-    if not n:
-        return np.zeros(words, np.uint64)
-    out = np.empty(words, np.uint64)
-    for k in range(words):
-        bits = np.unpackbits((_more(h, k) if k else h).view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-        count = bits.sum(axis=0, dtype=np.int32)
-        out[k] = np.packbits(2 * count > n, bitorder="little").view(np.uint64)[0]
-    return out
+    return fingerprint_of(h, words)
 
 
 def _fingerprints(shingle: int, words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -35,7 +35,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,22 +70,32 @@ def _read_chunk(name: str) -> np.ndarray:
 
 
 def _chunks(folder: str, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A row for each chunk; a third column of the batches, if there is one, goes along document by document."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, parts, size = [], [], 0
+        ids, parts, carried, size = [], [], [], 0
 
         def flushed() -> pa.RecordBatch:
             start = np.cumsum([0, *map(len, parts)])
-            return pa.RecordBatch.from_arrays([pa.array([_write_chunk(folder, parts)]), pa.array([ids], pa.list_(pa.int64())), pa.array([start], pa.list_(pa.int64()))], names=["chunk", "ids", "start"])
+            columns = [pa.array([_write_chunk(folder, parts)]), pa.array([ids], pa.list_(pa.int64())), pa.array([start], pa.list_(pa.int64()))]
+            if carried:
+                columns.append(pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.concat_arrays(carried)))
+            return pa.RecordBatch.from_arrays(columns, names=["chunk", "ids", "start", "carried"][: len(columns)])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            extra, first = (batch.column(2) if batch.num_columns > 2 else None), 0
+            for at, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
                 data = text.as_py().encode("utf-8")
                 if ids and size + len(data) > most:
+                    if extra is not None:
+                        carried.append(extra.slice(first, at - first))
                     yield flushed()
-                    ids, parts, size = [], [], 0
+                    ids, parts, carried, size, first = [], [], [], 0, at
                 ids.append(doc)
                 parts.append(data)
                 size += len(data)
+            if extra is not None:
+                carried.append(extra.slice(first))
         if ids:
             yield flushed()
 
@@ -368,45 +377,77 @@ def _mask(data: np.ndarray, spans: list[bytes], length: int) -> np.ndarray:
 
 
 def _results(length: int, texts: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """With ``texts``: n_removed, kept and what was carried; else the counts and the digest."""
+
     def result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                data = _read_chunk(row["chunk"])
-                gone = _mask(data, row["spans"], length)
-                out: list[list] = [[] for _ in range(7 if texts else 5)]
-                for d, a, b in zip(row["ids"], row["start"][:-1], row["start"][1:], strict=True):
+            for r in range(batch.num_rows):
+                chunk, ids, start, spans = (batch.column(k)[r].as_py() for k in range(4))
+                data = _read_chunk(chunk)
+                gone = _mask(data, spans, length)
+                if texts:
+                    off = [gone[a:b] for a, b in zip(start[:-1], start[1:], strict=True)]
+                    kept = [data[a:b][~o].tobytes().decode("utf-8", "ignore") for a, b, o in zip(start[:-1], start[1:], off, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([int(o.sum()) for o in off], pa.int64()), pa.array(kept, pa.string()), batch.column(4)[r].values], names=["n_removed", "kept", "carried"])
+                    continue
+                out: list[list] = [[] for _ in range(5)]
+                for d, a, b in zip(ids, start[:-1], start[1:], strict=True):
                     off = gone[a:b]
-                    kept = data[a:b][~off].tobytes()
-                    own = np.uint64(xxhash.xxh64_intdigest(data[a:b].tobytes(), 42) if texts else 0).view(np.int64)
                     n = int(off.sum())
                     spans = int(off[:1].sum() + (off[1:] & ~off[:-1]).sum()) if n else 0
-                    for column, value in zip(out, (d, b - a, n, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"), own), strict=False):
+                    for column, value in zip(out, (d, b - a, n, spans, hashlib.sha256(data[a:b][~off].tobytes()).hexdigest()), strict=True):
                         column.append(value)
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "row"]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=False)], names=names[: len(out)])
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return result
 
 
-def suffix_dedup(docs: DataFrame, length: int = 50, texts: bool = False, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; with ``texts`` also what is kept (characters cut in two go) and row, Spark's xxhash64 of the text."""
-    if length < GRAM + 1:
-        raise ValueError(f"length must be over {GRAM}")
-    spark = docs.sparkSession
-    folder = fresh_path(spark, "suffix-chunks")
-    each = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    chunks = stored(each.mapInArrow(_chunks(folder, chunk), "chunk string, ids array<long>, start array<long>"), "suffix-chunks")
+def _spans(each: DataFrame, length: int, chunk: int, hot: int) -> DataFrame:
+    """Chunks (chunk, ids, start, spans, carried) with the spans that go."""
+    folder = fresh_path(each.sparkSession, "suffix-chunks")
+    carried = [f for f in each.schema if f.name == "carried"]
+    kind = "chunk string, ids array<long>, start array<long>" + "".join(f", carried array<{f.dataType.simpleString()}>" for f in carried)
+    chunks = stored(each.mapInArrow(_chunks(folder, chunk), kind), "suffix-chunks")
+    own = chunks.select("chunk", "ids", "start")
     count, size = chunks.agg(F.count("*"), F.coalesce(F.sum(F.element_at("start", -1)), F.lit(0))).first()
     buckets, tasks = max(16, size // BUCKET), max(8, count // 8)
-    named = chunks.select("chunk", "start").repartition(tasks).mapInArrow(_named(length, buckets), "bucket long, chunk string, names binary, numbers binary")
+    named = own.select("chunk", "start").repartition(tasks).mapInArrow(_named(length, buckets), "bucket long, chunk string, names binary, numbers binary")
     shared = named.repartition(max(8, buckets // 4), "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(hot), "chunk string, numbers binary, hot binary")
     by_chunk = shared.repartition(tasks, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("numbers", "hot")).alias("shared"))
-    contexts = by_chunk.join(chunks, "chunk").select("chunk", "ids", "start", "shared").mapInArrow(_contexts(length, buckets), _CONTEXTS)
+    contexts = by_chunk.join(own, "chunk").select("chunk", "ids", "start", "shared").mapInArrow(_contexts(length, buckets), _CONTEXTS)
     covered = contexts.repartition(max(8, buckets // 4), "bucket").sortWithinPartitions("bucket").mapInArrow(_covered(length), "chunk string, spans binary")
     spans = covered.repartition(tasks, "chunk").groupBy("chunk").agg(F.collect_list("spans").alias("spans"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string, row long" if texts else "")
-    return chunks.repartition(tasks, "chunk").join(spans, "chunk", "left").select("chunk", "ids", "start", "spans").mapInArrow(_results(length, texts), schema)
+    found = chunks.repartition(tasks, "chunk").join(spans, "chunk", "left")
+    return found.select("chunk", "ids", "start", "spans", *(f.name for f in carried))
+
+
+def _checked(length: int) -> None:
+    if length < GRAM + 1:
+        raise ValueError(f"length must be over {GRAM}")
+
+
+def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, hot: int = HOT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+    _checked(length)
+    each = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    found = _spans(each, length, chunk, hot)
+    return found.mapInArrow(_results(length, False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, hot: int = HOT) -> DataFrame:
+    """The rows and columns of docs with what is kept as their text (of characters cut in two the rest goes too); null texts stay null.
+
+    The other columns go along with the chunks, so no text is joined again.
+    """
+    _checked(length)
+    others = [c for c in docs.columns if c != text_col]
+    named = [F.col(c).alias(f"c{k}") for k, c in enumerate(others)]
+    each = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), F.struct(F.col(text_col).isNull().alias("none"), *named).alias("carried"))
+    found = _spans(each, length, chunk, hot)
+    rows = found.mapInArrow(_results(length, True), f"n_removed long, kept string, carried {each.schema['carried'].dataType.simpleString()}")
+    back = {c: F.col(f"carried.c{k}").alias(c) for k, c in enumerate(others)}
+    return rows.select(*(back.get(c, F.when(~F.col("carried.none"), F.col("kept")).alias(c)) for c in docs.columns))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

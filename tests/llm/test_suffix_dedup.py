@@ -47,7 +47,7 @@ def test_against_brute_force(spark, tiny, hot, monkeypatch):
 
 def test_kept_texts_and_empty(spark):
     df = spark.createDataFrame([(1, "a" * 10 + "0123456789" * 6), (2, "0123456789" * 6 + "tail")], "doc_id long, text string")
-    kept = {r.doc_id: r.kept for r in s.suffix_dedup(df, texts=True).collect()}
+    kept = {r.doc_id: r.text for r in s.without_repeats(df).collect()}
     assert kept == {1: "a" * 10 + "0123456789" * 6, 2: "tail"}
     assert s.suffix_dedup(df.limit(0)).count() == 0
 
@@ -72,3 +72,18 @@ def test_ranks_double_to_the_length():
         strings.setdefault(int(r), set()).add(texts[w][p : p + 50])
     assert all(len(v) == 1 for v in strings.values())
     assert {(int(w), int(p)) for w, p in zip(where, place)} == {(0, 0), (0, 10), (1, 1)} | {(2, p) for p in range(11)}
+
+
+def test_rows_go_along_with_their_chunks(spark):
+    """Other columns, whatever their names and types, stay with their rows; null texts stay null."""
+    passage = "0123456789" * 6
+    rows = [(k, f"own {k} " + passage if k % 3 else None, [k, k + 1], {"a": k}, f"c{k}", True, k) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, carried array<int>, none map<string,int>, c0 string, kept boolean, ids long").repartition(4)
+    got = {r.doc_id: r for r in s.without_repeats(df, chunk=500).collect()}
+    assert list(got[0].asDict()) == df.columns and len(got) == 60
+    for k, text, carried, none, c0, kept, ids in rows:
+        r = got[k]
+        assert (r.carried, r.none, r.c0, r.kept, r.ids) == (carried, none, c0, kept, ids)
+        assert text is None or k == 1 or (text.startswith(r.text) and len(r.text) < 8)
+    assert got[1].text == rows[1][1] and got[3].text is None
+    assert s.without_repeats(df.limit(0)).columns == df.columns
