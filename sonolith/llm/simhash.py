@@ -90,11 +90,11 @@ def shingle_hashes(text: str, shingle: int) -> np.ndarray:
     return np.fromiter((digest(whole[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)), np.uint64, n)
 
 
-def chained(differ: list[Column], limit: int) -> Column:
+def chained(differ: list[Column], limit: int | Column) -> Column:
     """Pigeonring filter and full check in one: from some segment on, the differing bits of the chain's first l segments
     stay within l shares of the limit, for every l up to the whole ring. No two within the limit fail it."""
     m = len(differ)
-    within = lambda start, n: sum((differ[(start + i) % m] for i in range(n)), F.lit(0)) * m <= limit * n
+    within = lambda start, n: sum((differ[(start + i) % m] for i in range(n)), F.lit(0)) * m <= (limit if isinstance(limit, Column) else F.lit(limit)) * n
     chain = lambda start: reduce(lambda x, y: x & y, (within(start, n) for n in range(1, m + 1)))
     return reduce(lambda x, y: x | y, (chain(start) for start in range(m)))
 
