@@ -5,8 +5,8 @@ A member's extra field (``sl``, skip lengths: compressed and plain bytes) lets a
 to the next record without inflating this one. Files get their final names when the task
 has ended; a failed job's files are removed.
 
-Reading: file partitions are planned by size on the driver (archives are never cut; small
-ones share a partition). Comparisons of ``record_type``, ``target_uri`` and
+Reading: file partitions are planned by size on the driver, from the manifests, or from the
+folder if it has none (archives are never cut; small ones share a partition). Comparisons of ``record_type``, ``target_uri`` and
 ``payload_digest`` with constants are pushed down; every record's header is inflated and
 parsed first, and the rest of a record that a predicate excludes is neither read nor
 inflated. With option ``payload=false`` no payload is. Members without that extra field,
@@ -72,9 +72,14 @@ def parse_header(head: bytes) -> dict[str, str]:
     return {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
 
 
+#: Begins the name of a list of committed archives: lines of size and name.
+MANIFEST = "manifest-"
+
+
 @dataclass
 class _Files(WriterCommitMessage):
     names: list
+    sizes: list
 
 
 class WarcWriter(DataSourceArrowWriter):
@@ -86,28 +91,37 @@ class WarcWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Files:
         system, root = opened(self.path)
         system.create_dir(root, recursive=True)
-        names, out, size = [], None, 0
+        names, sizes, out, size = [], [], None, 0
         for batch in iterator:
             for row in zip(*(batch.column(batch.schema.get_field_index(n)) for n in ("record_type", "record_id", "target_uri", "payload_digest", "refers_to", "payload_length", "payload")), strict=True):
                 if out is None or size > self.roll:
                     if out is not None:
                         out.close()
-                    names.append(f"{root}/{uuid.uuid4().hex}.warc.gz")
-                    out, size = system.open_output_stream(names[-1] + ".open", compression=None), 0
+                        sizes.append(size)
+                    names.append(f"{uuid.uuid4().hex}.warc.gz")
+                    out, size = system.open_output_stream(f"{root}/{names[-1]}", compression=None), 0
                 data = member(record(*(x.as_py() for x in row)))
                 out.write(data)
                 size += len(data)
         if out is not None:
             out.close()
-        for name in names:
-            system.move(name + ".open", name)
-        return _Files(names)
+            sizes.append(size)
+        return _Files(names, sizes)
+
+    def commit(self, messages: list) -> None:
+        system, root = opened(self.path)
+        system.create_dir(root, recursive=True)
+        lines = [f"{size} {name}\n" for m in messages if m for name, size in zip(m.names, m.sizes, strict=True)]
+        name = f"{root}/{MANIFEST}{uuid.uuid4().hex}.txt"
+        with system.open_output_stream(name + ".open", compression=None) as out:
+            out.write("".join(lines).encode())
+        system.move(name + ".open", name)
 
     def abort(self, messages: list) -> None:
-        system, _ = opened(self.path)
+        system, root = opened(self.path)
         for message in messages:
             for name in message.names if message else ():
-                system.delete_file(name)
+                system.delete_file(f"{root}/{name}")
 
 
 @dataclass
@@ -129,8 +143,16 @@ class WarcReader(DataSourceReader):
 
     def partitions(self):
         system, root = opened(self.path)
-        found = system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
-        files = sorted((f.path, f.size) for f in found if f.is_file and f.path.endswith((".warc.gz", ".warc")))
+        found = [f for f in system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True)) if f.is_file]
+        files = []
+        if manifests := [f.path for f in found if f.base_name.startswith(MANIFEST) and f.extension == "txt"]:
+            for path in manifests:
+                with system.open_input_stream(path, compression=None) as file:
+                    pairs = (line.split(" ", 1) for line in file.read().decode().splitlines())
+                    files += [(f"{root}/{name}", int(size)) for size, name in pairs]
+        else:
+            files = [(f.path, f.size) for f in found if f.path.endswith((".warc.gz", ".warc"))]
+        files.sort()
         parts, now, size = [], [], 0
         for path, n in files:
             if now and size + n > self.part_bytes:
@@ -244,14 +266,25 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(F.concat(*fours), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
+#: Parts that the rows of one payload are dealt in.
+SALTS = 256
+
+
 def planned(pages: DataFrame, minimum: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """The records to write: of equal payloads of at least ``minimum`` bytes the one with the largest id is the response."""
+    """The records to write: of equal payloads of at least ``minimum`` bytes the one with the largest id is the response.
+
+    Rows meet the largest id of their payload by digest and a salt of their id, so a payload that many pages share is
+    dealt in SALTS parts; the other side has a row for each payload and salt that occurs.
+    """
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("none")))
     each = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("target_uri"), F.encode(text_of(payload_col), "UTF-8").alias("payload"))
     each = each.withColumn("payload_digest", base32_sha1(F.col("payload"))).withColumn("payload_length", F.octet_length("payload").cast("long"))
-    first = each.groupBy("payload_digest", "payload_length").agg(F.max("id").alias("first"))
+    each = each.withColumn("salt", F.pmod(F.xxhash64("id", "target_uri"), F.lit(SALTS)).cast("int"))
+    by = ["payload_digest", "payload_length"]
+    first = each.groupBy(*by, "salt").agg(F.max("id").alias("first")).groupBy(*by).agg(F.max("first").alias("first"), F.collect_list("salt").alias("salts"))
+    first = first.select(*by, "first", F.explode("salts").alias("salt"))
     revisit = F.coalesce((F.col("payload_length") >= minimum) & ~F.col("id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.lit(False))
-    joined = each.join(first, ["payload_digest", "payload_length"])
+    joined = each.join(first, [*by, "salt"])
     return joined.select(urn(F.col("id")).alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), "target_uri", "payload_digest", F.when(revisit, urn(F.col("first"))).alias("refers_to"), "payload_length", F.when(~revisit, F.col("payload")).alias("payload"))
 
 
