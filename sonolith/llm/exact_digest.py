@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import stored, text_of
 
-#: The order of documents is cut into this many ranges, by approximate quantiles of the ids.
-RANGES = 512
+#: The order of documents is cut into ranges of about PER_RANGE rows, at least RANGES of them, by approximate quantiles of the ids.
+RANGES, PER_RANGE = 512, 200_000
 #: Bits of the map that spares documents alone in their bucket a shuffle: half a megabyte.
 SLOTS = 1 << 22
 
@@ -48,25 +48,30 @@ def mark(form: Column) -> Column:
 
 
 def _position(value: Column, bounds: list[int]) -> Column:
-    """How many of the falling bounds lie above the value: halving, as one expression of depth log2."""
+    """How many of the falling bounds lie above the value: halving, in one constant array."""
+    if not bounds:
+        return F.lit(0)
+    known = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
 
-    def among(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value >= F.lit(bounds[mid]), among(lo, mid)).otherwise(among(mid + 1, hi))
+    def halved(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        low = value >= F.get(known, mid)
+        done = s["lo"] >= s["hi"]
+        return F.struct(F.when(done | low, s["lo"]).otherwise(mid + 1).alias("lo"), F.when(~done & low, mid).otherwise(s["hi"]).alias("hi"))
 
-    return among(0, len(bounds))
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), start, halved, lambda s: s["lo"])
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int = RANGES) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """doc_id, text, next_text: that of the document with the next smaller id; after the last comes the first.
 
     Documents are dealt by ranges of ids and ordered within them; a range's last document takes the first of
-    the next range that has one. The driver sees bounds and numbers of ranges, ``ranges`` of them at most.
+    the next range that has one. Ranges grow in number with the rows; the driver sees their bounds and numbers.
     """
     each = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    found = each.agg(F.percentile_approx("doc_id", [(i + 1) / ranges for i in range(ranges - 1)], 20_000)).first()[0]
+    ranges = ranges or max(RANGES, docs.count() // PER_RANGE)
+    found = each.agg(F.percentile_approx("doc_id", [(i + 1) / ranges for i in range(ranges - 1)], max(20_000, 4 * ranges))).first()[0]
     bounds = sorted({b for b in found or () if b is not None}, reverse=True)
     ranged = each.withColumn("range", F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(_position(F.col("doc_id"), bounds)))
     # the largest id of each range, then the first text of that id: as many rows as ranges, but for repeated ids
@@ -111,10 +116,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return settled(each, clashes(docs, each, id_col, text_col)).drop("mark")
 
 
-def settled(each: DataFrame, clash: DataFrame) -> DataFrame:
+def settled(each: DataFrame, clash: DataFrame, name: str = "fingerprint", own_mark: str = "mark") -> DataFrame:
     """Forms whose bytes differ from their bucket's get their mark at the end of the fingerprint."""
-    named = clash.withColumn("apart", F.lit(True))
-    return each.join(named, ["fingerprint", "mark"], "left").withColumn("fingerprint", F.when(F.col("apart"), F.concat_ws("-", "fingerprint", "mark")).otherwise(F.col("fingerprint"))).drop("apart")
+    named = clash.select(F.col("fingerprint").alias(name), F.col("mark").alias(own_mark), F.lit(True).alias("apart"))
+    return each.join(named, [name, own_mark], "left").withColumn(name, F.when(F.col("apart"), F.concat_ws("-", name, own_mark)).otherwise(F.col(name))).drop("apart")
 
 
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,5 +130,8 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = with_next(docs).select("doc_id", count.cast("long").alias("n_chars"), canonical(F.col("text")).alias("form"), canonical(F.col("next_text")).alias("next_form"), edited.alias("edited"))
     forms = forms.withColumn("edited_form", canonical(F.col("edited")))
     alike = lambda other: F.when(F.col("form") == F.col(other), 1.0).otherwise(0.0)
-    each = stored(forms.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest(F.col("form")).alias("fingerprint"), mark(F.col("form")).alias("mark"), digest(F.col("edited_form")).alias("edited_fingerprint"), alike("edited_form").alias("near_edited"), alike("next_form").alias("near_next")), "fingerprints")
-    return settled(each, clashes(docs, each)).drop("mark")
+    each = stored(forms.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest(F.col("form")).alias("fingerprint"), mark(F.col("form")).alias("mark"), digest(F.col("edited_form")).alias("edited_fingerprint"), mark(F.col("edited_form")).alias("edited_mark"), alike("edited_form").alias("near_edited"), alike("next_form").alias("near_next")), "fingerprints")
+    clash = clashes(docs, each)
+    # an edited text with a form of some document gets that form's name
+    both = settled(settled(each, clash), clash, "edited_fingerprint", "edited_mark")
+    return both.drop("mark", "edited_mark")

@@ -18,6 +18,26 @@ def test_canonical_forms(spark):
             assert (got[i] == got[j]) == (g == h)
 
 
+def test_canonical_form_against_a_plain_one(spark):
+    """NFKC, full case folding, NFKC, white space, letter by letter of several scripts."""
+    import random
+    import unicodedata
+
+    rng = random.Random(2)
+    letters = "aZ ßẞİıſﬀǅΣςé́ͅ①½  　	ÅÅ日カｶﾞ한ᄒ🙂"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(0, 30))) for _ in range(400)]
+    nfkc = lambda x: unicodedata.normalize("NFKC", x)
+    want = [" ".join(nfkc(nfkc(x).casefold()).split()) for x in texts]
+    got = [r.f for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(e.canonical(F.col("t")).alias("f")).collect()]
+    assert got == want
+
+
+def test_positions_among_bounds(spark):
+    for bounds in ([], [5], [9, 5, 0], list(range(4000, 0, -7))):
+        got = [r.p for r in spark.range(-3, 4005, 4).select("id", e._position(F.col("id"), bounds).alias("p")).orderBy("id").collect()]
+        assert got == [sum(b > v for b in bounds) for v in range(-3, 4005, 4)]
+
+
 def expected(rows):
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
     texts = [t or "" for _, t in order]

@@ -7,6 +7,30 @@ import zlib
 from sonolith.llm import media as m
 
 
+def tmp_path_media(spark):
+    from pathlib import Path
+
+    from sonolith.llm.common import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://")) / "sonolith"
+    newest = max((p for p in folder.iterdir() if p.name.startswith("media-") and any(p.glob("*.tar"))), key=lambda p: p.stat().st_mtime)
+    return newest.glob("*.tar")
+
+
+def plain_samples(data):
+    """A PNG's samples, chunk by chunk and row by row."""
+    at, packed = 8, b""
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 4], "big")
+        if data[at + 4 : at + 8] == b"IHDR":
+            width = int.from_bytes(data[at + 8 : at + 12], "big")
+        if data[at + 4 : at + 8] == b"IDAT":
+            packed += data[at + 8 : at + 8 + n]
+        at += 12 + n
+    scan = zlib.decompress(packed)
+    return b"".join(scan[k + 1 : k + 1 + width] for k in range(0, len(scan), width + 1))
+
+
 def test_round_trip(spark, tmp_path):
     texts = ["", None, "a", "é" * 1000, "x" * 576, "x" * 577, "long " * 60_000, "a", "ÿ" * 300]
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "a"), (3, "again")]
@@ -24,6 +48,18 @@ def test_round_trip(spark, tmp_path):
         r = next(r for r in by[i] if r.n_bytes == len(data))
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
         assert (r.width, r.height) == (576, len(payload) // 576)
+    stored = {}
+    for tar in tmp_path_media(spark):
+        with tarfile.open(tar) as shard:
+            for member in shard.getmembers():
+                stored[member.name] = shard.extractfile(member).read()
+    for r in got:
+        media = stored[f"{r.payload_sha256}.png"]
+        x = plain_samples(media)
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        mean, size = sum(x) / len(x), len(x) // 64
+        bits = "".join(str(int(sum(x[k * size : (k + 1) * size]) / size > mean)) for k in range(64))
+        assert r.feature == f"{int(bits, 2):016x}-{mean:.3f}"
     assert len({(r.media_sha256, r.media_bytes, r.feature) for r in got if r.n_bytes == 1}) == 1
     empty = tmp_path / "e"
     df.limit(0).write.parquet(str(empty / "documents.parquet"))

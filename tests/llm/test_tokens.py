@@ -77,3 +77,21 @@ def test_plan_places_every_item_once():
             assert offset == at
             at += length
         assert at <= 4096
+
+
+def test_plan_takes_as_many_sequences_as_best_fit_item_by_item():
+    import random
+
+    rng = random.Random(9)
+    for capacity in (10, 64, 4096):
+        lengths = [rng.choice([rng.randint(1, capacity), rng.randint(1, max(1, capacity // 8))]) for _ in range(600)]
+        room = []
+        for n in sorted(lengths, reverse=True):
+            fits = [(r, k) for k, r in enumerate(room) if r >= n]
+            if fits:
+                room[min(fits)[1]] -= n
+            else:
+                room.append(capacity - n)
+        histogram = {n: lengths.count(n) for n in set(lengths)}
+        used = {first + k for _, lo, hi, first, _ in plan(histogram, capacity) for k in range(hi - lo)}
+        assert len(used) == len(room)

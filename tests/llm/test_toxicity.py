@@ -65,3 +65,28 @@ def test_calibration_keeps_the_share_of_labels(spark):
     scores = {r.doc_id: r.score for r in t.toxicity(docs, model).collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 2}
     assert abs(sum(scores.values()) / len(scores) - 0.1) < 0.02
     assert sum(s >= 0.7 for s in scores.values()) < 0.02 * len(scores)  # "vile" is toxic in less than half of its texts
+
+
+def test_responses_against_plain_loops():
+    """The largest response of every filter, place by place; texts shorter than a filter are padded at the end."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    model = t.train(["good words here", "vile words there", "vile thing", "good thing"], [0, 1, 1, 0], steps=3, least=1)
+    for n in (0, 1, 2, 3, 7, 50):
+        ids = np.stack([rng.integers(0, t.BUCKETS - 1, n) for _ in range(3)], 1).astype(np.int32).reshape(n, 3)
+        x = [model.whole[a] + model.stem[b] + model.stem[c] for a, b, c in ids] + [np.zeros(12, np.float32)] * (2 if n else 3)
+        want, k = [], 0
+        for f in model.filters:
+            for c in range(f.shape[2]):
+                every = [sum(float(x[i + j] @ f[j, :, c]) for j in range(f.shape[0])) for i in range(len(x) - 2)]
+                want.append(max(0.0, max(every) + float(model.offsets[k])))
+                k += 1
+        assert np.allclose(t.responses(model, ids), want, atol=1e-5)
+
+
+def test_training_rows_are_bounded_by_bytes_and_do_not_depend_on_order(spark, corpus):
+    docs, labels = (spark.read.parquet(f"{corpus[0]}/{x}.parquet") for x in ("documents", "labels"))
+    a, b = (t.fit(d, labels, max_bytes=60_000) for d in (docs, docs.orderBy("text").repartition(5)))
+    assert (a.whole == b.whole).all() and a.thresholds == b.thresholds
+    assert t.fit(docs, labels, max_bytes=0).constant
