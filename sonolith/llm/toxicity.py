@@ -3,8 +3,8 @@
 A word is the sum of hashed embeddings, of the whole word and of its first four and six letters.
 Filters of several widths run over the whole sequence of words; the largest response of
 each filter over the text goes to a logistic output. Training is mini-batch Adam on the
-driver over a bounded sample of labelled rows (``max_rows``, and ``max_bytes`` of their texts,
-half of them of either label at most, chosen by hash of the id; of texts with one id the least); the fitted arrays have a fixed size, whatever the
+driver over a bounded sample of labelled rows (``max_rows``, of texts of ``max_bytes`` each at
+most, half of them of either label at most, by hash of the id; of texts with one id the least); the fitted arrays have a fixed size, whatever the
 input, and go to the workers. A third of the labelled rows is kept from training: all of
 them are scored where they are, and counts by language, label and margin (to 1/BINS) set
 the output's scale (so that a score is a probability) and, for each language, the threshold.
@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import text_of
@@ -242,14 +242,13 @@ def _margins(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return of
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bytes: int = 128 << 20) -> Model:
-    """From at most ``max_rows`` labelled rows of ``max_bytes`` together to train on; calibrated with all labelled rows of another part. None of them is held out."""
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bytes: int = 64 << 10) -> Model:
+    """From at most ``max_rows`` labelled rows to train on, of texts of at most ``max_bytes`` each; calibrated with all labelled rows of another part. None of them is held out."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     each = [marked.where((fold() == 0) & (F.col("toxic") == label)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows // 2) for label in (0, 1)]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.col("lang").cast("string").alias("lang"))
     chosen = texts.select("doc_id", "text").join(F.broadcast(each[0].unionByName(each[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    before = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    training = chosen.withColumn("bytes", before).where(F.col("bytes") <= max_bytes // 2).orderBy("doc_id").collect()  # max_rows and max_bytes at most
+    training = chosen.where(F.octet_length("text") <= max_bytes).orderBy("doc_id").collect()  # max_rows at most, of max_bytes each
     model = train([r.text for r in training], [r.toxic for r in training])
     if not model.constant:
         scored = texts.where(fold() == 2).select("doc_id", "lang", "text").mapInArrow(_margins(model), "doc_id long, lang string, bin int")

@@ -87,6 +87,6 @@ def test_responses_against_plain_loops():
 
 def test_training_rows_are_bounded_by_bytes_and_do_not_depend_on_order(spark, corpus):
     docs, labels = (spark.read.parquet(f"{corpus[0]}/{x}.parquet") for x in ("documents", "labels"))
-    a, b = (t.fit(d, labels, max_bytes=60_000) for d in (docs, docs.orderBy("text").repartition(5)))
+    a, b = (t.fit(d, labels, max_bytes=600) for d in (docs, docs.orderBy("text").repartition(5)))
     assert (a.whole == b.whole).all() and a.thresholds == b.thresholds
     assert t.fit(docs, labels, max_bytes=0).constant
