@@ -14,15 +14,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import arrays, globs
+from .functions.keys import key_order
 from .operators import fragment, incremental, index, pattern, splits
 from .sources import files
 
 
 class Dataset:
-    """A lazy view of a folder's fragments; queries give DataFrames."""
+    """A lazy view of a folder's fragments; queries give DataFrames.
 
-    def __init__(self, spark: SparkSession, path: str, output_pattern: str | None = None, required: list[str] = (), transforms: list[Callable[[Column], Column]] = (), channels: int | None = None, max_samples: int | None = None, keys: DataFrame | None = None):
-        self.spark, self.path, self.pattern, self.transforms, self.channels = spark, path, output_pattern, list(transforms), channels
+    transforms: one for a scalar pattern (or a list of which the first counts), a list by position for a tuple, a dict by
+    name for a dict; without a pattern all of a list go to the waveform, one after the other. Each maps a channel.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, output_pattern: str | None = None, required: list[str] = (), transforms=(), channels: int | None = None, max_samples: int | None = None, keys: DataFrame | None = None):
+        self.spark, self.path, self.pattern, self.transforms, self.channels = spark, path, output_pattern, transforms, channels
         rows = index.required(spark.read.parquet(f"{path}/fragments"), list(required))
         rows = rows if keys is None else rows.join(keys.select("frag_key").distinct(), "frag_key", "left_semi")
         self.rows = rows if max_samples is None else rows.orderBy("frag_key").limit(max_samples)
@@ -33,6 +38,8 @@ class Dataset:
         own = self.spark.read.parquet(f"{self.path}/feature_index")
         return own.join(self.rows.select(F.col("frag_key").alias("key")), "key", "left_semi")
 
+    feature_hash = index
+
     @property
     def metadata(self) -> dict:
         return json.loads(self.spark.read.text(f"{self.path}/metadata").first()[0])
@@ -41,9 +48,30 @@ class Dataset:
     def features(self) -> list[str]:
         return self.metadata["features"]
 
+    @property
+    def keys(self) -> DataFrame:
+        return self.rows.select("frag_key").orderBy(key_order(F.col("frag_key")))
+
     def __len__(self) -> int:
         return self.rows.count()
 
+    def __contains__(self, key: str) -> bool:
+        return not self.rows.where(F.col("frag_key") == key).isEmpty()
+
+    def known(self, keys: DataFrame) -> DataFrame:
+        """Those of the keys (frag_key) that are stored."""
+        return keys.join(self.rows.select("frag_key"), "frag_key", "left_semi")
+
+    def scan(self, low: str | None = None, high: str | None = None, **options) -> DataFrame:
+        """Rows in key order, from a key on and below another; the range reaches the files' statistics."""
+        rows = self.rows
+        rows = rows if low is None else rows.where(F.col("frag_key") >= low)
+        rows = rows if high is None else rows.where(F.col("frag_key") < high)
+        return self.read(rows, **options).orderBy(key_order(F.col("frag_key")))
+
+    def has_split(self, name: str = "partitions") -> bool:
+        return splits.has_split(self.spark, f"{self.path}/splits", name)
+
     def get(self, key: str, output_pattern: str | None = None, transforms: list | None = None) -> DataFrame:
         """One row by key; what is given here goes before the dataset's own."""
         return self.read(self.rows.where(F.col("frag_key") == key), output_pattern, transforms)
@@ -53,28 +81,42 @@ class Dataset:
         keys = self.rows.select("frag_key").orderBy("frag_key").offset(position).limit(1)
         return self.read(self.rows.join(F.broadcast(keys), "frag_key", "left_semi"), **options)
 
-    def read(self, rows: DataFrame | None = None, output_pattern: str | None = None, transforms: list | None = None) -> DataFrame:
+    def read(self, rows: DataFrame | None = None, output_pattern: str | None = None, transforms=None) -> DataFrame:
+        """The pattern's columns, changed by the transforms; what is given here goes before the dataset's own."""
         rows = self.rows if rows is None else rows
         if self.channels:
             rows = rows.withColumn("waveform", arrays.fix_channels(F.col("waveform"), self.channels))
-        for t in self.transforms if transforms is None else transforms:
-            rows = rows.withColumn("waveform", F.transform("waveform", t))
+        steps = self.transforms if transforms is None else transforms
         chosen = output_pattern or self.pattern
-        return pattern.project(rows, chosen, keep=("frag_key",)) if chosen else rows
+        if chosen:
+            return pattern.transformed(pattern.project(rows, chosen, keep=("frag_key",)), chosen, steps)
+        for t in [steps] if callable(steps) else steps:
+            rows = rows.withColumn("waveform", F.transform("waveform", t))
+        return rows
 
     def query(self, n: int | None = None, seed: int | None = None, **wanted) -> DataFrame:
         """Rows with one of the given values of every feature: all, the first n by key, or n draws with replacement by seed."""
         lists = {k: v if isinstance(v, (list, tuple)) else [v] for k, v in wanted.items()}
         index.require_values(self.index, lists)
-        keys = index.lookup(self.index, lists).withColumn("_all", F.lit("all"))
+        keys = index.lookup(self.index, lists)
         if n is not None:
-            keys = index.first_n(keys, "_all", "key", n) if seed is None else index.sample_n(keys, "_all", "key", n, seed)
+            keys = keys.orderBy(key_order(F.col("key"))).limit(n) if seed is None else index.draw_n(keys, "key", n, seed)
         return keys.select(F.col("key").alias("frag_key")).join(self.rows, "frag_key")
 
-    def split(self, ratios: dict[str, float], features: list[str] = (), balance: bool = False, seed: int = 0, name: str | None = None) -> dict[str, Dataset]:
-        """Datasets by part: of rows, of whole labels, or of labels balanced by their row counts. With a name it is stored."""
-        if balance:
-            parts = splits.split_balanced(self.rows, features[0], ratios)
+    def split(self, ratios, features: list[str] = (), balance: bool = False, seed: int = 0, name: str | None = None, tolerance: float = 0.1, use_meta: bool = True, load_if_available: bool = False) -> dict[str, Dataset]:
+        """Datasets by part: of rows, of whole labels, or of labels balanced by their row counts. With a name it is stored.
+
+        Tried before, in this order: the stored split of that name (``load_if_available``), and a feature called ``partition``
+        that names the parts (``use_meta``).
+        """
+        if load_if_available and self.has_split(name or "partitions"):
+            return self.load_split(name or "partitions")
+        if self.partition_of is not None:
+            raise ValueError("this is already a part of a dataset")
+        if use_meta and "partition" in self.rows.columns and not features:
+            parts = splits.split_by_feature(self.rows, "partition", list(ratios))
+        elif balance:
+            parts = splits.split_balanced(self.rows, features[0], ratios, tolerance)
         elif features:
             parts = splits.split_labels(self.rows, list(features), ratios, seed)
         else:
@@ -97,18 +139,23 @@ class Dataset:
 SimpleDataset = Dataset
 
 
-def _fragments(spark, roots, windows, sr, channels, include, exclude, loudness_threshold):
-    audio = files.decode(files.scan(spark, roots, include, exclude), sr, channels)
+def _fragments(scanned: DataFrame, windows, sr, channels, loudness_threshold, hooks=()) -> DataFrame:
+    """Windows of scanned files. Lengths in seconds are at the files' own rates, or at the rate that all are brought to."""
+    audio = files.decode(scanned, sr, channels)
+    for hook in hooks:  # files as a whole, before they are cut
+        audio = hook(audio)
+    kept = [c for c in audio.columns if c not in ("root", "file_path", "relative", "length", "file_length", "sr", "waveform")]
     stacked = audio.withColumn("n", F.size(F.element_at("waveform", 1)))
-    chunk, hop, least = windows.samples()
+    chunk, hop, least = windows.samples(F.col("sr") if windows.in_seconds() else None)
+    size = chunk if isinstance(chunk, Column) else F.lit(chunk)
     rows = stacked.withColumn("start", F.explode(arrays.starts(F.col("n"), chunk, hop, least)))
-    window = F.transform("waveform", lambda c: F.slice(c, F.col("start") + 1, F.lit(chunk)))
+    window = F.transform("waveform", lambda c: F.slice(c, F.col("start") + 1, size))
     rows = rows.withColumn("waveform", window if windows.pad == "discard" else F.transform(window, lambda c: arrays.pad(c, chunk, windows.pad)))
     if loudness_threshold is not None:
         from .operators import signal
 
-        rows = rows.where(signal.loudness_of_channels(sr or windows.sr)(F.col("waveform")) >= loudness_threshold)
-    return rows.select("root", "file_path", (F.col("start") / F.col("sr")).alias("start_pos"), (F.lit(chunk) / F.col("sr")).alias("length"), "file_length", "sr", "waveform")
+        rows = rows.where(signal.loudness_of_channels_at(F.col("waveform"), F.col("sr")) >= loudness_threshold)
+    return rows.select("root", "file_path", (F.col("start") / F.col("sr")).alias("start_pos"), (size / F.col("sr")).alias("length"), "file_length", "sr", "waveform", *kept)
 
 
 def _with_features(rows: DataFrame, features: dict[str, Column], patterns: list[str]) -> tuple[DataFrame, list[str]]:
@@ -116,52 +163,107 @@ def _with_features(rows: DataFrame, features: dict[str, Column], patterns: list[
     return incremental.backfill(rows, named), list(named)
 
 
-def _store(spark: SparkSession, rows: DataFrame, path: str, hashed: list[str], meta: dict, mode: str) -> None:
-    rows.write.mode(mode).option("mergeSchema", "true").parquet(f"{path}/fragments")
+def _index_of(rows: DataFrame, hashed: dict[str, Column]) -> DataFrame:
+    found = index.feature_index(rows, {"original_path": F.col("file_path"), **hashed}, "frag_key")
+    return found.repartition("feature", "value").sortWithinPartitions("feature", "value", "key")
+
+
+def _describe(spark: SparkSession, path: str, meta: dict) -> None:
     stored = spark.read.option("mergeSchema", "true").parquet(f"{path}/fragments")
-    found = index.feature_index(stored, {"original_path": F.col("file_path"), **{h: F.col(h) for h in hashed}}, "frag_key")
-    found.repartition("feature", "value").sortWithinPartitions("feature", "value", "key").write.mode("overwrite").parquet(f"{path}/feature_index")
     meta |= dict(stored.agg(F.count("*").alias("n_chunks"), F.coalesce(F.sum("length"), F.lit(0.0)).alias("n_seconds")).first().asDict())
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
 
 
-def preprocess(spark: SparkSession, roots: list[str], out: str, windows: fragment.Windows, sr: int | None = None, channels: int | None = None, include: list[str] = (), exclude: list[str] = (), loudness_threshold: float | None = None, features: dict[str, Column] | None = None, patterns: list[str] = (), hashed: list[str] = (), waveform: bool = True, force: bool = False) -> Dataset:
-    """Build a dataset. An existing one is an error, or is replaced with ``force``."""
-    rows, names = _with_features(_fragments(spark, roots, windows, sr, channels, include, exclude, loudness_threshold), features or {}, list(patterns))
+def _swapped(spark: SparkSession, path: str, name: str) -> None:
+    """``name.next`` takes the place of ``name``."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    old, new = hadoop(f"{path}/{name}"), hadoop(f"{path}/{name}.next")
+    system = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.delete(old, True)
+    if not system.rename(new, old):
+        raise OSError(f"{path}/{name}.next could not be renamed")
+
+
+def _resolved(features) -> tuple[dict[str, Column], dict[str, Column], list]:
+    """Columns by name, those to index, and hooks, of a dict of columns or a list of ``registry.Feature``."""
+    if isinstance(features, dict) or features is None:
+        return dict(features or {}), {}, []
+    values = {f.name: f.column() for f in features}
+    return values, {f.name: f.key() for f in features if f.hashed}, [f.pre_chunk for f in features if f.pre_chunk]
+
+
+def preprocess(spark: SparkSession, roots: list[str], out: str, windows: fragment.Windows, sr: int | None = None, channels: int | None = None, include: list[str] = (), exclude: list[str] = (), loudness_threshold: float | None = None, features=None, patterns: list[str] = (), hashed: list[str] = (), waveform: bool = True, force: bool = False, dir_parser: Callable[..., DataFrame] | None = None) -> Dataset:
+    """Build a dataset. An existing one is an error, or is replaced with ``force``.
+
+    features: columns by name, or ``registry.Feature`` objects. dir_parser: scans in place of ``sources.files.scan``.
+    """
+    values, keyed_by, hooks = _resolved(features)
+    scanned = (dir_parser or files.scan)(spark, list(roots), include, exclude)
+    rows, names = _with_features(_fragments(scanned, windows, sr, channels, loudness_threshold, hooks), values, list(patterns))
     keyed = incremental.numbered(rows, 0, ["start_pos"], "file_path")
-    keyed = keyed if waveform else keyed.drop("waveform")
-    meta = {"features": names, "hashed": sorted({*hashed, *globs.fields(list(patterns))}), "windows": asdict(windows), "sr": sr, "channels": channels, "include": list(include), "exclude": list(exclude), "patterns": list(patterns), "loudness_threshold": loudness_threshold}
-    _store(spark, keyed, out, meta["hashed"], meta, "overwrite" if force else "errorifexists")
+    meta = {"features": names, "hashed": sorted({*hashed, *globs.fields(list(patterns)), *keyed_by}), "windows": asdict(windows), "sr": sr, "channels": channels, "include": list(include), "exclude": list(exclude), "patterns": list(patterns), "loudness_threshold": loudness_threshold, "writer": "parquet", "parser": "windows", "fragment": "row"}
+    (keyed if waveform else keyed.drop("waveform")).write.mode("overwrite" if force else "errorifexists").parquet(f"{out}/fragments")
+    _index_of(spark.read.parquet(f"{out}/fragments"), {**{h: F.col(h) for h in meta["hashed"]}, **keyed_by}).write.mode("overwrite").parquet(f"{out}/feature_index")
+    _describe(spark, out, meta)
     return Dataset(spark, out)
 
 
-def update(spark: SparkSession, path: str, roots: list[str] = (), features: dict[str, Column] | None = None, hashed: list[str] = (), overwrite: bool = False) -> Dataset:
-    """Append files that are not stored yet, with the build's own options, and fill in features; then index anew."""
+def update(spark: SparkSession, path: str, roots: list[str] = (), features=None, hashed: list[str] = (), overwrite: bool = False, include: list[str] | None = None, exclude: list[str] | None = None, patterns: list[str] = ()) -> Dataset:
+    """Append files that are not stored yet, with the build's own options, and fill in features.
+
+    Stored files are left out before any is decoded. Without new features the new rows and their index entries are appended and
+    nothing stored is written again; with some, the rows are written once to a new folder that takes the old one's place.
+    """
     old = Dataset(spark, path)
-    meta = old.metadata
-    stored = old.rows
-    w = fragment.Windows(**meta["windows"])
+    meta, stored = old.metadata, old.rows
+    values, keyed_by, _ = _resolved(features)
+    if patterns:
+        values = {**{n: globs.captured(F.col("file_path"), ps, n) for n, ps in globs.fields(list(patterns)).items()}, **values}
+    fresh = None
     if roots:
-        fresh = _fragments(spark, list(roots), w, meta["sr"], meta["channels"], meta["include"], meta["exclude"], meta["loudness_threshold"])
-        fresh, _ = _with_features(fresh, {}, meta["patterns"])
-        stored = stored.unionByName(incremental.append(stored, fresh, "file_path", ["start_pos"]), allowMissingColumns=True)
-    stored = incremental.backfill(stored, features or {}, overwrite)
-    meta["features"] = list(dict.fromkeys([*meta["features"], *(features or {})]))
-    meta["hashed"] = sorted({*meta["hashed"], *hashed})
-    # to another folder first: a table is not overwritten while it is read
-    stored.write.mode("overwrite").parquet(f"{path}/fragments.next")
-    _store(spark, spark.read.parquet(f"{path}/fragments.next"), path, meta["hashed"], meta, "overwrite")
+        w = fragment.Windows(**meta["windows"])
+        scanned = files.scan(spark, list(roots), meta["include"] if include is None else include, meta["exclude"] if exclude is None else exclude)
+        scanned = incremental.new_files(scanned, stored, "file_path")
+        fresh, _ = _with_features(_fragments(scanned, w, meta["sr"], meta["channels"], meta["loudness_threshold"]), {}, meta["patterns"])
+        fresh = incremental.numbered(fresh, incremental.next_number(stored), ["start_pos"], "file_path")
+        fresh = fresh.select(*(c for c in fresh.columns if c in stored.columns))
+    before = set(meta["hashed"])
+    meta["features"] = list(dict.fromkeys([*meta["features"], *values]))
+    meta["hashed"] = sorted({*before, *hashed, *globs.fields(list(patterns)), *keyed_by})
+    if values or set(meta["hashed"]) != before:
+        rows = stored if fresh is None else stored.unionByName(fresh, allowMissingColumns=True)
+        incremental.backfill(rows, values, overwrite).write.mode("overwrite").parquet(f"{path}/fragments.next")
+        _swapped(spark, path, "fragments")
+        _index_of(spark.read.parquet(f"{path}/fragments"), {**{h: F.col(h) for h in meta["hashed"]}, **keyed_by}).write.mode("overwrite").parquet(f"{path}/feature_index")
+    elif fresh is not None:
+        first = incremental.frag_key(F.lit(incremental.next_number(stored)))
+        fresh.write.mode("append").parquet(f"{path}/fragments")
+        added = spark.read.option("mergeSchema", "true").schema(stored.schema).parquet(f"{path}/fragments").where(key_order(F.col("frag_key")) >= key_order(first))
+        _index_of(added, {h: F.col(h) for h in meta["hashed"]}).write.mode("append").parquet(f"{path}/feature_index")
+    _describe(spark, path, meta)
+    return Dataset(spark, path)
+
+
+def compact(spark: SparkSession, path: str, rows_a_file: int = 100_000) -> Dataset:
+    """The many files of appends as few ones, in key order; the rows stay as they are."""
+    stored = spark.read.parquet(f"{path}/fragments")
+    count = stored.count()
+    order = [F.length("frag_key"), F.col("frag_key")]
+    stored.repartitionByRange(max(1, -(-count // rows_a_file)), *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/fragments.next")
+    _swapped(spark, path, "fragments")
+    spark.read.parquet(f"{path}/feature_index").repartition("feature", "value").sortWithinPartitions("feature", "value", "key").write.mode("overwrite").parquet(f"{path}/feature_index.next")
+    _swapped(spark, path, "feature_index")
     return Dataset(spark, path)
 
 
-def add_embedding(spark: SparkSession, path: str, name: str, embed: Callable[[Column], Column], transforms: list[Callable[[Column], Column]] = ()) -> Dataset:
+def add_embedding(spark: SparkSession, path: str, name: str, embed: Callable[[Column], Column], transforms: list[Callable[[Column], Column]] = (), overwrite: bool = True) -> Dataset:
     """Adds the embedding of the first channel and of each transform of it: 1 + n views."""
     from .operators.signal import views
 
-    return update(spark, path, features={name: views(F.element_at("waveform", 1), embed, list(transforms))}, overwrite=True)
+    return update(spark, path, features={name: views(F.element_at("waveform", 1), embed, list(transforms))}, overwrite=overwrite)
 
 
 def info(dataset: Dataset, check: list[str] = ()) -> dict[str, DataFrame]:
     """files, missing and columns of a dataset."""
-    out = {"files": index.files(dataset.rows, "file_path"), "columns": index.describe(dataset.rows)}
+    out = {"files": index.files(dataset.rows, "file_path"), "columns": index.describe(dataset.rows), "shapes": index.shapes(dataset.rows, "frag_key")}
     return out | ({"missing": index.missing(dataset.rows, list(check), "frag_key")} if check else {})

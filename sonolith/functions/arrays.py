@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,14 +10,24 @@ from pyspark.sql import functions as F
 PAD_MODES = ("discard", "zero", "repeat", "replicate", "reflect")
 
 
-def starts(n: Column, chunk: int, hop: int, least: int) -> Column:
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f mentions it (also inside lambdas)."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _lit(x) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
+def starts(n: Column, chunk, hop, least) -> Column:
     """0, hop, 2 hop ... for windows that hold ``least`` samples at least; none for shorter signals."""
-    return F.when(n >= least, F.sequence(F.lit(0), F.greatest(n - least, F.lit(0)), F.lit(hop))).otherwise(F.array().cast("array<int>"))
+    return F.when(n >= _lit(least), F.sequence(F.lit(0), F.greatest(n - _lit(least), F.lit(0)), _lit(hop))).otherwise(F.array().cast("array<int>"))
 
 
-def pad(x: Column, size: int, mode: str) -> Column:
+def pad(x: Column, size, mode: str) -> Column:
     """Append to ``size`` samples. Repeat and reflect go in passes of at most the length less one; a single sample is repeated."""
-    missing = F.lit(size) - F.size(x)
+    size = _lit(size)
+    missing = size - F.size(x)
     if mode == "zero":
         return F.when(missing > 0, F.concat(x, F.array_repeat(F.abs(F.element_at(x, 1) * 0), missing))).otherwise(x)
     if mode == "replicate":
@@ -26,20 +36,29 @@ def pad(x: Column, size: int, mode: str) -> Column:
         raise ValueError(f"no padding mode {mode}")
 
     def once(y: Column, _: Column) -> Column:
-        m = F.greatest(F.least(F.lit(size) - F.size(y), F.size(y) - 1), F.lit(0))
+        m = F.greatest(F.least(size - F.size(y), F.size(y) - 1), F.lit(0))
         return F.concat(y, F.slice(y, F.lit(1), m) if mode == "repeat" else F.reverse(F.slice(y, F.size(y) - m, m)))
 
-    passes = F.sequence(F.lit(1), F.lit(max(1, math.ceil(math.log2(size)) + 1)))
+    passes = F.sequence(F.lit(1), F.ceil(F.log2(size.cast("double"))).cast("int") + 1)
     grown = F.aggregate(passes, x, once)
     return F.when(missing <= 0, x).when(F.size(x) == 1, F.array_repeat(F.element_at(x, 1), size)).otherwise(grown)
 
 
-def centred(x: Column, size: int) -> Column:
-    """Crop or zero-pad on both sides, the smaller half in front."""
-    n = F.size(x)
-    front = F.floor(F.abs(F.lit(size) - n) / 2).cast("int")
+def centred(x: Column, size, mode: str = "reflect") -> Column:
+    """Crop or pad on both sides, the smaller half in front: by mirrored ends (as far as the signal goes, then zeros) or by zeros."""
+    if mode not in ("reflect", "zero"):
+        raise ValueError(f"no padding mode {mode}")
+    n, size = F.size(x), _lit(size)
+    front = F.floor(F.abs(size - n) / 2).cast("int")
+    back = size - n - front
     zero = F.abs(F.element_at(x, 1) * 0)
-    return F.when(n >= size, F.slice(x, front + 1, F.lit(size))).otherwise(F.concat(F.array_repeat(zero, front), x, F.array_repeat(zero, F.lit(size) - n - front)))
+    zeros = lambda k: F.array_repeat(zero, F.greatest(k, F.lit(0)))
+    if mode == "zero":
+        padded = F.concat(zeros(front), x, zeros(back))
+    else:
+        k, m = F.least(front, n - 1), F.greatest(F.least(back, n - 1), F.lit(0))
+        padded = F.concat(zeros(front - k), F.reverse(F.slice(x, F.lit(2), k)), x, F.reverse(F.slice(x, F.greatest(n - m, F.lit(1)), m)), zeros(back - m))
+    return F.when(n >= size, F.slice(x, front + 1, size)).when(n == 0, F.array_repeat(F.lit(0.0), size)).otherwise(padded)
 
 
 def fix_channels(x: Column, channels: int) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrays import peak
+from .arrays import bound, centred, peak
 from .keys import shuffle_hash, uniform
 
 
@@ -31,7 +31,7 @@ def _before(x: Column) -> Column:
 def gain(x: Column, db: Column) -> Column:
     """Times 10^(db/20), then divided by the peak where that is above 1."""
     loud = F.transform(x, lambda v: v.cast("double") * F.pow(F.lit(10.0), db / 20))
-    return F.transform(loud, lambda v: v / F.greatest(peak(loud), F.lit(1.0)))
+    return bound(loud, lambda y: bound(F.greatest(peak(y), F.lit(1.0)), lambda top: F.transform(y, lambda v: v / top)))
 
 
 def gain_plain(x: Column, db: Column) -> Column:
@@ -40,8 +40,8 @@ def gain_plain(x: Column, db: Column) -> Column:
 
 def normalise(x: Column, max_db: float = 30.0) -> Column:
     """To a peak of 1, by at most ``max_db``; silence stays."""
-    factor = F.when(peak(x) > 0, F.least(1.0 / peak(x).cast("double"), F.lit(10 ** (max_db / 20)))).otherwise(1.0)
-    return F.transform(x, lambda v: v.cast("double") * factor)
+    factor = lambda top: F.when(top > 0, F.least(1.0 / top, F.lit(10 ** (max_db / 20)))).otherwise(1.0)
+    return bound(peak(x).cast("double"), lambda top: bound(factor(top), lambda k: F.transform(x, lambda v: v.cast("double") * k)))
 
 
 def pre_emphasis(x: Column, c: float = 0.97) -> Column:
@@ -66,10 +66,10 @@ def clip(x: Column, low: float = -0.9, high: float = 0.9) -> Column:
 
 
 def clip_share(x: Column, share: float) -> Column:
-    """Clipping distortion: limits at the sample of rank share/2 from either end."""
-    ranked = F.array_sort(_d(x))
+    """Clipping distortion: limits at the sample of rank share/2 from either end. Sorted once."""
     k = F.floor(F.lit(share / 2) * F.size(x)).cast("int")
-    return F.transform(x, lambda v: F.greatest(F.least(v.cast("double"), F.element_at(ranked, F.size(x) - k)), F.element_at(ranked, k + 1)))
+    ends = lambda r: F.struct(F.element_at(r, k + 1).alias("low"), F.element_at(r, F.size(r) - k).alias("high"))
+    return F.when(F.size(x) > 0, bound(bound(F.array_sort(_d(x)), ends), lambda e: F.transform(x, lambda v: F.greatest(F.least(v.cast("double"), e["high"]), e["low"])))).otherwise(_d(x))
 
 
 def tanh(x: Column, drive: float = 4.0) -> Column:
@@ -100,13 +100,21 @@ def shift(x: Column, by: Column, roll: bool = True) -> Column:
 
 
 def delay(x: Column, samples: Column, mix: Column) -> Column:
-    """x[n] + mix * x[n - samples]; a whole part by slices and a fraction between two of them, then without its mean."""
-    whole, part = F.floor(samples).cast("int"), samples - F.floor(samples)
-    late = lambda k: F.slice(F.concat(F.array_repeat(F.lit(0.0), k), _d(x)), F.lit(1), F.size(x))
-    between = F.zip_with(late(whole), late(whole + 1), lambda a, b: a * (1 - part) + b * part)
-    wet = F.zip_with(_d(x), between, lambda a, b: a + mix * b)
-    mean = F.aggregate(wet, F.lit(0.0), lambda s, v: s + v) / F.size(x)
-    return F.transform(wet, lambda v: v - mean)
+    """Comb filter: x[n] + mix * x[n - samples], of a fraction by the line through the next two whole delays; shorter by the
+    longer of these, and brought back to the old length by mirrored ends."""
+    first = F.floor(samples).cast("int") + 1
+    part, n = samples - first, F.size(x)
+
+    def wet(y: Column) -> Column:
+        late = F.zip_with(F.slice(y, F.lit(2), n - first - 1), F.slice(y, F.lit(1), n - first - 1), lambda a, b: a * (1 - part) + b * part)
+        return bound(F.zip_with(F.slice(y, first + 2, n), late, lambda a, b: a + mix * b), lambda z: centred(z, n, "reflect"))
+
+    return F.when(n > first + 1, bound(_d(x), wet)).otherwise(_d(x))
+
+
+def random_delay(x: Column, u: Column, v: Column, longest: int = 1024) -> Column:
+    """By up to ``longest`` samples, mixed by the cube of a number from -1 to 1."""
+    return delay(x, u * (longest - 1), F.pow(v * 2 - 1, F.lit(3.0)))
 
 
 def bitcrush(x: Column, bits: int = 5) -> Column:
@@ -167,3 +175,23 @@ def compose(x: Column, steps: list[tuple[Callable[[Column], Column], float | Non
     for k, (f, p) in enumerate(steps):
         x = maybe(_d(x), f(x), key, p, seed * 1000 + k)
     return x
+
+
+def short_noises(x: Column, key: Column, seed: int = 0, every: int = 4000, size: int = 800, db: float = -20.0) -> Column:
+    """A burst of noise in each stretch of ``every`` samples, at a random place in it, fading in and out."""
+
+    def burst(v: Column, i: Column) -> Column:
+        stretch = F.floor(i / every).cast("int")
+        at = i - stretch * every - F.floor(_unit(key, stretch, f"{seed}p") * max(1, every - size)).cast("int")
+        fade = F.sin(F.least(F.greatest(at / float(size), F.lit(0.0)), F.lit(1.0)) * 3.141592653589793)
+        return F.when((at >= 0) & (at < size), v.cast("double") + fade * _normal(key, i, seed) * 10 ** (db / 20)).otherwise(v.cast("double"))
+
+    return F.transform(x, burst)
+
+
+def mixed(x: Column, noise: Column, db: Column) -> Column:
+    """Background noise at a level (signal to noise, by energy), repeated or cut to the signal's length."""
+    energy = lambda y: F.aggregate(y, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")) / F.size(y)
+    level = F.sqrt(F.try_divide(energy(x), energy(noise))) * F.pow(F.lit(10.0), -db / 20)
+    usable = (F.size(noise) > 0) & level.isNotNull()
+    return F.when(usable, bound(level, lambda k: bound(_d(noise), lambda y: F.transform(x, lambda v, i: v.cast("double") + k * F.get(y, F.pmod(i, F.size(y))))))).otherwise(_d(x))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import global_rank, shuffle_hash, uniform
+from ..functions.keys import global_rank, ordered_rank, shuffle_hash, uniform
 
 
 def concatenate(parts: list[DataFrame], weights: list[float] | None = None) -> DataFrame:
@@ -22,11 +26,11 @@ def concatenate(parts: list[DataFrame], weights: list[float] | None = None) -> D
 
 
 def positions(combined: DataFrame, key: str) -> DataFrame:
-    """Adds position: rows in the order of dataset and key. Ranked within each dataset; sizes are added up over datasets."""
+    """Adds position: rows in the order of dataset and key. Ranked within each dataset by ranges of keys; sizes are added up over datasets."""
     sizes = combined.groupBy("ds_id").agg(F.count("*").alias("_n"))
-    before = sizes.select("ds_id", F.coalesce(F.sum("_n").over(Window.orderBy("ds_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    local = combined.withColumn("_k", F.row_number().over(Window.partitionBy("ds_id").orderBy(key)) - 1)
-    return local.join(F.broadcast(before), "ds_id").withColumn("position", (F.col("_before") + F.col("_k")).cast("long")).drop("_before", "_k")
+    before = sizes.select("ds_id", F.coalesce(F.sum("_n").over(Window.orderBy("ds_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_low"))
+    local = ordered_rank(combined, key, "_k0", "ds_id")
+    return local.join(F.broadcast(before), "ds_id").withColumn("position", (F.col("_low") + F.col("_k0")).cast("long")).drop("_low", "_k0")
 
 
 def member_of(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -46,15 +50,64 @@ def random_order(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
     return global_rank(rows, shuffle_hash(F.col(key), seed), F.col(key), "position")
 
 
-def balanced_batches(rows: DataFrame, label: str, key: str, batch: int, seed: int = 0, keep_rest: bool = False) -> DataFrame:
-    """batch_id, label, key. Every class gives as many rows as the smallest one, in hash order; rows of equal rank in
-    their class stand together in a shuffled order, and the sequence is cut into batches."""
-    least = rows.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n").alias("least"))
-    ranked = rows.select(label, key).withColumn("rn", F.row_number().over(Window.partitionBy(label).orderBy(shuffle_hash(F.col(key), seed), key)))
-    even = ranked.join(F.broadcast(least)).where("rn <= least")
-    classes = rows.select(label).distinct().withColumn("c", F.row_number().over(Window.orderBy(shuffle_hash(F.col(label), seed), label)) - 1)
-    count = classes.agg(F.count("*").alias("classes"))
-    placed = even.join(classes, label).join(F.broadcast(count)).withColumn("at", (F.col("rn") - 1) * F.col("classes") + F.col("c"))
-    out = placed.withColumn("batch_id", F.floor(F.col("at") / batch).cast("long"))
-    full = F.floor(F.col("least") * F.col("classes") / batch)
-    return (out if keep_rest else out.where(F.col("batch_id") < full)).select("batch_id", label, key)
+def drawn(sizes: list[tuple[str, int]], batch: int, seed: int = 0, normalise: bool = True):
+    """(batch_id, slot, label, number) of draws of classes: draw k takes the live class at place hash(seed, k) modulo their number.
+
+    With ``normalise`` a class that has no more rows left than the smallest one had at the start retires when it is drawn, else one
+    that has none. It ends when fewer classes than ``batch`` live; a batch that is open then is not given.
+    """
+    live = [[label, n, 0] for label, n in sorted(sizes)]
+    least = min((n for _, n in sizes), default=0) if normalise else 0
+    held, k, done = [], 0, 0
+    while len(live) >= batch:
+        at = int(hashlib.md5(f"{seed}:{k}".encode()).hexdigest()[:8], 16) % len(live)
+        k += 1
+        if live[at][1] - live[at][2] <= least:
+            del live[at]
+            continue
+        live[at][2] += 1
+        held.append((done, len(held), live[at][0], live[at][2]))
+        if len(held) == batch:
+            yield from held
+            held, done = [], done + 1
+
+
+def balanced_batches(rows: DataFrame, label: str, key: str, batch: int, seed: int = 0, normalise: bool = True, keep_rest: bool = False) -> DataFrame:
+    """batch_id, label, key: classes are drawn with replacement for each batch, and of a class its next row in hash order.
+
+    The draws come from one task that keeps a number for each class and sees no rows; rows are ranked in their class by ranges of
+    hashes. With ``keep_rest`` the rows that were not drawn follow, in the order of label and rank, in batches from the last id on.
+    """
+    rows = rows.select(label, key)
+    counted = rows.groupBy(F.col(label).cast("string").alias("l")).agg(F.count("*").alias("n"))
+    sizes = counted.agg(F.collect_list(F.struct("l", "n")).alias("s"))  # the classes
+
+    def draws(batches):
+        for frame in batches:
+            for found in frame["s"]:
+                some = drawn([(r["l"], r["n"]) for r in found], batch, seed, normalise)
+                while part := list(itertools.islice(some, 10_000)):
+                    yield pd.DataFrame(part, columns=["batch_id", "slot", "_l", "_n"])
+
+    plan = sizes.mapInPandas(draws, "batch_id long, slot int, _l string, _n long")
+    hashed = rows.withColumn("_l", F.col(label).cast("string")).withColumn("_h", shuffle_hash(F.col(key), seed))
+    ranked = ordered_rank(hashed, "_h", "_k", "_l").withColumn("_n", F.col("_k") + 1)
+    out = ranked.join(plan, ["_l", "_n"]).select("batch_id", label, key)
+    if not keep_rest:
+        return out
+    rest = ranked.join(plan, ["_l", "_n"], "left_anti").withColumn("_ord", F.concat("_l", F.lit("/"), F.lpad(F.col("_n").cast("string"), 20, "0")))
+    last = plan.agg(F.coalesce(F.max("batch_id") + 1, F.lit(0)).alias("_last"))
+    rest = ordered_rank(rest.select("_ord", label, key), "_ord", "_p").join(F.broadcast(last))
+    return out.unionByName(rest.select((F.col("_last") + F.floor(F.col("_p") / batch)).cast("long").alias("batch_id"), label, key))
+
+
+def epoch(rows: DataFrame, key: str, n: int | None = None, seed: int = 0, replace: bool = False) -> DataFrame:
+    """draw, key: an epoch of a random sampler. Without replacement the first n of the random order (all by default), with it n draws."""
+    ranked = random_order(rows.select(key), key, seed)
+    if not replace:
+        return (ranked if n is None else ranked.where(F.col("position") < n)).select(F.col("position").alias("draw"), key)
+    size = rows.agg(F.count("*").alias("_size"))
+    total = rows.count() if n is None else n
+    place = F.conv(F.substring(shuffle_hash(F.concat_ws("/", F.lit("draw"), F.col("draw")), seed), 1, 13), 16, 10).cast("long")
+    draws = rows.sparkSession.range(total).withColumnRenamed("id", "draw").join(F.broadcast(size.where("_size > 0"))).withColumn("position", place % F.col("_size"))
+    return draws.join(ranked, "position").select("draw", key)

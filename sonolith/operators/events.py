@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,19 +46,30 @@ def onset_rise(value: Column, w) -> Column:
 
 
 def merge_close(rows: DataFrame, by: str, time: str, width: float) -> DataFrame:
-    """Runs of peaks of which each lies within ``width`` of the running mean of its run, as their means. Sequential within ``by``."""
-    state = "struct<mean:double,n:int,out:array<double>>"
-    times = F.transform(F.sort_array(F.collect_list(F.col(time).cast("double"))), lambda v: v)
+    """by, peak (from 0 on), time: runs of peaks of which each lies within ``width`` of the running mean of its run, as their means.
 
-    def step(s: Column, t: Column) -> Column:
-        near = (s["n"] > 0) & (t - s["mean"] <= width)
-        out = F.when(near | (s["n"] == 0), s["out"]).otherwise(F.concat(s["out"], F.array(s["mean"])))
-        return F.struct(F.when(near, s["mean"] + (t - s["mean"]) / (s["n"] + 1)).otherwise(t).alias("mean"), F.when(near, s["n"] + 1).otherwise(F.lit(1)).alias("n"), out.alias("out"))
+    Sequential within ``by``: rows stream through in order, and a run's mean and size are all that is kept.
+    """
 
-    start = F.struct(F.lit(0.0).alias("mean"), F.lit(0).alias("n"), F.array().cast("array<double>").alias("out")).cast(state)
-    grouped = rows.groupBy(by).agg(times.alias("t"))
-    merged = F.aggregate("t", start, step, lambda s: F.when(s["n"] > 0, F.concat(s["out"], F.array(s["mean"]))).otherwise(s["out"]))
-    return grouped.select(by, F.posexplode(merged).alias("peak", time))
+    def merged(batches):
+        now, peak, mean, n = None, 0, 0.0, 0
+        for batch in batches:
+            out: list[tuple] = []
+            for own, t in zip(batch[by].tolist(), batch[time].tolist(), strict=True):
+                if n and own == now and t - mean <= width:
+                    n += 1
+                    mean += (t - mean) / n
+                    continue
+                if n:
+                    out.append((now, peak, mean))
+                peak = peak + 1 if n and own == now else 0
+                now, mean, n = own, t, 1
+            yield pd.DataFrame(out, columns=[by, "peak", time])
+        if n:
+            yield pd.DataFrame([(now, peak, mean)], columns=[by, "peak", time])
+
+    own = rows.select(by, F.col(time).cast("double").alias(time)).where(F.col(by).isNotNull() & F.col(time).isNotNull())
+    return own.repartition(by).sortWithinPartitions(by, time).mapInPandas(merged, f"{by} {rows.schema[by].dataType.simpleString()}, peak int, {time} double")
 
 
 def nearest(points: DataFrame, beats: DataFrame, by: str, time: str, name: str = "nearest") -> DataFrame:
@@ -73,16 +85,15 @@ def nearest(points: DataFrame, beats: DataFrame, by: str, time: str, name: str =
 
 
 def beat_numbers(beats: DataFrame, by: str, order: list[str], downbeat: str) -> DataFrame:
-    """Adds beat: place in its bar. A pickup bar counts so that it ends with the number before the first full bar's end."""
+    """Adds beat: place in its bar. A pickup bar counts so that it ends where the first full bar does; where it is not
+    shorter than that bar, or fewer than two downbeats are known, it counts from 2 on."""
     w = Window.partitionBy(by).orderBy(*order)
     bar = F.sum(F.col(downbeat).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    barred = beats.withColumn("_bar", bar)
-    inside = Window.partitionBy(by, "_bar").orderBy(*order)
-    longest = barred.where("_bar > 0").groupBy(by, "_bar").agg(F.count("*").alias("_n")).groupBy(by).agg(F.max("_n").alias("_most"))
-    pickup = F.count("*").over(Window.partitionBy(by, "_bar"))
-    counted = barred.withColumn("_k", F.row_number().over(inside)).withColumn("_pickup", pickup).join(longest, by, "left")
-    beat = F.when(F.col("_bar") > 0, F.col("_k")).otherwise(F.greatest(F.coalesce("_most", "_pickup") - F.col("_pickup"), F.lit(0)) + F.col("_k"))
-    return counted.withColumn("beat", beat.cast("int")).drop("_bar", "_k", "_pickup", "_most")
+    barred = beats.withColumn("_bar", bar).withColumn("_k", F.row_number().over(Window.partitionBy(by, "_bar").orderBy(*order)))
+    known = barred.groupBy(by).agg(F.max("_bar").alias("_bars"), F.count(F.when(F.col("_bar") == 0, 1)).alias("_pickup"), F.count(F.when(F.col("_bar") == 1, 1)).alias("_first"))
+    start = F.when((F.col("_bars") >= 2) & (F.col("_pickup") < F.col("_first")), F.col("_first") - F.col("_pickup")).otherwise(1)
+    counted = barred.join(known, by)
+    return counted.withColumn("beat", F.when(F.col("_bar") > 0, F.col("_k")).otherwise(start + F.col("_k")).cast("int")).drop("_bar", "_k", "_bars", "_pickup", "_first")
 
 
 def beat_clock(points: DataFrame, beats: DataFrame, by: str, time: str) -> DataFrame:
@@ -106,3 +117,12 @@ PITCH_NAMES = ("X", "A", "A#", "B", "C", "C#", "D", "D#", "E", "F", "F#", "G", "
 
 def pitch_name(cls: Column) -> Column:
     return F.element_at(F.array(*(F.lit(n) for n in PITCH_NAMES)), cls + 2)
+
+
+def pitch_of_name(name: Column) -> Column:
+    """The pitch class of a note name such as ``A#3`` or ``G♯-1`` (flats too); -1 for X, null for anything else."""
+    root = F.regexp_extract(name, r"^([A-G][#b♯♭]?)(-?\d+)?$", 1)
+    letters = {"A": 0, "B": 2, "C": 3, "D": 5, "E": 7, "F": 8, "G": 10}
+    base = F.create_map(*(F.lit(v) for pair in letters.items() for v in pair))[F.substring(root, 1, 1)]
+    accidental = F.when(F.substring(root, 2, 1).isin("#", "♯"), 1).when(F.substring(root, 2, 1).isin("b", "♭"), -1).otherwise(0)
+    return F.when(name == "X", F.lit(-1)).when(root != "", F.pmod(base + accidental, F.lit(12)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays
@@ -24,24 +24,30 @@ class Windows:
     least: int | float | None = None
     sr: int = 44100
 
-    def samples(self) -> tuple[int, int, int]:
-        chunk = self.chunk if isinstance(self.chunk, int) else int(self.chunk * self.sr)
+    def in_seconds(self) -> bool:
+        return isinstance(self.chunk, float) or isinstance(self.hop, float)
+
+    def samples(self, sr: int | Column | None = None):
+        """Chunk, hop and least window in samples, at a rate (the own one by default) or a column of rates."""
+        sr = self.sr if sr is None else sr
+        count = lambda v: v if isinstance(v, int) else F.floor(F.lit(v) * sr).cast("int") if isinstance(sr, Column) else int(v * sr)
         if self.hop is not None and self.overlap is not None:
             raise ValueError("give hop or overlap, not both")
         if self.pad not in arrays.PAD_MODES:
             raise ValueError(f"no padding mode {self.pad}")
-        if self.overlap is not None:
-            if not 0 <= self.overlap < 1:
-                raise ValueError("overlap is a share of the chunk: from 0 to below 1")
-            hop = int(round((1 - self.overlap) * chunk))
-        elif self.hop is None:
-            hop = chunk
-        else:
-            hop = self.hop if isinstance(self.hop, int) else int(self.hop * self.sr)
-        if chunk < 1 or hop < 1:
+        if self.overlap is not None and not 0 <= self.overlap < 1:
+            raise ValueError("overlap is a share of the chunk: from 0 to below 1")
+        chunk = count(self.chunk)
+        whole = isinstance(chunk, int)
+        share = lambda k, up: (int(round(k * chunk)) if up else int(k * chunk)) if whole else (F.round(k * chunk) if up else F.floor(k * chunk)).cast("int")
+        hop = share(1 - self.overlap, True) if self.overlap is not None else chunk if self.hop is None else count(self.hop)
+        if (whole and chunk < 1) or (isinstance(hop, int) and hop < 1):
             raise ValueError("chunk and hop are one sample at least")
-        least = chunk if self.pad == "discard" and self.least is None else 1 if self.least is None else self.least if isinstance(self.least, int) else int(self.least * chunk)
-        return chunk, hop, max(1, min(least, chunk))
+        least = chunk if self.pad == "discard" and self.least is None else 1 if self.least is None else self.least if isinstance(self.least, int) else share(self.least, False)
+        if whole:
+            return chunk, hop, max(1, min(least, chunk))
+        one = lambda v: F.greatest(v if isinstance(v, Column) else F.lit(v), F.lit(1))
+        return one(chunk), one(hop), one(F.least(least if isinstance(least, Column) else F.lit(least), chunk))
 
 
 def fragments(signals: DataFrame, windows: Windows, signal: str = "waveform", out: str = "waveform") -> DataFrame:
@@ -60,7 +66,9 @@ def louder(rows: DataFrame, threshold: float | None, level, signal: str = "wavef
     return rows if threshold is None else rows.where(level(F.col(signal)) >= threshold)
 
 
+#: The shipped configurations of two training set-ups, and of the default (seconds).
 PRESETS = {
+    "default": Windows(1.0, hop=0.5),
     "half_overlap_padded": Windows(262144, hop=131072, pad="zero", least=32000),
     "half_overlap_whole": Windows(524288, hop=262144, pad="discard"),
 }

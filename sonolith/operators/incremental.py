@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import frag_key
+from ..functions.keys import frag_key, key_order
 
 
 def new_files(incoming: DataFrame, stored: DataFrame, path: str) -> DataFrame:
@@ -23,8 +23,8 @@ def numbered(rows: DataFrame, first: int, order: list[str], by: str) -> DataFram
 
 
 def next_number(stored: DataFrame) -> int:
-    top = stored.agg(F.max("frag_key")).first()[0]
-    return 0 if top is None else int(top) + 1
+    top = stored.agg(F.max(key_order(F.col("frag_key"))).alias("k")).first()[0]
+    return 0 if top is None else int(top[1]) + 1
 
 
 def append(stored: DataFrame, incoming: DataFrame, path: str, order: list[str]) -> DataFrame:

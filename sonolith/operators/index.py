@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import shuffle_hash
+from ..functions.keys import ordered_rank, shuffle_hash
 
 
 def feature_index(rows: DataFrame, features: dict[str, Column], key: str) -> DataFrame:
@@ -37,18 +37,25 @@ def require_values(index: DataFrame, wanted: dict[str, list]) -> None:
 
 
 def first_n(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:
-    """The first n keys of each group."""
+    """The first n keys of each group. Spark keeps n rows a group and partition before it shuffles them."""
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy(key))).where(F.col("rn") <= n)
 
 
 def sample_n(rows: DataFrame, group: str, key: str, n: int, seed: int) -> DataFrame:
     """n draws with replacement from each group: draw i takes the key whose place in the group's order is hash(seed, group, i) mod size."""
-    numbered = rows.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1)
+    numbered = ordered_rank(rows.select(group, key), key, "place", group)
     sizes = rows.groupBy(group).agg(F.count("*").alias("n"))
-    draws = sizes.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("place", (F.conv(F.substring(shuffle_hash(F.concat_ws("/", F.col(group), F.col("draw")), seed), 1, 8), 16, 10).cast("long") % F.col("n")).cast("int")).drop("n")
+    draws = sizes.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("place", F.conv(F.substring(shuffle_hash(F.concat_ws("/", F.col(group), F.col("draw")), seed), 1, 8), 16, 10).cast("long") % F.col("n")).drop("n")
     return draws.join(numbered, [group, "place"]).select(group, "draw", key)
 
 
+def draw_n(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """n draws with replacement from all rows: draw, key."""
+    from .combine import epoch
+
+    return epoch(rows, key, n, seed, replace=True)
+
+
 def required(rows: DataFrame, names: list[str]) -> DataFrame:
     """Rows that have all the features; an unknown name is an error."""
     if unknown := [n for n in names if n not in rows.columns]:
@@ -81,3 +88,13 @@ def missing(rows: DataFrame, names: list[str], key: str) -> DataFrame:
 def describe(rows: DataFrame) -> DataFrame:
     """column, type: the layout of a dataset."""
     return rows.sparkSession.createDataFrame([(f.name, f.dataType.simpleString()) for f in rows.schema], "column string, type string")
+
+
+def shapes(rows: DataFrame, key: str, rate: str | None = "sr") -> DataFrame:
+    """key, column, shape, sr: of every array column its sizes along the first and the second axis, and the row's rate."""
+    arrays = [f.name for f in rows.schema if f.dataType.typeName() == "array"]
+    nested = {f.name for f in rows.schema if f.dataType.typeName() == "array" and f.dataType.elementType.typeName() == "array"}
+    of = lambda c: F.when(F.col(c).isNotNull(), F.array(F.size(c), F.size(F.get(c, F.lit(0)))) if c in nested else F.array(F.size(c)))
+    listed = F.array(*(F.struct(F.lit(c).alias("column"), of(c).alias("shape")) for c in arrays))
+    own = F.col(rate).cast("int") if rate in rows.columns else F.lit(None).cast("int")
+    return rows.select(key, own.alias("sr"), F.explode(listed).alias("s")).where("s.shape is not null").select(key, "s.column", "s.shape", "sr")

@@ -19,8 +19,18 @@ class Item:
     index: tuple | None
     alias: str | None
 
-    def column(self) -> Column:
-        x = F.col(self.name)
+    def column(self, rows: DataFrame | None = None) -> Column:
+        """By kind: ``audio`` gives doubles (16-bit samples by their scale), ``array`` the values as they are, ``buffer`` their JSON
+        as bytes, none the values as they are."""
+        x = self._indexed(F.col(self.name))
+        kind = rows.schema[self.name].dataType.simpleString() if rows is not None and self.name in rows.columns else ""
+        if self.kind == "audio" and "smallint" in kind:
+            return decoded(x, kind.count("array") - (self.index is not None and len(self.index) == 1))
+        if self.kind == "buffer":
+            return F.encode(F.to_json(F.struct(x.alias("value"))), "UTF-8")
+        return x
+
+    def _indexed(self, x: Column) -> Column:
         if self.index is None:
             return x
         if len(self.index) == 1:
@@ -32,6 +42,11 @@ class Item:
         return cut if step in (None, 1) else F.filter(cut, lambda _, i: i % step == 0)
 
 
+def decoded(x: Column, depth: int) -> Column:
+    """16-bit samples as doubles, in arrays of that depth."""
+    return x.cast("double") / F.lit(32767.0) if depth < 1 else F.transform(x, lambda v: decoded(v, depth - 1))
+
+
 def _item(text: str, named: bool) -> Item:
     body, *alias = (p.strip() for p in text.split("->"))
     if len(alias) > 1 or (alias and not named):
@@ -69,4 +84,29 @@ def project(rows: DataFrame, pattern: str, keep: tuple[str, ...] = ()) -> DataFr
     """The pattern's columns: a scalar under its name, a tuple as _0, _1 ..., a dict under its aliases."""
     shape, items = parse(pattern)
     name = {"scalar": lambda i, k: i.name, "tuple": lambda i, k: f"_{k}", "dict": lambda i, k: i.alias or i.name}[shape]
-    return rows.select(*keep, *(i.column().alias(name(i, k)) for k, i in enumerate(items)))
+    return rows.select(*keep, *(i.column(rows).alias(name(i, k)) for k, i in enumerate(items)))
+
+
+def transformed(projected: DataFrame, pattern: str, steps) -> DataFrame:
+    """Transforms on a projection: by position for a tuple, by name for a dict, the first (or only) one for a scalar. Each maps
+    a channel where the column is an array of channels, else the array."""
+    shape, items = parse(pattern)
+    if not steps:
+        return projected
+    if shape == "dict":
+        if not isinstance(steps, dict):
+            raise TypeError("transforms of a dict are given by name")
+        chosen = dict(steps)
+        if unknown := sorted(set(chosen) - {i.alias or i.name for i in items}):
+            raise KeyError(f"no outputs {', '.join(unknown)}")
+    elif shape == "tuple":
+        chosen = {f"_{k}": f for k, f in enumerate(steps)}
+        if len(chosen) > len(items):
+            raise ValueError("more transforms than outputs")
+    else:
+        chosen = {items[0].name: steps if callable(steps) else next(iter(steps))}
+    for name, f in chosen.items():
+        if f is not None:
+            channels = projected.schema[name].dataType.simpleString().startswith("array<array")
+            projected = projected.withColumn(name, F.transform(name, f) if channels else f(F.col(name)))
+    return projected

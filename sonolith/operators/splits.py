@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,34 +48,45 @@ def split_labels(rows: DataFrame, labels: list[str], ratios: dict[str, float], s
     return named.join(distinct, "_label").drop("_label")
 
 
-def balanced_plan(sizes: list[tuple[str, int]], ratios: dict[str, float]) -> dict[str, str | None]:
-    """Label to part. Labels come smallest first, ties by name; each goes to the next part, in turn, that still has room for all its rows."""
-    total = sum(n for _, n in sizes)
-    room = {p: r * total for p, r in ratios.items()}
-    names, turn, out = list(ratios), 0, {}
-    for label, n in sorted(sizes, key=lambda s: (s[1], s[0])):
-        out[label] = None
-        for k in range(len(names)):
-            part = names[(turn + k) % len(names)]
-            if n <= room[part]:
-                room[part] -= n
-                out[label] = part
-                turn = (turn + k + 1) % len(names)
-                break
-    return out
+def balanced_plan(sizes, ratios: dict[str, float], total: int, tolerance: float = 0.1):
+    """(label, part) of labels that come smallest first: each goes to the first part, in turn, that stays under floor(ratio * total)
+    plus the tolerance (a share of ratio * total); else to none. Whether it was placed or not, the turn goes one part back."""
+    names, taken = list(ratios), dict.fromkeys(ratios, 0)
+    room = {p: math.floor(r * total) + tolerance * total * r for p, r in ratios.items()}
+    for i, (label, n) in enumerate(sizes):
+        order = (names[(k - i) % len(names)] for k in range(len(names)))
+        part = next((p for p in order if taken[p] + n < room[p]), None)
+        if part is not None:
+            taken[part] += n
+        yield label, part
 
 
-def split_balanced(rows: DataFrame, label: str, ratios: dict[str, float], most_labels: int = 1_000_000) -> DataFrame:
-    """Adds split. The driver sees label sizes alone, ``most_labels`` at most."""
+def split_balanced(rows: DataFrame, label: str, ratios: dict[str, float], tolerance: float = 0.1) -> DataFrame:
+    """Adds split. The labels' sizes, in order, pass through one task that keeps a number for each part, however many labels there are."""
     _checked(ratios)
     text = F.coalesce(F.col(label).cast("string"), F.lit(""))
-    counted = rows.groupBy(text.alias("_label")).agg(F.count("*").alias("n")).limit(most_labels + 1).collect()
-    if len(counted) > most_labels:
-        raise ValueError(f"more than {most_labels} labels; split by label instead")
-    plan = rows.sparkSession.createDataFrame(list(balanced_plan([tuple(r) for r in counted], ratios).items()), "_label string, split string")
+    counted = rows.groupBy(text.alias("_label")).agg(F.count("*").alias("n"))
+    total = rows.count()
+
+    def placed(batches):
+        labels = (row for batch in batches for row in zip(batch["_label"], batch["n"].tolist(), strict=True))
+        found = balanced_plan(labels, ratios, total, tolerance)
+        while some := list(itertools.islice(found, 10_000)):
+            yield pd.DataFrame(some, columns=["_label", "split"])
+
+    plan = counted.repartition(1).sortWithinPartitions("n", "_label").mapInPandas(placed, "_label string, split string")
     return rows.withColumn("_label", text).join(plan, "_label").drop("_label")
 
 
+def split_by_feature(rows: DataFrame, feature: str, parts: list[str]) -> DataFrame:
+    """Adds split: the value of a feature that names the part; a part that no row has is an error."""
+    value = F.col(feature).cast("string")
+    known = {r[0] for r in rows.where(value.isin(parts)).select(value).distinct().collect()}
+    if missing := [p for p in parts if p not in known]:
+        raise KeyError(f"feature {feature} has no part {', '.join(missing)}")
+    return rows.withColumn("split", F.when(value.isin(parts), value))
+
+
 def split_report(parts: DataFrame) -> DataFrame:
     """split, rows; the rows without a part are under null."""
     return parts.groupBy("split").agg(F.count("*").alias("n_rows"))
@@ -88,3 +104,20 @@ def read_split_text(spark, path: str) -> DataFrame:
     """split, key from lines ``name;key,key``."""
     lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
     return lines.select(F.substring_index("value", ";", 1).alias("split"), F.explode(F.split(F.regexp_extract("value", r"^[^;]*;(.*)$", 1), ",")).alias("key")).where("key <> ''")
+
+
+def write_split_text(parts: DataFrame, key: str, path: str) -> None:
+    """Lines ``name;key,key``, in files of their own for parts of many keys: reading adds the lines of one name up."""
+    rows = parts.where("split is not null").select("split", F.col(key).cast("string").alias("key"))
+    dealt = rows.groupBy("split", F.pmod(F.xxhash64("key"), F.lit(64)).alias("_part")).agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    dealt.select(F.concat("split", F.lit(";"), F.array_join("keys", ",")).alias("value")).write.mode("overwrite").text(path)
+
+
+def has_split(spark, path: str, name: str = "partitions") -> bool:
+    """Whether splits of that name are stored."""
+    try:
+        return not read_splits(spark, path, name).isEmpty()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False

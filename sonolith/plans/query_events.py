@@ -77,9 +77,9 @@ def nearest_beat(spark, d):
 
 @query(f"""with n as (select *, event_id % 4 = 0 as down from {_N}),
 b as (select *, sum(case when down then 1 else 0 end) over (partition by user_id order by start, event_id rows unbounded preceding) as bar from n),
-k as (select *, row_number() over (partition by user_id, bar order by start, event_id) as k, count(*) over (partition by user_id, bar) as n from b),
-m as (select user_id, max(n) as most from k where bar > 0 group by user_id)
-select event_id, cast(case when bar > 0 then k else greatest(coalesce(most, n) - n, 0) + k end as bigint) as beat from k left join m using (user_id)""")
+k as (select *, row_number() over (partition by user_id, bar order by start, event_id) as k from b),
+m as (select user_id, max(bar) as bars, count(*) filter (where bar = 0) as pickup, count(*) filter (where bar = 1) as first from b group by user_id)
+select event_id, cast(case when bar > 0 then k when bars >= 2 and pickup < first then first - pickup + k else 1 + k end as bigint) as beat from k join m using (user_id)""")
 def beat_counter(spark, d):
     n = notes(spark, d).withColumn("down", F.col("event_id") % 4 == 0)
     return ev.beat_numbers(n, "user_id", _ORDER, "down").select("event_id", F.col("beat").cast("long").alias("beat"))

@@ -39,18 +39,17 @@ def split_meta(spark, d):
 
 
 @query("""with recursive s as (select coalesce(source, '') as label, count(*) as n from documents group by 1),
-o as (select label, n, row_number() over (order by n, label) as i, sum(n) over () as total from s),
-a(i, label, split, room_train, room_test, turn) as (
-  select 0::bigint, '', null::varchar, max(0.8::double * total), max(0.2::double * total), 0 from o
+o as (select label, n, row_number() over (order by n, label) - 1 as i, sum(n) over () as total from s),
+r as (select floor(0.8::double * max(total)) + 0.1::double * max(total) * 0.8::double as train, floor(0.2::double * max(total)) + 0.1::double * max(total) * 0.2::double as test from o),
+a(i, label, split, in_train, in_test) as (
+  select -1::bigint, '', null::varchar, 0::bigint, 0::bigint
   union all
-  select o.i, o.label,
-    case when a.turn = 0 then (case when o.n <= room_train then 'train' when o.n <= room_test then 'test' end) else (case when o.n <= room_test then 'test' when o.n <= room_train then 'train' end) end,
-    room_train - case when (a.turn = 0 and o.n <= room_train) or (a.turn = 1 and o.n > room_test and o.n <= room_train) then o.n else 0 end,
-    room_test - case when (a.turn = 1 and o.n <= room_test) or (a.turn = 0 and o.n > room_train and o.n <= room_test) then o.n else 0 end,
-    case when (a.turn = 0 and o.n <= room_train) or (a.turn = 1 and o.n > room_test and o.n <= room_train) then 1
-         when (a.turn = 1 and o.n <= room_test) or (a.turn = 0 and o.n > room_train and o.n <= room_test) then 0 else a.turn end
-  from a join o on o.i = a.i + 1)
-select doc_id, split from documents join a on a.label = coalesce(source, '') and a.i > 0""")
+  select i, label, split, in_train + case when split = 'train' then n else 0 end, in_test + case when split = 'test' then n else 0 end
+  from (select o.i, o.label, o.n::bigint as n, a.in_train, a.in_test,
+    case when o.i % 2 = 0 then (case when a.in_train + o.n < r.train then 'train' when a.in_test + o.n < r.test then 'test' end)
+         else (case when a.in_test + o.n < r.test then 'test' when a.in_train + o.n < r.train then 'train' end) end as split
+    from a join o on o.i = a.i + 1, r))
+select doc_id, a.split from documents join a on a.label = coalesce(source, '') and a.i >= 0""")
 def split_balanced(spark, d):
     return splits.split_balanced(docs(spark, d), "source", RATIOS).select("doc_id", "split")
 
@@ -106,11 +105,19 @@ def random_permutation(spark, d):
     return combine.random_order(spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id"), "vec_id", 9).select("vec_id", "position")
 
 
-@query("""with r as (select label, vec_id, row_number() over (partition by label order by md5('4:' || vec_id), vec_id) as rn from embeddings),
-m as (select min(c) as least, count(*) as classes from (select count(*) as c from embeddings group by label)),
-k as (select label, row_number() over (order by md5('4:' || label), label) - 1 as c from (select distinct label from embeddings)),
-p as (select label, vec_id, cast(floor(((rn - 1) * classes + c) / 8.0::double) as bigint) as batch_id, least, classes from r join k using (label), m where rn <= least)
-select batch_id, label, vec_id from p where batch_id < floor(least * classes / 8.0::double)""")
+@query("""with recursive c as (select label::varchar as l, count(*)::bigint as n from embeddings group by 1),
+m as (select min(n) as least from c),
+s(k, live, done, slot, batch_id, l, num) as (
+  select 0::bigint, (select list({'l': l, 'n': n, 't': 0::bigint} order by l) from c), 0::bigint, 0::bigint, null::bigint, null::varchar, null::bigint
+  union all
+  select k + 1,
+    case when spent then list_concat(live[1:place - 1], live[place + 1:len(live)]) else list_concat(live[1:place - 1], [{'l': live[place].l, 'n': live[place].n, 't': live[place].t + 1}], live[place + 1:len(live)]) end,
+    case when not spent and slot = 7 then done + 1 else done end, case when spent then slot else (slot + 1) % 8 end,
+    case when spent then null else done end, case when spent then null else live[place].l end, case when spent then null else live[place].t + 1 end
+  from (select *, live[place].n - live[place].t <= (select least from m) as spent from (select *, cast('0x' || md5('4:' || k)[1:8] as bigint) % len(live) + 1 as place from s where len(live) >= 8))),
+full_ as (select * from s where batch_id is not null qualify count(*) over (partition by batch_id) = 8),
+r as (select label, vec_id, row_number() over (partition by label order by md5('4:' || vec_id)) as num from embeddings)
+select batch_id, label, vec_id from full_ join r on r.label::varchar = full_.l and r.num = full_.num""")
 def balanced_batches(spark, d):
     rows = spark.read.parquet(f"{d}/embeddings.parquet").select("label", "vec_id")
     return combine.balanced_batches(rows, "label", "vec_id", 8, 4)

@@ -99,10 +99,11 @@ def xform_shift(spark, d):
     return _some(spark, d, t.shift(F.col("waveform"), (F.col("vec_id") % 64).cast("int")))
 
 
-_WET = "[x[i] + 0.5::double * (0.75::double * (case when i > 3 then x[i - 3] else 0 end) + 0.25::double * (case when i > 4 then x[i - 4] else 0 end)) for i in range(1, 65)]"
+#: Delay 3.25: through the delays 4 and 5 at -0.75, on 59 samples; two mirrored ones in front and three behind.
+_WET = "[x[n + 5] + 0.5::double * (1.75::double * x[n + 1] - 0.75::double * x[n]) for n in range(1, 60)]"
 
 
-@query(_sql(f"[v - list_sum({_WET}) / 64 for v in {_WET}]"))
+@query(_sql("list_concat([w[3], w[2]], w, [w[58], w[57], w[56]])", f", {_WET.replace('x[', 'embedding[')} as w"))
 def xform_delay(spark, d):
     return _some(spark, d, t.delay(F.col("waveform"), F.lit(3.25), F.lit(0.5)))
 

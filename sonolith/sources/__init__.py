@@ -1,0 +1,3 @@
+"""Files in and out."""
+
+from . import files  # noqa: F401

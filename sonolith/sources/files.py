@@ -7,10 +7,10 @@ import wave
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import globs
+from ..functions import arrays, globs
 
 #: Places that are searched for side files, relative to the audio file's folder; fixed values.
 SIDE_FOLDERS = (".", "../midi", "./midi", "../MIDI", "./MIDI")
@@ -92,27 +92,33 @@ def side_files(audio: DataFrame, midi: DataFrame, path: str = "file_path") -> Da
     return wanted.join(there, ["_stem", "_dir"]).groupBy(path).agg(F.min_by("midi_path", F.struct("_order", "midi_path")).alias("midi_path"))
 
 
-def write_notes(notes: DataFrame, path: str) -> None:
-    """CSV: start_time_s, end_time_s, pitch_midi, velocity (127 times the amplitude, rounded)."""
-    notes.select(F.col("start").alias("start_time_s"), F.col("end").alias("end_time_s"), F.col("pitch").alias("pitch_midi"), F.round(127 * F.col("amplitude")).cast("int").alias("velocity")).write.mode("overwrite").csv(path, header=True)
-
-
-def write_beats(beats: DataFrame, path: str, time: str = "time") -> None:
-    """TSV: time and place in the bar."""
-    beats.select(time, "beat").write.mode("overwrite").csv(path, sep="\t")
-
-
-def partial(x, start: int, size: int):
-    """Part of each channel of a waveform column, in samples."""
-    return F.transform(x, lambda c: F.slice(c, F.lit(start + 1), F.lit(size)))
+def partial(x, sr, start=None, end=None, duration=None, target_sr: int | None = None, channels: int | None = None):
+    """Part of a waveform column: from start to end or for a duration (samples as int, seconds as float), then channels and rate."""
+    at = lambda v: None if v is None else F.floor(F.lit(v) * sr).cast("int") if isinstance(v, float) else F.lit(v)
+    first = at(start) if start is not None else F.lit(0)
+    last = at(end) if end is not None else first + at(duration) if duration is not None else None
+    part = F.transform(x, lambda c: F.slice(c, first + 1, F.greatest((F.size(c) if last is None else last) - first, F.lit(0))))
+    if channels:
+        part = arrays.fix_channels(part, channels)
+    if target_sr is None:
+        return part
+    from ..functions.dsp import resample
 
+    @F.pandas_udf("array<array<float>>")
+    def moved(waves: pd.Series, rates: pd.Series) -> pd.Series:
+        return pd.Series([None if w is None else [resample(np.asarray(c, float), target_sr, int(r)).astype(np.float32) for c in w] for w, r in zip(waves, rates, strict=True)], dtype=object)
 
-def stitched(chunks: DataFrame, by: str, frame: str, chunk: str) -> DataFrame:
-    """Of overlapping chunk outputs the first chunk's value of each frame stays."""
-    w = Window.partitionBy(by, frame).orderBy(chunk)
-    return chunks.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    return moved(part, sr)
 
 
 def outstanding(inputs: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
     """Inputs without an output yet: skips what an earlier run has done."""
     return inputs.join(outputs.select(key).distinct(), key, "left_anti")
+
+
+def by_suffix(paths: DataFrame, known: DataFrame, path: str = "file_path", full: str = "full_path") -> DataFrame:
+    """path, full: the known path that ends with it at a folder's start, the shortest of several. By an equi-join on the last name."""
+    last = lambda c: F.regexp_extract(c, r"([^/]*)$", 1)
+    hit = paths.withColumn("_name", last(path)).join(known.select(F.col(full), last(full).alias("_name")), "_name")
+    ends = (F.col(full) == F.col(path)) | F.col(full).endswith(F.concat(F.lit("/"), F.col(path)))
+    return hit.where(ends).groupBy(path).agg(F.min_by(full, F.struct(F.length(full), full)).alias(full))
