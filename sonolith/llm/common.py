@@ -25,9 +25,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sonolith/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts lineage and survives lost executors."""
+def stored(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it again: cuts lineage and survives lost executors.
+
+    files: at most so many, for tables known to be small; their tasks' partitions are put together.
+    """
     path = fresh_path(df.sparkSession, name)
+    df = df if files is None else df.coalesce(files)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

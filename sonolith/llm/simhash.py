@@ -229,7 +229,7 @@ def near_duplicates(docs: DataFrame, ring: Ring, id_col: str = "doc_id", text_co
     """doc_id, w, component_id: the smallest id that links lead to."""
     each = stored(fingerprints(docs, ring, id_col, text_col), "simhash")
     nodes = stored(each.where("doc_id is not null").groupBy("w").agg(F.min("doc_id").alias("node")), "simhash-nodes")
-    joined = components(links(nodes, ring))
+    joined = components(stored(links(nodes, ring), "simhash-links"))
     labelled = nodes.join(joined, "node", "left").select("w", F.least("node", F.coalesce("component", "node")).alias("component_id"))
     return each.join(labelled, "w", "left").select("doc_id", "w", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 

@@ -1,10 +1,10 @@
 """SimHash: the fingerprints and links against brute force."""
 
 import numpy as np
+import pytest
 import xxhash
 
 from sonolith.llm import simhash
-from sonolith.llm.components import components
 
 
 def brute(texts, shingle=4):
@@ -88,8 +88,13 @@ def test_the_pigeonring_filter_loses_nothing_within_the_limit(spark):
     assert sorted(map(tuple, kept)) == sorted(r for r in rows if sum(r) <= 96)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_components(spark, few, monkeypatch):
+    from sonolith.llm import components as c
+
+    monkeypatch.setattr(c, "FEW", few)
+    assert c.components(spark.createDataFrame([(5, 5)], "a long, b long")).count() == 0
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101), (7, 7)] + [(1000, 1000 + i) for i in range(1, 500)] + [(5000 - i, 5000) for i in range(1, 300)]
-    got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
+    got = dict(c.components(spark.createDataFrame(edges, "a long, b long")).collect())
     want = {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100, **{1000 + i: 1000 for i in range(500)}, **{5000 - i: 4701 for i in range(300)}}
     assert got == want
