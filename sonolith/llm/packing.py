@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import Encoder
-from .common import stored, text_of
+from .common import small_batches, stored, text_of
 
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 #: Ranks of a length are counted in this many parts.
@@ -87,7 +87,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row for each piece."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    texts = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     pieces = stored(texts.mapInArrow(_cut(vocabulary, capacity, end_id.to_bytes(4, "little")), _PIECES), "pieces")
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))

@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, stored, text_of
+from .common import fresh_path, small_batches, stored, text_of
 from .storage import opened
 
 GRAM = 20
@@ -49,8 +49,8 @@ CHUNK = 4_000_000
 BUCKET = 4_000_000
 #: Occurrences beyond which an anchor's positions are dealt one by one.
 HOT = 200_000
-#: A longer stretch is searched for anchors in parts (positions take 24 bits beside the hash).
-STRETCH = 1 << 23
+#: A longer stretch is searched for anchors in parts, which bounds the arrays (positions take 24 bits beside the hash, so 1 << 23 at most).
+STRETCH = 1 << 20
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -405,7 +405,7 @@ def _results(length: int, texts: bool) -> Callable[[Iterator[pa.RecordBatch]], I
 
 def _spans(each: DataFrame, length: int, chunk: int, hot: int) -> DataFrame:
     """Chunks (chunk, ids, start, spans, carried) with the spans that go."""
-    folder = fresh_path(each.sparkSession, "suffix-chunks")
+    folder = fresh_path(small_batches(each).sparkSession, "suffix-chunks")
     carried = [f for f in each.schema if f.name == "carried"]
     kind = "chunk string, ids array<long>, start array<long>" + "".join(f", carried array<{f.dataType.simpleString()}>" for f in carried)
     chunks = stored(each.mapInArrow(_chunks(folder, chunk), kind), "suffix-chunks")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import small_batches, text_of
 
 _WORD = re.compile(r"\w+").findall
 #: Rows of each embedding table; its last row is the padding between texts and stays zero.
@@ -246,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bytes: int
     """From at most ``max_rows`` labelled rows to train on, of texts of at most ``max_bytes`` each; calibrated with all labelled rows of another part. None of them is held out."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     each = [marked.where((fold() == 0) & (F.col("toxic") == label)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows // 2) for label in (0, 1)]
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.col("lang").cast("string").alias("lang"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.col("lang").cast("string").alias("lang"))
     chosen = texts.select("doc_id", "text").join(F.broadcast(each[0].unionByName(each[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     training = chosen.where(F.octet_length("text") <= max_bytes).orderBy("doc_id").collect()  # max_rows at most, of max_bytes each
     model = train([r.text for r in training], [r.toxic for r in training])
