@@ -184,19 +184,21 @@ def _tracks(data: bytes) -> tuple[int, list[list[tuple[int, int, bytes]]]]:
         while i < len(body):
             step, i = number(i)
             tick += step
+            now = status
             if body[i] & 128:
-                status, i = body[i], i + 1
-            if status == 0xFF:
+                now, i = body[i], i + 1
+                status = now if now < 0xF0 else status  # running status goes on behind other events
+            if now == 0xFF:
                 kind_, i = body[i], i + 1
                 length, i = number(i)
                 events.append((tick, 0xFF00 | kind_, body[i : i + length]))
                 i += length
-            elif status in (0xF0, 0xF7):
+            elif now in (0xF0, 0xF7):
                 length, i = number(i)
                 i += length
             else:
-                length = 1 if status & 0xF0 in (0xC0, 0xD0) else 2
-                events.append((tick, status, body[i : i + length]))
+                length = 1 if now & 0xF0 in (0xC0, 0xD0) else 2
+                events.append((tick, now, body[i : i + length]))
                 i += length
         tracks.append(events)
     return division, tracks

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import globs
+from ..functions import globs, meta
 from ..operators import incremental, index
 from .registry import query
 
@@ -129,3 +129,20 @@ def incremental_append(spark, d):
 def feature_backfill(spark, d):
     filled = incremental.backfill(labelled(spark, d), {"quality": F.lit(-1), "size": F.floor(F.col("n_chars") / 100)})
     return filled.select("doc_id", F.col("quality").cast("long").alias("quality"), F.col("size").cast("long").alias("size"))
+
+
+@query("""select event_id, coalesce(json_extract_string(props, '$.kind'), 'none') as kind, 'x' || event_id::varchar as tag, len(list_filter(json_keys(props), lambda k: k <> json_keys(props)[1] and k not in ('kind', 'tag'))) + 2 as n from events""")
+def meta_update(spark, d):
+    """Two fields are set, the first of the old ones goes."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    old = meta.parsed(F.col("props"))
+    first = F.element_at(F.json_object_keys("props"), 1)
+    kept = F.map_filter(old, lambda k, _: k != first)
+    new = meta.put(kept, kind=F.coalesce(meta.get(old, "kind"), F.lit("none")), tag=F.concat(F.lit("x"), F.col("event_id")))
+    back = meta.parsed(meta.written(new))
+    return e.select("event_id", meta.get(back, "kind").alias("kind"), meta.get(back, "tag").alias("tag"), F.size(back).cast("long").alias("n"))
+
+
+@query("""select doc_id, [case when ascii('A') > 0 then chr(cast(97 + cast('0x' || md5('3:' || doc_id)[4 * k + 1:4 * k + 4] as bigint) % 25 as int)) end for k in range(0, 8)].list_aggregate('string_agg', '') as tag from documents""")
+def random_tag(spark, d):
+    return docs(spark, d).select("doc_id", meta.tag(F.col("doc_id"), 3).alias("tag"))

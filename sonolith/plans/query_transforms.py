@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions import dsp
 from ..functions import transforms as t
 from ..functions.keys import uniform
-from ..operators import cluster, signal
+from ..operators import cluster, notes, signal
 from .query_fragments import signals
 from .registry import query
 
@@ -31,6 +33,45 @@ def _u(seed):
     return f", cast(cast('0x' || md5('{seed}:' || vec_id)[1:13] as bigint) as double) / 4503599627370496.0::double as u"
 
 
+def _impulse(b, a, n=64):
+    """A recursive filter's answer to an impulse, sample by sample: what the SQL convolves with."""
+    y = []
+    for i in range(n):
+        y.append((b[i] if i < len(b) else 0.0) - sum(a[k] * y[i - k] for k in range(1, len(a)) if i >= k))
+    return y
+
+
+def _literal(values):
+    return "[" + ", ".join(f"{v!r}::double" for v in map(float, values)) + "]"
+
+
+def _convolved(h, x="x"):
+    return f"[list_sum([({_literal(h)})[k] * {x}[i - k + 1] for k in range(1, i + 1)]) for i in range(1, 65)]"
+
+
+def _biquad(kind, freq, q, gain=0.0):
+    b, a = dsp.biquad(kind, SR, freq, q, gain)
+    return [v / a[0] for v in b], [v / a[0] for v in a]
+
+
+def _chain(*filters):
+    """The impulse response of filters one after the other."""
+    h = [1.0] + [0.0] * 63
+    for b, a in filters:
+        own = _impulse(b, a)
+        h = [sum(own[k] * h[i - k] for k in range(i + 1)) for i in range(64)]
+    return h
+
+
+def _resampled(up, down):
+    """Direct sums with the Kaiser-windowed kernel."""
+    half = 10 * max(up, down)
+    kernel = [float(np.sinc(t / max(up, down)) * np.kaiser(2 * half + 1, 5.0)[t + half]) for t in range(-half, half + 1)]
+    kernel = [v * up / sum(kernel) for v in kernel]
+    taps = f"(case when m * {down} - (k - 1) * {up} between {-half} and {half} then ({_literal(kernel)})[m * {down} - (k - 1) * {up} + {half + 1}] * x[k] else 0 end)"
+    return f"[list_sum([{taps} for k in range(1, 65)]) for m in range(0, {-(-64 * up // down)})]"
+
+
 _PEAK = "list_max([abs(v) for v in x])"
 
 
@@ -139,24 +180,32 @@ def one_hot(spark, d):
     return rows.select("vec_id", (F.array_position("h", 1) - 1).alias("hot"), F.size("h").cast("long").alias("n"))
 
 
-@query()
+def _uniform_sql(seed):
+    return f"cast(cast('0x' || md5('{seed}:' || vec_id || '/' || i)[1:13] as bigint) as double) / 4503599627370496.0::double"
+
+
+@query(f"""with e as (select vec_id, 0.01::double * sqrt(-2 * ln(greatest({_uniform_sql("11a")}, 1e-16))) * cos(({_uniform_sql("11b")}) * 6.283185307179586::double) as e from embeddings, range(0, 64) as r(i))
+select vec_id, round(avg(e), 6) as mean, round(stddev(e), 6) as std from e group by vec_id""")
 def xform_noise(spark, d):
     """Noise of a given deviation: what it adds, by its mean and deviation."""
     added = F.zip_with(t.add_noise(F.col("waveform"), F.col("vec_id"), 11, 0.01), F.col("waveform"), lambda a, b: a - b.cast("double"))
     return signals(spark, d).select("vec_id", F.explode(added).alias("e")).groupBy("vec_id").agg(F.round(F.avg("e"), 6).alias("mean"), F.round(F.stddev("e"), 6).alias("std"))
 
 
-@query()
+_ALPHA = 1 / (1 + 20 * np.pi / SR)
+
+
+@query(_sql(_convolved(_impulse((_ALPHA**2, -(_ALPHA**2)), (1, -2 * _ALPHA, _ALPHA**2)))))
 def xform_integrator(spark, d):
     return _some(spark, d, signal.integrator(SR)(F.col("waveform")))
 
 
-@query()
+@query(_sql(_convolved(_impulse(*_biquad("lowpass", 8, 0.7071067811865476)))))
 def xform_biquad(spark, d):
     return _some(spark, d, signal.filtered("lowpass", SR, 8)(F.col("waveform")))
 
 
-@query()
+@query(_sql(_convolved(_chain(_biquad("lowshelf", 4, 0.7, 3), _biquad("peak", 10, 1, -6), _biquad("highshelf", 20, 0.7, 2)))))
 def xform_equaliser(spark, d):
     return _some(spark, d, signal.equaliser(SR, [("lowshelf", 4, 0.7, 3), ("peak", 10, 1, -6), ("highshelf", 20, 0.7, 2)])(F.col("waveform")))
 
@@ -166,12 +215,12 @@ def xform_freqmask(spark, d):
     return _some(spark, d, signal.mask_frequencies(4, 3, 16)(F.col("waveform")))
 
 
-@query()
+@query(_sql(_resampled(3, 2)))
 def xform_resample(spark, d):
     return _some(spark, d, signal.resample(3, 2)(F.col("waveform")))
 
 
-@query()
+@query(_sql("[v * list_max([abs(q) for q in x]) / list_max([abs(q) for q in z]) for v in z]", f", (select {_resampled(6, 5)} from (select [cast(v as double) for v in embedding] as x)) as z"))
 def xform_stretch(spark, d):
     return _some(spark, d, signal.stretch(6, 5)(F.col("waveform")))
 
@@ -181,7 +230,7 @@ def xform_compress(spark, d):
     return _some(spark, d, signal.compress(SR)(F.col("waveform")))
 
 
-@query()
+@query(_sql("[x[i] + 0.5::double * (case when i > 1 then x[i - 1] else 0 end) + 0.25::double * (case when i > 2 then x[i - 2] else 0 end) for i in range(1, 65)]"))
 def xform_impulse_response(spark, d):
     return _some(spark, d, signal.convolve([1.0, 0.5, 0.25])(F.col("waveform")))
 
@@ -241,3 +290,66 @@ def kmeans_index(spark, d):
 @query()
 def pca_kmeans(spark, d):
     return _buckets(spark, d, 8)
+
+
+def _drawn_sql(y, count, seed):
+    """With u, the numbers that a row draws."""
+    return _sql(y, f", [cast(cast('0x' || md5('{seed}:' || vec_id || '/' || k)[1:13] as bigint) as double) / 4503599627370496.0::double for k in range(0, {count})] as u")
+
+
+@query()
+def xform_phase_mangle(spark, d):
+    return _some(spark, d, signal.phase_mangle(SR, 2, 20)(F.col("waveform"), F.col("vec_id"), 21))
+
+
+@query()
+def xform_random_eq(spark, d):
+    return _some(spark, d, signal.random_eq(SR * 100)(F.col("waveform"), F.col("vec_id"), 22))
+
+
+@query()
+def xform_random_distort(spark, d):
+    return _some(spark, d, signal.random_distort(SR * 100)(F.col("waveform"), F.col("vec_id"), 23))
+
+
+@query()
+def xform_random_stretch(spark, d):
+    rows = signals(spark, d).select("vec_id", signal.random_stretch(SR * 10)(F.col("waveform"), F.col("vec_id"), 24).alias("y"))
+    return rows.select("vec_id", F.size("y").cast("long").alias("n"), F.round(F.array_max("y"), 6).alias("top"))
+
+
+@query(_drawn_sql("list_concat([w[f // 2 + 2 - i] for i in range(1, f // 2 + 1)], w, [w[64 - f - i] for i in range(1, f - f // 2 + 1)])", 2, 25).replace(" from embeddings)", " from embeddings), d as (select *, (u[1] * 9) as dl, cast(floor(u[1] * 9) as bigint) + 2 as f, pow(u[2] * 2 - 1, 3.0::double) as mix from x), g as (select *, [x[n + f] + mix * (x[n + 1] * (1 - (dl - f + 1)) + x[n] * (dl - f + 1)) for n in range(1, 65 - f)] as w from d)").replace("as y from x)", "as y from g)"))
+def xform_random_delay(spark, d):
+    u = lambda k: uniform(F.concat_ws("/", F.col("vec_id"), F.lit(k)), 25)
+    return _some(spark, d, t.random_delay(F.col("waveform"), u(0), u(1), 10))
+
+
+@query(_sql("[x[i] + sqrt(list_sum([v * v for v in x]) / 64 / (list_sum([v * v for v in x[1:10]]) / 10)) * pow(10.0::double, -0.3::double) * x[(i - 1) % 10 + 1] for i in range(1, 65)]"))
+def xform_background(spark, d):
+    """The signal's own first ten samples as a noise 6 dB below it."""
+    return _some(spark, d, t.mixed(F.col("waveform"), F.slice("waveform", 1, 10), F.lit(6.0)))
+
+
+@query()
+def xform_time_stretch(spark, d):
+    return _some(spark, d, signal.time_stretch(1.25, 16)(F.col("waveform")))
+
+
+@query()
+def xform_pitch_shift(spark, d):
+    return _some(spark, d, signal.pitch_shift(3, 16)(F.col("waveform")))
+
+
+@query()
+def f0_pyin(spark, d):
+    rows = signals(spark, d).select("vec_id", F.posexplode(signal.f0(SR, "pyin", fmin=4.0, fmax=20.0, frame=32, hop=16)(F.col("waveform"))).alias("frame", "hz"))
+    return rows.select("vec_id", F.col("frame").cast("long").alias("frame"), F.round("hz", 4).alias("hz"))
+
+
+@query()
+def notes_decoded(spark, d):
+    """Signals as activations of 88 pitches over time: notes by label."""
+    frames = F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(87)), lambda p: F.abs(F.get(F.col("waveform"), F.pmod(F.floor(i / 15) * 7 + p, F.lit(64)).cast("int"))).cast("double") * 4))
+    rows = signals(spark, d).where("label is not null").select("vec_id", frames.alias("f"))
+    found = rows.select("vec_id", F.explode(notes.decoded(F.col("f"), F.col("f"), None, False, least=8)).alias("n"))
+    return found.groupBy("vec_id").agg(F.count("*").alias("n_notes"), F.min("n.pitch").alias("lowest"), F.round(F.sum("n.amplitude"), 4).alias("amplitude"))
