@@ -28,16 +28,53 @@ MAX_CONSTANT_RULES = 64
 #: The most labelled rows that a model is fitted on (its Gram matrix has the square of it).
 MAX_LABELLED = 512
 
-_BLOCK_HOSTS = ("casino-bonus", "free-poker", "xxx-cams", "adult-tube", "cheap-pills", "warez-crack", "torrent-movies", "payday-loans", "lottery-winner", "hot-singles")
+#: Words of the labelled table's hosts, by kind. Every kind of site is made of the same modifiers, endings and plain paths, so that
+#: neither the form of an address nor a common path tells its label.
+_BLOCK_WORDS = {
+    "gambling": ("casino", "poker", "bets", "slots", "jackpot", "lottery"),
+    "adult": ("adult", "xxx", "porn", "cams", "escort"),
+    "pharmacy": ("pills", "viagra", "pharmacy", "meds"),
+    "adverts": ("ads", "banner", "track", "click", "popup"),
+    "spam": ("spam", "backlinks", "linkfarm", "bulkmail"),
+    "piracy": ("warez", "torrent", "crack", "keygen"),
+    "loans": ("payday", "loans", "winner", "prize"),
+}
+_ALLOW_WORDS = {
+    "reading": ("library", "journal", "novels", "poems", "letters", "stories", "grammar", "spelling", "history"),
+    "public": ("museum", "university", "council", "station", "hospital", "school", "church", "bridge", "market"),
+    "home": ("garden", "recipes", "kitchen", "weather", "mother", "father", "together", "morning", "winter"),
+    "news": ("news", "northern", "thoughts", "nation", "herald", "country", "village", "another", "tonight"),
+    "craft": ("pottery", "weaving", "timber", "leather", "painting", "theatre", "concert", "orchestra", "gallery"),
+    "science": ("physics", "theory", "rivers", "mountains", "geology", "biology", "chemistry", "forest", "island"),
+    "software": ("docs", "manual", "compiler", "notation", "research", "database", "threads", "network", "numbers"),
+}
+_MODIFIERS = ("free", "best", "cheap", "online", "hot", "top", "my", "the")
+_PATHS = ("/", "/en/204", "/article/history.html", "/de/12/", "/guide/start", "/index.html", "/fr/7.html", "/es/391", "/2044/page/3")
 _BLOCK_PATHS = ("/win/jackpot-now", "/porn/free-clips", "/download/keygen.exe", "/buy/viagra-online")
-_ALLOW_HOSTS = ("news", "docs", "library", "journal", "museum", "blog", "university", "gardening", "recipes", "weather")
-_ALLOW_PATHS = ("/en/2044", "/article/history-of-maps.html", "/de/1201/", "/guide/getting-started")
+_ALLOW_PATHS = ("/library/maps", "/recipes/bread.html", "/docs/manual", "/weather/today")
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled table: url, label (1: block). 80 invented addresses."""
-    rows = [(f"http://{'www.' if (i + j) % 2 else ''}{h}.example.{('com', 'org')[j % 2]}{p}", label) for hosts, paths, label in ((_BLOCK_HOSTS, _BLOCK_PATHS, 1), (_ALLOW_HOSTS, _ALLOW_PATHS, 0)) for i, h in enumerate(hosts) for j, p in enumerate(paths)]
-    return spark.createDataFrame(rows, "url string, label int")
+def labelled_addresses() -> list[tuple[str, int, bool]]:
+    """The small labelled table as (url, label, held out): 190 invented addresses, every fourth held out from fitting.
+
+    Two in three are harmless: an address of unknown parts is one to allow.
+    """
+    out = []
+    for kinds, telling, label in ((_BLOCK_WORDS, _BLOCK_PATHS, 1), (_ALLOW_WORDS, _ALLOW_PATHS, 0)):
+        words = [(w, kind[(i + 1) % len(kind)]) for kind in kinds.values() for i, w in enumerate(kind)]
+        for k, (w, other) in enumerate(words):
+            m = _MODIFIERS[k % len(_MODIFIERS)]
+            for j, name in enumerate((w, f"{m}-{w}") if k % 2 else (f"{w}-{other}", f"{w}{m}")):
+                n = 2 * k + j
+                path = telling[k % len(telling)] if n % 5 == 4 else _PATHS[n % len(_PATHS)]
+                prefix = ("", "www.", "m.", "blog.")[(k // 2 + j) % 4]
+                out.append((f"http://{prefix}{name}.example.{('com', 'org', 'net')[n % 3]}{path}", label, n % 4 == k // 2 % 4))
+    return out
+
+
+def labelled_urls(spark: SparkSession, held_out: bool = False) -> DataFrame:
+    """The labelled table's rows to fit on, or those held out: url, label (1: block)."""
+    return spark.createDataFrame([(u, y) for u, y, held in labelled_addresses() if held == held_out], "url string, label int")
 
 
 def host_of(url: Column) -> Column:
@@ -52,14 +89,18 @@ def path_of(url: Column) -> Column:
 def ngrams(host: Column, path: Column, dims: int, sizes: tuple[int, ...] = (3, 4)) -> Column:
     """The set of hashed character n-grams, those of host and path kept apart."""
 
+    # characters are split once and bound by the outer transform: substring() would scan a long address anew for every n-gram
     def of(text: Column, mark: str, n: int) -> Column:
-        whole = F.concat(F.lit("^"), text, F.lit("$"))
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(whole) - (n - 1), F.lit(1))), lambda i: F.pmod(F.xxhash64(F.lit(mark), F.substring(whole, i, F.lit(n))), F.lit(dims)).cast("int"))
+        def hashed(chars: Column) -> Column:
+            starts = F.sequence(F.lit(1), F.greatest(F.size(chars) - (n - 1), F.lit(1)))
+            return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(mark), F.array_join(F.slice(chars, i, n), "")), F.lit(dims)).cast("int"))
+
+        return F.element_at(F.transform(F.array(F.split(F.concat(F.lit("^"), text, F.lit("$")), "")), hashed), 1)
 
     return F.array_distinct(F.concat(*(of(text, mark, n) for text, mark in ((host, "h"), (path, "p")) for n in sizes)))
 
 
-def fit(labelled: DataFrame, dims: int = 1024, iterations: int = 150, rate: float = 20.0, decay: float = 0.002) -> list[float]:
+def fit(labelled: DataFrame, dims: int = 1024, iterations: int = 300, rate: float = 7.0, decay: float = 0.0005) -> list[float]:
     """Weights of the hashed n-grams; the last is the bias. From at most MAX_LABELLED rows, by hash order.
 
     Rows without a url or label are left out; with no rows left, or rows of one label, all weights are 0 but the bias.

@@ -48,3 +48,19 @@ def test_the_model_learns_its_labels_and_generalises(spark):
 def test_no_labels(spark):
     empty = spark.createDataFrame([], "url string, label int")
     assert not any(u.fit(empty))
+
+
+def test_rows_held_out(spark):
+    """Error on rows that were not fitted on: harmless ones are left alone, of those to block at least half are found."""
+    held = u.labelled_urls(spark, held_out=True)
+    assert not {r.url for r in held.collect()} & {r.url for r in u.labelled_urls(spark).collect()}
+    judged = u.url_filter(held.withColumnRenamed("label", "page_id"), u.fit(u.labelled_urls(spark)), ()).collect()
+    blocked = {y: [r.verdict == "block" for r in judged if r.page_id == y] for y in (0, 1)}
+    assert len(blocked[0]) > 25 and len(blocked[1]) > 10
+    assert sum(blocked[0]) <= 1 and 2 * sum(blocked[1]) >= len(blocked[1])
+
+
+def test_very_long_address(spark):
+    df = spark.createDataFrame([(1, "http://Long.example.net/en/" + "x" * 200_000 + "?q")], "page_id long, url string")
+    got = u.url_filter(df, u.fit(u.labelled_urls(spark))).collect()[0]
+    assert (len(got.path), got.rule, got.verdict) == (200_004, "example.net/en/", "allow")
