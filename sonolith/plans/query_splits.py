@@ -74,12 +74,14 @@ def combined_position(spark, d):
 
 
 @query("""with s as (select 0 as ds_id, (select count(*) from customer) as n union all select 1, (select count(*) from supplier)),
-r as (select ds_id, sum(n) over (order by ds_id) - n as low, sum(n) over (order by ds_id) as high from s)
-select event_id % 200 as position, ds_id, cast(event_id % 200 - low as bigint) as local from (select distinct event_id % 200 as event_id from events) join r on event_id % 200 >= low and event_id % 200 < high""")
+r as (select ds_id, sum(n) over (order by ds_id) - n as low, sum(n) over (order by ds_id) as high from s),
+p as (select distinct event_id % (select cast(sum(n) as bigint) from s) as position from events)
+select position, ds_id, cast(position - low as bigint) as local from p join r on position >= low and position < high""")
 def combined_member(spark, d):
-    """A position in the concatenation to its dataset and place there."""
+    """The positions that events ask for, all over the concatenation, to their datasets and places there."""
     sizes = _members(spark, d).groupBy("ds_id").agg(F.count("*").alias("n"))
-    wanted = spark.read.parquet(f"{d}/events.parquet").select((F.col("event_id") % 200).alias("position")).distinct()
+    total = sizes.agg(F.sum("n")).first()[0]
+    wanted = spark.read.parquet(f"{d}/events.parquet").select((F.col("event_id") % F.lit(total)).alias("position")).distinct()
     return combine.member_of(sizes, wanted)
 
 
