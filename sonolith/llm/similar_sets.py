@@ -1,18 +1,19 @@
 """SimHash near-duplicates at a Jaccard similarity: no similar pair is lost, and sets decide.
 
-Two sets of shingles at the similarity t differ in up to 19 of 100 bits of their
+Candidates come first from the operator's own ring (``ringed``): chains of two segments of the
+fingerprint's first word as keys, complete for 4 differing bits of 64, with its Hamming check.
+But two sets of shingles at the similarity t differ in up to 19 of 100 bits of their
 fingerprints (``DIFFER``): no chain of segments of them is both a selective key and sure to be
-shared. So candidates come from the sets: a set of n shingles that is similar to another
-shares ceil(t * n) of its shingles with it, so in any one order of all shingles the first
-n - ceil(t * n) + 1 of both have one in common: those are a set's keys. The order puts
-shingles that a sample shows to be common last, which keeps runs of a key short; it changes
-the work and not the result.
-
-Candidates under a key then pass the pigeonring filter on fingerprints of four words
-(``simhash.chained``): chains of words whose differing bits stay within their shares of
-``LIMITS``, then the full Hamming check. What passes is decided by the sets made from the texts,
-in two rounds: each set with its nearest candidate first, then only candidates whose two sets
-no link has joined yet.
+shared. So the rest, what is similar and further apart, has candidates from the sets: a set of
+n shingles that is similar to another shares ceil(t * n) of its shingles with it, so in any one
+order of all shingles the first n - ceil(t * n) + 1 of both have one in common: those are a
+set's keys. The order puts shingles that a sample shows to be common last, which keeps runs of
+a key short; it changes the work and not the result.
+
+All candidates then pass the full Hamming check on fingerprints of four words
+(``simhash.chained``, with ``LIMITS``). What passes is decided by the sets made from the texts,
+in two rounds: each set with one candidate first, the nearest of the ring's or else of the
+others, then only candidates whose two sets no link has joined yet.
 
 Of a run of over SHORT sets only neighbours are taken as pairs at first. A run whose sets
 are then all in one component can link nothing more. In any other, sets that the filter lets
@@ -37,7 +38,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, stored, text_of
 from .components import components
-from .simhash import chained, fingerprint_of, shingle_hashes
+from .simhash import chained, contract_ring, fingerprint_of, shingle_hashes
+from .simhash import links as ring_links
 
 #: Runs up to this length are listed as pairs.
 SHORT = 12
@@ -246,19 +248,26 @@ def group_edges(nodes: np.ndarray, component: np.ndarray, w: np.ndarray, sets: l
 
 
 def near_pairs(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """a, b, d: of the candidates those that sizes and the pigeonring filter leave, with their differing bits."""
+    """a, b, late, d: of the candidates (a, b, late) those that sizes and the full Hamming check leave, with their differing bits."""
     at = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias("n_" + x), F.col("w").alias("w_" + x))
     both = pairs.join(at("a"), "a").join(at("b"), "b").where(f"least(n_a, n_b) >= {similarity} * greatest(n_a, n_b) - 1e-9")
     differ = [f"d{k}" for k in range(WORDS)]
-    both = both.select("a", "b", F.when(F.least("n_a", "n_b") < LARGE, LIMITS[0]).otherwise(LIMITS[1]).alias("limit"), *(F.bit_count(F.col("w_a")[k].bitwiseXOR(F.col("w_b")[k])).alias(d) for k, d in enumerate(differ)))
-    return both.where(chained([F.col(d) for d in differ], F.col("limit"))).select("a", "b", F.expr("+".join(differ)).cast("int").alias("d"))
+    both = both.select("a", "b", "late", F.when(F.least("n_a", "n_b") < LARGE, LIMITS[0]).otherwise(LIMITS[1]).alias("limit"), *(F.bit_count(F.col("w_a")[k].bitwiseXOR(F.col("w_b")[k])).alias(d) for k, d in enumerate(differ)))
+    return both.where(chained([F.col(d) for d in differ], F.col("limit"))).select("a", "b", "late", F.expr("+".join(differ)).cast("int").alias("d"))
+
+
+def ringed(nodes: DataFrame) -> DataFrame:
+    """a, b: pairs that join up all nodes whose fingerprints' first words differ in at most 4 bits, by pigeonring keys."""
+    found = ring_links(nodes.select("node", F.slice("w", 1, 1).alias("w")), contract_ring())
+    return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def links(nodes: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """a, b: links between nodes (distinct sets) that join up all pairs of at least this similarity."""
     keyed = nodes.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
     runs = stored(keyed.mapInArrow(_candidates, "a long, b long, run string"), "similar-runs")
-    listed = runs.where("run is null").select("a", "b").distinct()
+    listed = ringed(nodes).withColumn("late", F.lit(0)).unionByName(runs.where("run is null").select("a", "b", F.lit(1).alias("late")))
+    listed = listed.groupBy("a", "b").agg(F.min("late").alias("late"))
     pairs = stored(near_pairs(listed, nodes, similarity), "similar-pairs", 1 + runs.count() // 50_000)
     many = pairs.count()
     few = 1 + many // 100_000
@@ -279,8 +288,9 @@ def links(nodes: DataFrame, texts: DataFrame, similarity: float, shingle: int) -
         both = some.join(at("b"), "b").join(at("a"), "a").select("a", "b", "t_a", "t_b")
         return stored(both.mapInArrow(_decided(shingle, similarity), "a long, b long"), "similar-links", 1 + many // 3_000)
 
-    # each set with its nearest candidate, then what these links have not joined
-    ends = pairs.select(F.col("a").alias("x"), F.struct("d", "a", "b").alias("p")).unionByName(pairs.select(F.col("b").alias("x"), F.struct("d", "a", "b").alias("p")))
+    # each set with its nearest candidate, the ring's first, then what these links have not joined
+    order = F.struct("late", "d", "a", "b").alias("p")
+    ends = pairs.select(F.col("a").alias("x"), order).unionByName(pairs.select(F.col("b").alias("x"), order))
     nearest = stored(ends.groupBy("x").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct(), "similar-nearest", few)
     near = decided(nearest)
     in_one = components(near)

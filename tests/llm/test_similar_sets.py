@@ -113,3 +113,21 @@ def test_large_families_go_in_pairs_of_blocks(spark, monkeypatch):
     base = [f"b{i}" for i in range(150)]
     rows = [(i, near(rng, base, rng.choice([1, 2, 3, 4, 6]))) for i in range(160)]
     assert sorted(r.doc_id for r in s.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute(rows)
+
+
+def test_the_ring_finds_near_copies_without_the_sets_keys(spark):
+    """Candidates come from pigeonring keys of the fingerprints: near copies are linked though no key of their sets is there."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    rows = []
+    for k in range(40):
+        words = [f"d{k}w{i}" for i in range(2000)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, near(rng, words, 1))]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", s.row_key().alias("row"), "text")
+    each = texts.mapInArrow(s._sets(5, 0.8, np.zeros(0, np.uint64)), "doc_id long, row long, node long, n int, keys array<long>, w array<long>").cache()
+    w = {r.doc_id: (r.node, r.w[0]) for r in each.collect()}
+    close = {tuple(sorted((w[i][0], w[i + 1][0]))) for i in range(0, 80, 2) if ((w[i][1] ^ w[i + 1][1]) & (2**64 - 1)).bit_count() <= 4}
+    assert len(close) > 20
+    found = s.links(each.withColumn("keys", F.array().cast("array<long>")), texts, 0.8, 5).collect()
+    assert {tuple(sorted((r.a, r.b))) for r in found} == close
