@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,14 +44,50 @@ def stored(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
 BATCH_ROWS = 1000
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """The same table; its session hands workers batches of BATCH_ROWS rows at most from now on."""
+def small_batches(df: DataFrame, size: int | None = None) -> DataFrame:
+    """The same table; its session hands workers batches of BATCH_ROWS rows at most from now on.
+
+    size: and, unless the session says otherwise, that end with the row that reaches so many bytes.
+    """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name)) <= BATCH_ROWS:
         conf.set(name, str(BATCH_ROWS))
+    if size is not None and conf.get(by_size := "spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set(by_size, str(size))
     return df
 
 
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same work of a task; what it has freed goes back to the system at its end, as its worker stays for other tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+            trim(0)
+
+    return run
+
+
+#: Rows that the Parquet reader decodes at once: a column of texts is one array, which grows by doubling and so makes the heap grow.
+READ_ROWS = 256
+
+
+@contextmanager
+def small_reads(spark: SparkSession) -> Iterator[None]:
+    """Parquet that is read in here is decoded READ_ROWS rows at a time at most; afterwards the session is as before."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(min(READ_ROWS, int(spark.conf.get(name)))))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

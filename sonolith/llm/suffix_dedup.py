@@ -36,10 +36,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, small_batches, stored, text_of
+from .common import fresh_path, lean, small_batches, small_reads, stored, text_of
 from .storage import opened
 
 GRAM = 20
@@ -50,7 +50,9 @@ BUCKET = 4_000_000
 #: Occurrences beyond which an anchor's positions are dealt one by one.
 HOT = 200_000
 #: A longer stretch is searched for anchors in parts, which bounds the arrays (positions take 24 bits beside the hash, so 1 << 23 at most).
-STRETCH = 1 << 20
+STRETCH = 1 << 17
+#: Bytes that end an Arrow batch: rows of names and of contexts are much larger than documents.
+BATCH_BYTES = 2_000_000
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -403,22 +405,30 @@ def _results(length: int, texts: bool) -> Callable[[Iterator[pa.RecordBatch]], I
     return result
 
 
+def _only(column: str) -> Column:
+    """The value that one row of a group has."""
+    return F.first(column, ignorenulls=True).alias(column)
+
+
 def _spans(each: DataFrame, length: int, chunk: int, hot: int) -> DataFrame:
     """Chunks (chunk, ids, start, spans, carried) with the spans that go."""
-    folder = fresh_path(small_batches(each).sparkSession, "suffix-chunks")
+    folder = fresh_path(small_batches(each, BATCH_BYTES).sparkSession, "suffix-chunks")
     carried = [f for f in each.schema if f.name == "carried"]
     kind = "chunk string, ids array<long>, start array<long>" + "".join(f", carried array<{f.dataType.simpleString()}>" for f in carried)
-    chunks = stored(each.mapInArrow(_chunks(folder, chunk), kind), "suffix-chunks")
+    with small_reads(each.sparkSession):
+        chunks = stored(each.mapInArrow(lean(_chunks(folder, chunk)), kind), "suffix-chunks")
     own = chunks.select("chunk", "ids", "start")
     count, size = chunks.agg(F.count("*"), F.coalesce(F.sum(F.element_at("start", -1)), F.lit(0))).first()
     buckets, tasks = max(16, size // BUCKET), max(8, count // 8)
-    named = own.select("chunk", "start").repartition(tasks).mapInArrow(_named(length, buckets), "bucket long, chunk string, names binary, numbers binary")
-    shared = named.repartition(max(8, buckets // 4), "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(hot), "chunk string, numbers binary, hot binary")
-    by_chunk = shared.repartition(tasks, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("numbers", "hot")).alias("shared"))
-    contexts = by_chunk.join(own, "chunk").select("chunk", "ids", "start", "shared").mapInArrow(_contexts(length, buckets), _CONTEXTS)
-    covered = contexts.repartition(max(8, buckets // 4), "bucket").sortWithinPartitions("bucket").mapInArrow(_covered(length), "chunk string, spans binary")
-    spans = covered.repartition(tasks, "chunk").groupBy("chunk").agg(F.collect_list("spans").alias("spans"))
-    found = chunks.repartition(tasks, "chunk").join(spans, "chunk", "left")
+    named = own.select("chunk", "start").repartition(tasks).mapInArrow(lean(_named(length, buckets)), "bucket long, chunk string, names binary, numbers binary")
+    shared = named.repartition(max(8, buckets // 4), "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_shared(hot)), "chunk string, numbers binary, hot binary")
+    # rows of a chunk meet by grouping, as a join would sort both sides: in each task two arrays of tens of MB for a few rows
+    numbers = F.when(F.col("numbers").isNotNull(), F.struct("numbers", "hot"))
+    by_chunk = own.unionByName(shared, True).repartition(tasks, "chunk").groupBy("chunk").agg(_only("ids"), _only("start"), F.collect_list(numbers).alias("shared"))
+    contexts = by_chunk.where(F.size("shared") > 0).select("chunk", "ids", "start", "shared").mapInArrow(lean(_contexts(length, buckets)), _CONTEXTS)
+    covered = contexts.repartition(max(8, buckets // 4), "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_covered(length)), "chunk string, spans binary")
+    # what follows takes little, so that fewer tasks do, each of which makes a file where the result is written
+    found = chunks.unionByName(covered, True).repartition(max(8, count // 16), "chunk").groupBy("chunk").agg(*(_only(c) for c in chunks.columns if c != "chunk"), F.collect_list("spans").alias("spans"))
     return found.select("chunk", "ids", "start", "spans", *(f.name for f in carried))
 
 
@@ -432,7 +442,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     _checked(length)
     each = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     found = _spans(each, length, chunk, hot)
-    return found.mapInArrow(_results(length, False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.mapInArrow(lean(_results(length, False)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, hot: int = HOT) -> DataFrame:
@@ -445,7 +455,7 @@ def without_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
     named = [F.col(c).alias(f"c{k}") for k, c in enumerate(others)]
     each = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), F.struct(F.col(text_col).isNull().alias("none"), *named).alias("carried"))
     found = _spans(each, length, chunk, hot)
-    rows = found.mapInArrow(_results(length, True), f"n_removed long, kept string, carried {each.schema['carried'].dataType.simpleString()}")
+    rows = found.mapInArrow(lean(_results(length, True)), f"n_removed long, kept string, carried {each.schema['carried'].dataType.simpleString()}")
     back = {c: F.col(f"carried.c{k}").alias(c) for k, c in enumerate(others)}
     return rows.select(*(back.get(c, F.when(~F.col("carried.none"), F.col("kept")).alias(c)) for c in docs.columns))
 

@@ -1,11 +1,13 @@
 """Suffix-array dedup against brute force over all strings."""
 
 import hashlib
+import tracemalloc
 
 import numpy as np
 import pytest
 
 from sonolith.llm import suffix_dedup as s
+from sonolith.llm.common import READ_ROWS, stored
 
 
 def brute(rows, length=50):
@@ -87,3 +89,31 @@ def test_rows_go_along_with_their_chunks(spark):
         assert text is None or k == 1 or (text.startswith(r.text) and len(r.text) < 8)
     assert got[1].text == rows[1][1] and got[3].text is None
     assert s.without_repeats(df.limit(0)).columns == df.columns
+
+
+def test_documents_are_read_in_small_batches(spark, tiny, monkeypatch):
+    """What the executors' heap has to hold of texts at once is bounded while chunks are made, and the session is then as before."""
+    name, seen = "spark.sql.parquet.columnarReaderBatchSize", []
+    monkeypatch.setattr(s, "stored", lambda df, to: (seen.append(int(spark.conf.get(name))), stored(df, to))[1])
+    for own in (None, "100"):
+        if own:
+            spark.conf.set(name, own)
+        assert s.suffix_dedup(spark.read.parquet(f"{tiny}/documents.parquet")).count() > 0
+        assert spark.conf.get(name, None) == own
+    spark.conf.unset(name)
+    assert seen == [READ_ROWS, 100]
+
+
+def test_a_chunk_takes_little_memory():
+    data = np.random.default_rng(1).integers(97, 123, s.CHUNK, dtype=np.uint8)
+    tracemalloc.start()
+    s.anchors(data, np.arange(0, s.CHUNK + 1, 2000), 50)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40_000_000
+
+
+def test_rows_of_a_chunk_meet_without_a_sort(spark, tiny):
+    """A join would sort its sides: arrays of tens of MB in every task. What is left to sort are the two tables of buckets."""
+    plan = s.suffix_dedup(spark.read.parquet(f"{tiny}/documents.parquet"))._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and "SortAggregate" not in plan
