@@ -74,18 +74,27 @@ READ_ROWS = 256
 
 
 @contextmanager
-def small_reads(spark: SparkSession) -> Iterator[None]:
-    """Parquet that is read in here is decoded READ_ROWS rows at a time at most; afterwards the session is as before."""
-    name = "spark.sql.parquet.columnarReaderBatchSize"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, str(min(READ_ROWS, int(spark.conf.get(name)))))
+def settings(spark: SparkSession, most: dict[str, int]) -> Iterator[None]:
+    """Jobs in here run with these settings, or lower ones that the session has; afterwards the session is as before."""
+    before = {name: spark.conf.get(name, None) for name in most}
+    for name, value in most.items():
+        had = int(spark.conf.get(name))
+        spark.conf.set(name, str(value if had <= 0 else min(value, had)))
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+@contextmanager
+def small_reads(spark: SparkSession) -> Iterator[None]:
+    """Parquet that is read in here is decoded READ_ROWS rows at a time at most."""
+    with settings(spark, {"spark.sql.parquet.columnarReaderBatchSize": READ_ROWS}):
+        yield
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
