@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import dataclasses
 import json
 import sys
 
@@ -11,7 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import dataset
-from .operators import fragment, registry, signal
+from .operators import config, registry
 from .sources import files
 
 
@@ -26,9 +25,11 @@ def parser() -> argparse.ArgumentParser:
     p = commands.add_parser("preprocess", help="build a dataset")
     p.add_argument("--path", action="append", required=True, help="folders of source files")
     p.add_argument("--out", help="the dataset's folder (default: beside the first path)")
-    p.add_argument("--config", default="default", help="a preset, or a file of options")
-    p.add_argument("--sample_rate", type=int, default=44100)
-    p.add_argument("--channels", type=int, default=1)
+    p.add_argument("--config", default="default", help="a preset, or a configuration file")
+    p.add_argument("--config_path", **many, help="folders to look for configuration files in")
+    p.add_argument("--scope", **many, help="a scope of the configuration, later ones win")
+    p.add_argument("--sample_rate", type=int, help="44100 unless the configuration says otherwise")
+    p.add_argument("--channels", type=int, help="1 unless the configuration says otherwise")
     p.add_argument("--chunk_length", type=int, help="samples a chunk; the hop is half of it")
     p.add_argument("--max_db_size", type=float, help="has no effect: tables grow as they need")
     p.add_argument("--log", help="a file for the number of chunks of each source file")
@@ -64,18 +65,21 @@ def parser() -> argparse.ArgumentParser:
 
 
 def _features(names: list[str], sr: int) -> list:
-    return [registry.found(registry.FEATURES, n)(sr=sr) for n in names]
+    return [registry.feature(n, sr=sr) for n in names]
 
 
-def _windows(args) -> fragment.Windows:
+def _resolved(args) -> dict:
+    """The configuration with what the command line says on top."""
+    said = [f"audio.waveform={json.dumps(args.waveform)}"]
+    said += [f"audio.{k}={v}" for k, v in (("sr", args.sample_rate), ("channels", args.channels)) if v is not None]
     if args.chunk_length:
-        chosen = fragment.Windows(args.chunk_length, hop=args.chunk_length // 2)
-    elif args.config in registry.CONFIGS:
-        chosen = registry.CONFIGS[args.config]
-    else:
-        chosen = fragment.Windows(**registry.configured(args.config))
-    changes = {k: json.loads(v) for k, _, v in (o.partition("=") for o in args.override)}
-    return dataclasses.replace(chosen, sr=args.sample_rate, **changes)
+        said += [f"windows.chunk={args.chunk_length}", f"windows.hop={args.chunk_length // 2}"]
+    lists = {"include": args.filter, "exclude": args.exclude, "patterns": args.meta_regexp}
+    said += [f"files.{k}={json.dumps(v)}" for k, v in lists.items() if v]
+    plain = [o if "." in o.partition("=")[0] else f"windows.{o}" for o in args.override]
+    out = config.merge({"audio": {"sr": 44100, "channels": 1}}, config.resolve(args.config, args.config_path, args.scope, [*said, *plain]))
+    known = out.get("features", [])
+    return out | {"features": known + [f for f in args.feature if f not in known]}
 
 
 def run(spark: SparkSession, args: argparse.Namespace, out=sys.stdout) -> dataset.Dataset:
@@ -83,8 +87,7 @@ def run(spark: SparkSession, args: argparse.Namespace, out=sys.stdout) -> datase
         target = args.out or args.path[0].rstrip("/") + "_dataset"
         if args.check:
             print(f"{files.scan(spark, args.path, args.filter, args.exclude, content=False).count()} files to {target}", file=out)
-        threshold = fragment.PRESET_LOUDNESS.get(args.config)
-        made = dataset.preprocess(spark, args.path, target, _windows(args), sr=args.sample_rate, channels=args.channels, include=args.filter, exclude=args.exclude, loudness_threshold=threshold, features=_features(args.feature, args.sample_rate), patterns=args.meta_regexp, waveform=args.waveform, force=args.force)
+        made = dataset.preprocess(spark, args.path, target, **config.arguments(_resolved(args)), force=args.force)
         if args.compact:
             made = dataset.compact(spark, target)
         if args.log:
@@ -97,15 +100,13 @@ def run(spark: SparkSession, args: argparse.Namespace, out=sys.stdout) -> datase
             print(f"{len(stored)} rows stored; files from {', '.join(args.data) or 'nowhere'}, features {', '.join(args.feature) or 'none'}", file=out)
         made = dataset.update(spark, args.path, args.data, _features(args.feature, stored.metadata["sr"] or 44100), overwrite=args.overwrite, include=args.filter or None, exclude=args.exclude or None, patterns=args.meta_regexp)
     elif args.command == "add_embedding":
-        spec = registry.configured(args.module)
+        spec = config.read(args.module)
         name = args.name or args.module.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-        layer = signal.module(spec["weights"], spec["stride"], spec.get("bias"))
-        sr = dataset.Dataset(spark, args.path).metadata["sr"]
-        embed = layer if not args.model_sr or args.model_sr == sr else lambda x: layer(signal.resample_to(sr, args.model_sr)(x))
-        views = [registry.found(registry.TRANSFORMS, n) for n in args.transform]
+        options = {"name": name, "weights": spec["weights"], "stride": spec["stride"], "bias": spec.get("bias"), "model_sr": args.model_sr, "transforms": args.transform}
+        made_of = registry.feature("module", sr=dataset.Dataset(spark, args.path).metadata["sr"] or 44100, **options)
         if args.check:
-            print(f"{name}: {1 + len(views)} views", file=out)
-        made = dataset.add_embedding(spark, args.path, name, embed, views, overwrite=args.overwrite)
+            print(f"{name}: {1 + len(args.transform)} views", file=out)
+        made = dataset.update(spark, args.path, features=[made_of], overwrite=args.overwrite)
     else:
         made = dataset.Dataset(spark, args.path)
         print(json.dumps(made.metadata, indent=1), file=out)

@@ -1,12 +1,12 @@
 """Building, updating and reading a dataset folder: fragments, feature index, splits and metadata as tables.
 
 ``preprocess`` builds, ``update`` appends files and fills in features, ``add_embedding`` adds one feature with its
-views, ``Dataset`` reads. Nothing that is stored is code: rows are columns, indexes are tables.
+views, ``Dataset`` reads. Nothing that is stored is code: rows are columns, indexes are tables, features are names with options or SQL.
+Fragments and their index change together, by snapshots (``store.Store``).
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from dataclasses import asdict
 
@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import arrays, globs
-from .functions.keys import key_order
-from .operators import fragment, incremental, index, pattern, splits
-from .sources import files
+from .functions.keys import key_order, ordered_rank
+from .operators import fragment, incremental, index, pattern, registry, splits
+from .sources import files, signals
+from .store import Change, Store
 
 
 class Dataset:
@@ -26,23 +27,29 @@ class Dataset:
     name for a dict; without a pattern all of a list go to the waveform, one after the other. Each maps a channel.
     """
 
-    def __init__(self, spark: SparkSession, path: str, output_pattern: str | None = None, required: list[str] = (), transforms=(), channels: int | None = None, max_samples: int | None = None, keys: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, path: str, output_pattern: str | None = None, required: list[str] = (), transforms=(), channels: int | None = None, max_samples: int | None = None, keys: DataFrame | None = None, version: int | None = None):
         self.spark, self.path, self.pattern, self.transforms, self.channels = spark, path, output_pattern, transforms, channels
-        rows = index.required(spark.read.parquet(f"{path}/fragments"), list(required))
+        self.store = Store(spark, path)
+        self.snapshot = self.store.snapshot(version)
+        rows = index.required(self.store.read("fragments", self.snapshot), list(required))
         rows = rows if keys is None else rows.join(keys.select("frag_key").distinct(), "frag_key", "left_semi")
-        self.rows = rows if max_samples is None else rows.orderBy("frag_key").limit(max_samples)
+        self.rows = rows if max_samples is None else rows.orderBy(key_order(F.col("frag_key"))).limit(max_samples)
         self.partition_of: Dataset | None = None
 
     @property
     def index(self) -> DataFrame:
-        own = self.spark.read.parquet(f"{self.path}/feature_index")
+        own = self.store.read("feature_index", self.snapshot)
         return own.join(self.rows.select(F.col("frag_key").alias("key")), "key", "left_semi")
 
     feature_hash = index
 
     @property
     def metadata(self) -> dict:
-        return json.loads(self.spark.read.text(f"{self.path}/metadata").first()[0])
+        return dict(self.snapshot["meta"])
+
+    @property
+    def version(self) -> int:
+        return self.snapshot["version"]
 
     @property
     def features(self) -> list[str]:
@@ -63,10 +70,12 @@ class Dataset:
         return keys.join(self.rows.select("frag_key"), "frag_key", "left_semi")
 
     def scan(self, low: str | None = None, high: str | None = None, **options) -> DataFrame:
-        """Rows in key order, from a key on and below another; the range reaches the files' statistics."""
-        rows = self.rows
-        rows = rows if low is None else rows.where(F.col("frag_key") >= low)
-        rows = rows if high is None else rows.where(F.col("frag_key") < high)
+        """Rows in key order, from a key on and below another."""
+        rows, key = self.rows, F.col("frag_key")
+        # plain comparisons reach the files' statistics where keys are as long as the bound; others are told apart by their length
+        at_least = lambda k: (F.length(key) > len(k)) | ((F.length(key) == len(k)) & (key >= k))
+        rows = rows if low is None else rows.where(at_least(low))
+        rows = rows if high is None else rows.where(~at_least(high))
         return self.read(rows, **options).orderBy(key_order(F.col("frag_key")))
 
     def has_split(self, name: str = "partitions") -> bool:
@@ -77,9 +86,10 @@ class Dataset:
         return self.read(self.rows.where(F.col("frag_key") == key), output_pattern, transforms)
 
     def at(self, position: int, **options) -> DataFrame:
-        """By position in key order."""
-        keys = self.rows.select("frag_key").orderBy("frag_key").offset(position).limit(1)
-        return self.read(self.rows.join(F.broadcast(keys), "frag_key", "left_semi"), **options)
+        """By position in key order: keys are ranked within ranges, so that none but the one found reaches one place."""
+        numbers = self.rows.select("frag_key", F.col("frag_key").cast("long").alias("_number"))
+        keys = ordered_rank(numbers, "_number", "_position").where(F.col("_position") == position).select("frag_key")
+        return self.read(self.rows.join(F.broadcast(keys), "frag_key", "left_semi"), **options)  # one key
 
     def read(self, rows: DataFrame | None = None, output_pattern: str | None = None, transforms=None) -> DataFrame:
         """The pattern's columns, changed by the transforms; what is given here goes before the dataset's own."""
@@ -139,131 +149,191 @@ class Dataset:
 SimpleDataset = Dataset
 
 
-def _fragments(scanned: DataFrame, windows, sr, channels, loudness_threshold, hooks=()) -> DataFrame:
-    """Windows of scanned files. Lengths in seconds are at the files' own rates, or at the rate that all are brought to."""
+def _by_range(scanned: DataFrame, windows, sr, channels, hooks) -> DataFrame:
+    """Windows cut by many tasks a file. Files at another rate than ``sr`` are an error, as resampling needs them whole."""
+    if hooks:
+        raise ValueError("hooks see whole files, which the parser ranges never has")
+    cut = signals.windows(scanned, windows).where("start is not null")
+    if sr:
+        cut = cut.withColumn("sr", F.when(F.col("sr") == sr, F.col("sr")).otherwise(F.raise_error(F.concat(F.col("file_path"), F.lit(" has another rate, and the parser ranges does not resample")))))
+    if channels:
+        cut = cut.withColumn("waveform", arrays.fix_channels(F.col("waveform"), channels))
+    return cut.withColumn("file_length", F.col("n_frames") / F.col("sr")).drop("channels", "n_frames", "problem")
+
+
+def _whole(scanned: DataFrame, windows, sr, channels, hooks) -> DataFrame:
+    """Windows of files that are decoded as a whole and changed by the hooks."""
     audio = files.decode(scanned, sr, channels)
-    for hook in hooks:  # files as a whole, before they are cut
+    for hook in hooks:
         audio = hook(audio)
-    kept = [c for c in audio.columns if c not in ("root", "file_path", "relative", "length", "file_length", "sr", "waveform")]
     stacked = audio.withColumn("n", F.size(F.element_at("waveform", 1)))
     chunk, hop, least = windows.samples(F.col("sr") if windows.in_seconds() else None)
     size = chunk if isinstance(chunk, Column) else F.lit(chunk)
     rows = stacked.withColumn("start", F.explode(arrays.starts(F.col("n"), chunk, hop, least)))
-    window = F.transform("waveform", lambda c: F.slice(c, F.col("start") + 1, size))
-    rows = rows.withColumn("waveform", window if windows.pad == "discard" else F.transform(window, lambda c: arrays.pad(c, chunk, windows.pad)))
+    return rows.withColumn("waveform", F.transform("waveform", lambda c: F.slice(c, F.col("start") + 1, size))).drop("n", "length", "relative")
+
+
+def _fragments(scanned: DataFrame, windows, sr, channels, loudness_threshold, hooks=(), by_range: bool = False) -> DataFrame:
+    """Windows of scanned files. Lengths in seconds are at the files' own rates, or at the rate that all are brought to."""
+    rows = (_by_range if by_range else _whole)(scanned, windows, sr, channels, hooks)
+    chunk = windows.samples(F.col("sr") if windows.in_seconds() else None)[0]
+    size = chunk if isinstance(chunk, Column) else F.lit(chunk)
+    if windows.pad != "discard":
+        rows = rows.withColumn("waveform", F.transform("waveform", lambda c: arrays.pad(c, chunk, windows.pad)))
     if loudness_threshold is not None:
         from .operators import signal
 
         rows = rows.where(signal.loudness_of_channels_at(F.col("waveform"), F.col("sr")) >= loudness_threshold)
-    return rows.select("root", "file_path", (F.col("start") / F.col("sr")).alias("start_pos"), (size / F.col("sr")).alias("length"), "file_length", "sr", "waveform", *kept)
+    own = ("root", "file_path", "start", "file_length", "sr", "waveform")
+    return rows.select("root", "file_path", (F.col("start") / F.col("sr")).alias("start_pos"), (size / F.col("sr")).alias("length"), "file_length", "sr", "waveform", *(c for c in rows.columns if c not in own))
 
 
-def _with_features(rows: DataFrame, features: dict[str, Column], patterns: list[str]) -> tuple[DataFrame, list[str]]:
-    named = {**{n: globs.captured(F.col("file_path"), ps, n) for n, ps in globs.fields(patterns).items()}, **features}
-    return incremental.backfill(rows, named), list(named)
+def _columns(features: list[registry.Feature], patterns: list[str]) -> dict[str, Column]:
+    """The features' columns by name, those of path patterns first."""
+    return {**{n: globs.captured(F.col("file_path"), ps, n) for n, ps in globs.fields(patterns).items()}, **{f.name: f.column() for f in features}}
 
 
-def _index_of(rows: DataFrame, hashed: dict[str, Column]) -> DataFrame:
-    found = index.feature_index(rows, {"original_path": F.col("file_path"), **hashed}, "frag_key")
-    return found.repartition("feature", "value").sortWithinPartitions("feature", "value", "key")
+def _keys(features: list[registry.Feature], named: list[str]) -> dict[str, Column]:
+    """What rows are indexed by: features by their own rule, the other names by their values."""
+    return {n: F.col(n) for n in named} | {f.name: f.key() for f in features if f.hashed}
 
 
-def _describe(spark: SparkSession, path: str, meta: dict) -> None:
-    stored = spark.read.option("mergeSchema", "true").parquet(f"{path}/fragments")
-    meta |= dict(stored.agg(F.count("*").alias("n_chunks"), F.coalesce(F.sum("length"), F.lit(0.0)).alias("n_seconds")).first().asDict())
-    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+def _index_of(rows: DataFrame, hashed: dict[str, Column], path: bool = True) -> DataFrame:
+    """Sorted by feature, value and key, in ranges of all three: rows of one value are many tasks' work."""
+    found = index.feature_index(rows, ({"original_path": F.col("file_path")} if path else {}) | hashed, "frag_key")
+    return found.repartitionByRange("feature", "value", "key").sortWithinPartitions("feature", "value", "key")
 
 
-def _swapped(spark: SparkSession, path: str, name: str) -> None:
-    """``name.next`` takes the place of ``name``."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    old, new = hadoop(f"{path}/{name}"), hadoop(f"{path}/{name}.next")
-    system = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    system.delete(old, True)
-    if not system.rename(new, old):
-        raise OSError(f"{path}/{name}.next could not be renamed")
+def _counted(meta: dict, written: DataFrame) -> dict:
+    """The metadata with the rows and seconds of newly written fragments."""
+    new = written.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0.0)).alias("s")).first()
+    return meta | {"n_chunks": meta.get("n_chunks", 0) + new.n, "n_seconds": meta.get("n_seconds", 0.0) + new.s}
 
 
-def _resolved(features) -> tuple[dict[str, Column], dict[str, Column], list]:
-    """Columns by name, those to index, and hooks, of a dict of columns or a list of ``registry.Feature``."""
-    if isinstance(features, dict) or features is None:
-        return dict(features or {}), {}, []
-    values = {f.name: f.column() for f in features}
-    return values, {f.name: f.key() for f in features if f.hashed}, [f.pre_chunk for f in features if f.pre_chunk]
+def _numbered(rows: DataFrame, first: int) -> DataFrame:
+    return incremental.numbered(rows, first, ["start_pos"], "file_path")
 
 
-def preprocess(spark: SparkSession, roots: list[str], out: str, windows: fragment.Windows, sr: int | None = None, channels: int | None = None, include: list[str] = (), exclude: list[str] = (), loudness_threshold: float | None = None, features=None, patterns: list[str] = (), hashed: list[str] = (), waveform: bool = True, force: bool = False, dir_parser: Callable[..., DataFrame] | None = None) -> Dataset:
-    """Build a dataset. An existing one is an error, or is replaced with ``force``.
+def preprocess(spark: SparkSession, roots: list[str], out: str, windows: fragment.Windows, sr: int | None = None, channels: int | None = None, include: list[str] = (), exclude: list[str] = (), loudness_threshold: float | None = None, features=None, patterns: list[str] = (), hashed: list[str] = (), waveform: bool = True, force: bool = False, dir_parser: str | Callable[..., DataFrame] | None = None, writer: str = "parquet", config: dict | None = None) -> Dataset:
+    """Build a dataset. An existing one is an error, or is replaced with ``force`` (its snapshots stay until ``vacuum``).
 
-    features: columns by name, or ``registry.Feature`` objects. dir_parser: scans in place of ``sources.files.scan``.
+    features: columns or SQL by name, or ``registry.Feature`` objects. dir_parser: scans in place of ``sources.files.scan``, by its
+    name in ``registry.PARSERS`` or as code. writer: the tables' file format, by its name in ``registry.WRITERS``. config: the resolved
+    configuration (``operators.config``) that the other arguments come from; it is kept in the metadata.
     """
-    values, keyed_by, hooks = _resolved(features)
-    scanned = (dir_parser or files.scan)(spark, list(roots), include, exclude)
-    rows, names = _with_features(_fragments(scanned, windows, sr, channels, loudness_threshold, hooks), values, list(patterns))
-    keyed = incremental.numbered(rows, 0, ["start_pos"], "file_path")
-    meta = {"features": names, "hashed": sorted({*hashed, *globs.fields(list(patterns)), *keyed_by}), "windows": asdict(windows), "sr": sr, "channels": channels, "include": list(include), "exclude": list(exclude), "patterns": list(patterns), "loudness_threshold": loudness_threshold, "writer": "parquet", "parser": "windows", "fragment": "row"}
-    (keyed if waveform else keyed.drop("waveform")).write.mode("overwrite" if force else "errorifexists").parquet(f"{out}/fragments")
-    _index_of(spark.read.parquet(f"{out}/fragments"), {**{h: F.col(h) for h in meta["hashed"]}, **keyed_by}).write.mode("overwrite").parquet(f"{out}/feature_index")
-    _describe(spark, out, meta)
+    change = Store(spark, out).change("preprocess")
+    if change.base["version"] and not force:
+        raise FileExistsError(f"there is a dataset in {out}")
+    made, parser = registry.as_features(features), registry.parser_name(dir_parser)
+    parse = registry.found(registry.PARSERS, parser)
+    scanned, by_range = parse(spark, list(roots), include, exclude), getattr(parse, "by_range", False)
+    cut = _fragments(scanned, windows, sr, channels, loudness_threshold, [f.pre_chunk for f in made if f.pre_chunk], by_range)
+    columns, format_ = _columns(made, list(patterns)), registry.found(registry.WRITERS, writer)
+    named = sorted({*hashed, *globs.fields(list(patterns))})
+    rows = _numbered(incremental.backfill(cut, columns), 0)
+    stored = change.replace("fragments", rows if waveform else rows.drop("waveform"), format_)
+    change.replace("feature_index", _index_of(stored, _keys(made, named)), format_)
+    change.replace("skipped", signals.problems(scanned), format_)
+    meta = {"features": list(columns), "specs": [registry.stored_spec(out, f) for f in made], "hashed": sorted({*named, *(f.name for f in made if f.hashed)}), "windows": asdict(windows), "sr": sr, "channels": channels, "include": list(include), "exclude": list(exclude), "patterns": list(patterns), "loudness_threshold": loudness_threshold, "waveform": waveform, "writer": writer, "parser": parser, "next": change.rows("fragments"), "n_skipped": change.rows("skipped"), "config": config}
+    change.commit(_counted(meta, stored))
     return Dataset(spark, out)
 
 
-def update(spark: SparkSession, path: str, roots: list[str] = (), features=None, hashed: list[str] = (), overwrite: bool = False, include: list[str] | None = None, exclude: list[str] | None = None, patterns: list[str] = ()) -> Dataset:
+def update(spark: SparkSession, path: str, roots: list[str] = (), features=None, hashed: list[str] = (), overwrite: bool = False, include: list[str] | None = None, exclude: list[str] | None = None, patterns: list[str] = (), dir_parser: str | Callable[..., DataFrame] | None = None, without: list[str] = (), scanned: DataFrame | None = None) -> Dataset:
     """Append files that are not stored yet, with the build's own options, and fill in features.
 
+    New rows get every feature that the dataset has, made again from what is stored of it, with its hooks and its keys of the index; one that
+    was given as code in another session is an error, unless it is given again or named in ``without`` (then it is null).
+    scanned: rows as ``files.scan`` gives them, in place of roots.
     Stored files are left out before any is decoded. Without new features the new rows and their index entries are appended and
-    nothing stored is written again; with some, the rows are written once to a new folder that takes the old one's place.
+    nothing stored is written again; with some, the rows are written once more, and of the index what belongs to features that are computed anew.
     """
     old = Dataset(spark, path)
-    meta, stored = old.metadata, old.rows
-    values, keyed_by, _ = _resolved(features)
-    if patterns:
-        values = {**{n: globs.captured(F.col("file_path"), ps, n) for n, ps in globs.fields(list(patterns)).items()}, **values}
+    meta, stored, change = old.metadata, old.rows, old.store.change("update")
+    given = registry.as_features(features)
+    names = {f.name for f in given}
+    extra = [p for p in patterns if p not in meta["patterns"]]
+    before = {n for n in meta["hashed"] if n not in names}
     fresh = None
-    if roots:
-        w = fragment.Windows(**meta["windows"])
-        scanned = files.scan(spark, list(roots), meta["include"] if include is None else include, meta["exclude"] if exclude is None else exclude)
+    if roots or scanned is not None:
+        known = [registry.rebuilt(path, s) for s in meta["specs"] if s["name"] not in names and s["name"] not in without]
+        parse = registry.found(registry.PARSERS, registry.parser_name(dir_parser or meta["parser"]))
+        if scanned is None:
+            scanned = parse(spark, list(roots), meta["include"] if include is None else include, meta["exclude"] if exclude is None else exclude)
         scanned = incremental.new_files(scanned, stored, "file_path")
-        fresh, _ = _with_features(_fragments(scanned, w, meta["sr"], meta["channels"], meta["loudness_threshold"]), {}, meta["patterns"])
-        fresh = incremental.numbered(fresh, incremental.next_number(stored), ["start_pos"], "file_path")
-        fresh = fresh.select(*(c for c in fresh.columns if c in stored.columns))
-    before = set(meta["hashed"])
-    meta["features"] = list(dict.fromkeys([*meta["features"], *values]))
-    meta["hashed"] = sorted({*before, *hashed, *globs.fields(list(patterns)), *keyed_by})
-    if values or set(meta["hashed"]) != before:
-        rows = stored if fresh is None else stored.unionByName(fresh, allowMissingColumns=True)
-        incremental.backfill(rows, values, overwrite).write.mode("overwrite").parquet(f"{path}/fragments.next")
-        _swapped(spark, path, "fragments")
-        _index_of(spark.read.parquet(f"{path}/fragments"), {**{h: F.col(h) for h in meta["hashed"]}, **keyed_by}).write.mode("overwrite").parquet(f"{path}/feature_index")
-    elif fresh is not None:
-        first = incremental.frag_key(F.lit(incremental.next_number(stored)))
-        fresh.write.mode("append").parquet(f"{path}/fragments")
-        added = spark.read.option("mergeSchema", "true").schema(stored.schema).parquet(f"{path}/fragments").where(key_order(F.col("frag_key")) >= key_order(first))
-        _index_of(added, {h: F.col(h) for h in meta["hashed"]}).write.mode("append").parquet(f"{path}/feature_index")
-    _describe(spark, path, meta)
+        cut = _fragments(scanned, fragment.Windows(**meta["windows"]), meta["sr"], meta["channels"], meta["loudness_threshold"], [f.pre_chunk for f in (*known, *given) if f.pre_chunk], getattr(parse, "by_range", False))
+        fresh = _numbered(incremental.backfill(cut, _columns([*known, *given], [*meta["patterns"], *extra])), meta["next"])
+        fresh = fresh if meta["waveform"] else fresh.drop("waveform")
+        rules = _keys([*known, *given], sorted({*before, *hashed, *globs.fields(extra)} - {f.name for f in known if f.hashed} - set(without)))
+    columns = _columns(given, extra)
+    anew = sorted({n for n in {*names, *globs.fields(extra)} if overwrite or n not in meta["features"]} | ({*hashed} - before) | {f.name for f in given if f.hashed})
+    held = change.tables["fragments"]
+    if columns:
+        written = change.replace("fragments", incremental.backfill(stored, columns, overwrite))
+        own = {n: c for n, c in _keys(given, sorted({*hashed, *globs.fields(extra)} - {f.name for f in given if f.hashed})).items() if n in anew}
+        _reindex(change, written, own, stale=[n for n in own if n in meta["hashed"]])
+    elif anew:
+        _reindex(change, old.store.read("fragments", old.snapshot), {n: F.col(n) for n in anew}, [])
+    added = None
+    if fresh is not None:
+        added = change.append("fragments", fresh)
+        meta["next"] += change.rows("fragments") - sum(p["rows"] for p in held["parts"])
+        if not added.isEmpty():
+            change.append("feature_index", _index_of(added, rules))
+            meta = _counted(meta, added)
+            told = old.store.read("skipped", old.snapshot)
+            change.append("skipped", signals.problems(scanned.join(told, "file_path", "left_anti")))
+            meta["n_skipped"] = change.rows("skipped")
+    if change.tables["fragments"]["parts"] == held["parts"] and not anew:
+        return old
+    meta["features"] = list(dict.fromkeys([*meta["features"], *columns]))
+    meta["specs"] = [s for s in meta["specs"] if s["name"] not in names] + [registry.stored_spec(path, f) for f in given]
+    meta["hashed"] = sorted({*meta["hashed"], *hashed, *globs.fields(extra), *(f.name for f in given if f.hashed)})
+    meta["patterns"] = [*meta["patterns"], *extra]
+    change.commit(meta)
     return Dataset(spark, path)
 
 
+def _reindex(change: Change, rows: DataFrame, keys: dict[str, Column], stale: list[str]) -> None:
+    """Index entries by these features for all stored rows; the stale ones' old entries go."""
+    if not keys:
+        return
+    new = _index_of(rows, keys, path=False)
+    if stale:
+        change.replace("feature_index", change.store.read("feature_index", change.base).where(~F.col("feature").isin(stale)))
+    change.append("feature_index", new)
+
+
 def compact(spark: SparkSession, path: str, rows_a_file: int = 100_000) -> Dataset:
-    """The many files of appends as few ones, in key order; the rows stay as they are."""
-    stored = spark.read.parquet(f"{path}/fragments")
-    count = stored.count()
+    """The many files of appends as few ones, in key order; the rows stay as they are. Old files stay until ``vacuum``."""
+    old = Dataset(spark, path)
+    change = old.store.change("compact")
     order = [F.length("frag_key"), F.col("frag_key")]
-    stored.repartitionByRange(max(1, -(-count // rows_a_file)), *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/fragments.next")
-    _swapped(spark, path, "fragments")
-    spark.read.parquet(f"{path}/feature_index").repartition("feature", "value").sortWithinPartitions("feature", "value", "key").write.mode("overwrite").parquet(f"{path}/feature_index.next")
-    _swapped(spark, path, "feature_index")
+    stored = old.store.read("fragments", change.base)
+    change.replace("fragments", stored.repartitionByRange(max(1, -(-change.rows("fragments") // rows_a_file)), *order).sortWithinPartitions(*order))
+    entries = old.store.read("feature_index", change.base)
+    change.replace("feature_index", entries.repartitionByRange("feature", "value", "key").sortWithinPartitions("feature", "value", "key"))
+    for table in ("fragments", "feature_index"):
+        before = sum(p["rows"] for p in change.base["tables"][table]["parts"])
+        if change.rows(table) != before:
+            raise RuntimeError(f"{table} has {before} rows and {change.rows(table)} were written; nothing is changed")
+    change.commit(old.metadata)
     return Dataset(spark, path)
 
 
+def vacuum(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
+    """Removes snapshots but the last ``keep`` and the files that only older ones name."""
+    return Store(spark, path).vacuum(keep)
+
+
 def add_embedding(spark: SparkSession, path: str, name: str, embed: Callable[[Column], Column], transforms: list[Callable[[Column], Column]] = (), overwrite: bool = True) -> Dataset:
     """Adds the embedding of the first channel and of each transform of it: 1 + n views."""
     from .operators.signal import views
 
-    return update(spark, path, features={name: views(F.element_at("waveform", 1), embed, list(transforms))}, overwrite=overwrite)
+    return update(spark, path, features=[registry.Feature(name, lambda x: views(x, embed, list(transforms)))], overwrite=overwrite)
 
 
 def info(dataset: Dataset, check: list[str] = ()) -> dict[str, DataFrame]:
-    """files, missing and columns of a dataset."""
-    out = {"files": index.files(dataset.rows, "file_path"), "columns": index.describe(dataset.rows), "shapes": index.shapes(dataset.rows, "frag_key")}
+    """files, files that were skipped and why, columns, shapes and, of the features named, what is missing."""
+    out = {"files": index.files(dataset.rows, "file_path"), "skipped": dataset.store.read("skipped", dataset.snapshot), "columns": index.describe(dataset.rows), "shapes": index.shapes(dataset.rows, "frag_key")}
     return out | ({"missing": index.missing(dataset.rows, list(check), "frag_key")} if check else {})

@@ -46,10 +46,14 @@ def none_of(path: Column, patterns: list[str]) -> Column:
     return reduce(lambda a, b: a & b, (~path.rlike(file_regex(p)) for p in patterns)) if patterns else F.lit(True)
 
 
+def extension_regex(extensions=AUDIO_EXTENSIONS) -> str:
+    forms = "|".join([*extensions, *(e.upper() for e in extensions)])
+    return f"\\.({forms})$"
+
+
 def has_extension(path: Column, extensions=AUDIO_EXTENSIONS) -> Column:
     """All lower or all upper case; a mixed one does not count."""
-    forms = "|".join([*extensions, *(e.upper() for e in extensions)])
-    return path.rlike(f"\\.({forms})$")
+    return path.rlike(extension_regex(extensions))
 
 
 _FIELD = re.compile(r"\{\{(\w+)\}\}")

@@ -2,60 +2,48 @@
 
 from __future__ import annotations
 
-import io
-import wave
+import struct
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays, globs
+from . import signals
 
 #: Places that are searched for side files, relative to the audio file's folder; fixed values.
 SIDE_FOLDERS = (".", "../midi", "./midi", "../MIDI", "./MIDI")
 
 
+def named(found: DataFrame, root: str, include: list[str] = (), exclude: list[str] = (), content: bool = True) -> DataFrame:
+    """Rows of the binary file source under a root, batch or stream, as ``scan`` gives them."""
+    path = F.regexp_replace("path", r"^file:/+", "/")
+    clean = root.removeprefix("file:").rstrip("/")
+    clean = "/" + clean.lstrip("/") if root.startswith(("/", "file:")) else clean
+    one = found.select(F.lit(root).alias("root"), path.alias("_p"), "length", *(["content"] if content else []))
+    one = one.withColumn("file_path", globs.relative_to_parent(F.col("_p"), clean)).withColumn("relative", F.substring("_p", F.lit(len(clean) + 2), F.length("_p"))).drop("_p")
+    return one.where(globs.has_extension(F.col("relative")) & globs.any_of(F.col("relative"), list(include)) & globs.none_of(F.col("relative"), list(exclude)))
+
+
 def scan(spark: SparkSession, roots: list[str], include: list[str] = (), exclude: list[str] = (), content: bool = True) -> DataFrame:
     """root, file_path (from the root's own folder name on), relative, length, content. No files at all is an error."""
     if not roots:
         raise ValueError("no roots")
     out = None
     for root in roots:
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        path = F.regexp_replace("path", r"^file:/+", "/")
-        clean = root.removeprefix("file:").rstrip("/")
-        clean = "/" + clean.lstrip("/") if root.startswith(("/", "file:")) else clean
-        one = found.select(F.lit(root).alias("root"), path.alias("_p"), "length", *(["content"] if content else []))
-        one = one.withColumn("file_path", globs.relative_to_parent(F.col("_p"), clean)).withColumn("relative", F.substring("_p", F.lit(len(clean) + 2), F.length("_p"))).drop("_p")
+        one = named(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root), root, include, exclude, content)
         out = one if out is None else out.unionByName(one)
-    kept = out.where(globs.has_extension(F.col("relative")) & globs.any_of(F.col("relative"), list(include)) & globs.none_of(F.col("relative"), list(exclude)))
-    if kept.drop("content").isEmpty():
+    if out.drop("content").isEmpty():
         raise FileNotFoundError(f"no audio files in {', '.join(roots)}")
-    return kept
-
-
-def _samples(data: bytes) -> tuple[int, np.ndarray] | None:
-    try:
-        with wave.open(io.BytesIO(data)) as f:
-            width, channels = f.getsampwidth(), f.getnchannels()
-            raw = f.readframes(f.getnframes())
-            sr = f.getframerate()
-    except (wave.Error, EOFError):
-        return None
-    if width == 3:
-        b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
-        x = ((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) << 8 >> 8) / 2**23
-    else:
-        x = np.frombuffer(raw, {1: np.uint8, 2: "<i2", 4: "<i4"}[width]).astype(float)
-        x = (x - 128) / 128 if width == 1 else x / 2 ** (8 * width - 1)
-    return sr, x.reshape(-1, channels).T
+    return out
 
 
 def decode(files: DataFrame, sr: int | None = None, channels: int | None = None) -> DataFrame:
-    """Adds sr, waveform (channels, samples), file_length (seconds). Files that cannot be read are left out.
+    """Adds sr, waveform (channels, samples), file_length (seconds). Files that cannot be read are left out; ``signals.problems`` tells why.
 
-    PCM wave files are decoded; other codecs need libraries that are not part of this one.
+    Wave and AIFF files are decoded; other codecs need libraries that are not part of this one.
     """
     from ..functions.dsp import resample
 
@@ -63,12 +51,12 @@ def decode(files: DataFrame, sr: int | None = None, channels: int | None = None)
     def run(data: pd.Series) -> pd.DataFrame:
         rates, waves = [], []
         for d in data:
-            found = _samples(d) if d is not None else None
-            if found is None:
+            try:
+                rate, x = signals.decoded(d or b"")
+            except signals.Unreadable:
                 rates.append(None)
                 waves.append(None)
                 continue
-            rate, x = found
             if sr and sr != rate:
                 x, rate = np.stack([resample(c, sr, rate) for c in x]), sr
             if channels:
@@ -111,6 +99,22 @@ def partial(x, sr, start=None, end=None, duration=None, target_sr: int | None =
     return moved(part, sr)
 
 
+def write_wave(rows: DataFrame, folder: str, sr: int) -> int:
+    """Files of 16-bit mono samples, one for each row (name, waveform); gives their number. A task that runs again writes the same files."""
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                system, path = signals.opened(f"{folder.rstrip('/')}/{r['name']}")
+                x = np.clip(np.floor(np.asarray(r["waveform"] or [], float) * 32768), -32768, 32767).astype("<i2").tobytes()
+                system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(path) as out:
+                    out.write(struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(x), b"WAVE", b"fmt ", 16, 1, 1, sr, 2 * sr, 2, 16, b"data", len(x)) + x)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    return rows.select("name", "waveform").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def outstanding(inputs: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
     """Inputs without an output yet: skips what an earlier run has done."""
     return inputs.join(outputs.select(key).distinct(), key, "left_anti")
