@@ -49,7 +49,7 @@ def ordered_rank(df: DataFrame, key: str, name: str = "rank", by: str | None = N
     """0-based rank in the order of a key (within ``by``; equal keys stand in the order of their rows' hash), without sorting all rows in one task.
 
     A sample of keys by hash (SAMPLED at most, on the driver) cuts the order into RANGES; rows are ranked within ranges and the
-    ranges' sizes are added up.
+    ranges' sizes are added up. With ``by`` there are RANGES for each group, so whether their sizes are broadcast is left to Spark.
     """
     sample = sorted(r[0] for r in df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(SAMPLED).collect())
     bounds = [sample[k] for k in range(0, len(sample), max(1, len(sample) // RANGES))][1:]
@@ -66,4 +66,4 @@ def ordered_rank(df: DataFrame, key: str, name: str = "rank", by: str | None = N
     order = Window.partitionBy(*group).orderBy("_rank_r").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.withColumn("_rank_before", F.coalesce(F.sum("_rank_n").over(order), F.lit(0))).drop("_rank_n")
     inside = F.row_number().over(Window.partitionBy(*group, "_rank_r").orderBy(F.col(key).asc_nulls_first(), tie)) - 1
-    return ranged.withColumn("_rank_k", inside).join(F.broadcast(before), [*group, "_rank_r"]).withColumn(name, (F.col("_rank_before") + F.col("_rank_k")).cast("long")).drop("_rank_r", "_rank_k", "_rank_before")
+    return ranged.withColumn("_rank_k", inside).join(before if by else F.broadcast(before), [*group, "_rank_r"]).withColumn(name, (F.col("_rank_before") + F.col("_rank_k")).cast("long")).drop("_rank_r", "_rank_k", "_rank_before")

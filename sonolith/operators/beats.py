@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import arrays
 from . import events
 
 
@@ -33,8 +34,8 @@ def chunk_starts(n: Column, size: int = 1500, border: int = 6) -> Column:
 
 def stitched(chunks: DataFrame, by: str, start: str, values: list[str], size: int = 1500, border: int = 6, keep_first: bool = True) -> DataFrame:
     """by, frame, values: of chunks (arrays of frames under ``values``) without their borders; of overlapping ones the first counts, or the last."""
-    pairs = chunks.select(by, start, F.posexplode(F.arrays_zip(*values)).alias("_k", "_v"))
-    inner = pairs.where((F.col("_k") >= border) & (F.col("_k") < size - border)).withColumn("frame", F.col(start) + F.col("_k")).where("frame >= 0")
+    kept = F.slice(F.arrays_zip(*values), border + 1, size - 2 * border)
+    inner = chunks.select(by, start, F.posexplode(kept).alias("_k", "_v")).withColumn("frame", F.col(start) + F.col("_k") + border).where("frame >= 0")
     pick = (F.min_by if keep_first else F.max_by)("_v", start)
     return inner.groupBy(by, "frame").agg(pick.alias("_v")).select(by, "frame", *(F.col("_v")[v].alias(v) for v in values))
 
@@ -65,8 +66,14 @@ def clocks(beats: Column, downbeats: Column, start: Column, length: Column, n: C
 
 
 def frames_of(indexes: Column, n: Column) -> Column:
-    """Booleans of n frames, true at the indexes."""
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_contains(indexes, i.cast("int")))
+    """Booleans of n frames, true at the indexes: runs of false that end with true, one after the other."""
+    no = lambda k: F.array_repeat(F.lit(False), k.cast("int"))
+
+    def joined(known: Column) -> Column:
+        runs = F.transform(known, lambda v, k: F.concat(no(v - F.coalesce(F.get(known, k - 1), F.lit(-1)) - 1), F.array(F.lit(True))))
+        return F.concat(F.flatten(runs), no(n - F.coalesce(F.get(known, F.size(known) - 1), F.lit(-1)) - 1))
+
+    return arrays.bound(F.array_sort(F.array_distinct(F.filter(indexes, lambda v: (v >= 0) & (v < n)))), joined)
 
 
 def augmentation(name: Column) -> Column:

@@ -61,6 +61,35 @@ def fragments(signals: DataFrame, windows: Windows, signal: str = "waveform", ou
     return cut if windows.pad == "discard" else cut.withColumn(out, arrays.pad(F.col(out), chunk, windows.pad))
 
 
+def framed(signals: DataFrame, length: int, hop: int, signal: str = "waveform", lead: int = 0) -> DataFrame:
+    """A row for each frame: the other columns, frame (its number) and ``signal`` cut to it; the last one is filled up with zeros.
+
+    lead: zeros in front of the signal. Every sample is in a frame; a signal shorter than one has one frame.
+    """
+    if length < 1 or hop < 1:
+        raise ValueError("length and hop are one sample at least")
+    others = [c for c in signals.columns if c not in (signal, "frame")]
+    x = F.col(signal)
+    zero = F.array_repeat(F.abs(F.element_at(x, 1) * 0), lead)
+    led = F.concat(zero, x) if lead else x
+    count = F.greatest(F.ceil((F.size("_x") - length) / F.lit(hop)) + 1, F.lit(1)).cast("int")
+    rows = signals.where(F.size(x) > 0).select(*others, led.alias("_x")).select("*", F.explode(F.sequence(F.lit(0), count - 1)).alias("frame"))
+    part = F.slice("_x", F.col("frame") * hop + 1, F.lit(length))
+    return rows.select(*others, "frame", arrays.pad(part, length, "zero").alias(signal))
+
+
+def unwrapped(frames: DataFrame, overlap: int, total: Column, values: str = "values", frame: str = "frame") -> DataFrame:
+    """The frames without half of the overlap at either end, so that they stand side by side: adds start, the place of the first value.
+
+    total: a track's number of values; what goes beyond is cut off, and frames that lie beyond it altogether go.
+    """
+    half = overlap // 2
+    kept = F.greatest(F.size(values) - 2 * half, F.lit(0))
+    rows = frames.withColumn("start", (F.col(frame) * kept).cast("long"))
+    part = F.slice(values, F.lit(half + 1), F.greatest(F.least(kept, (total - F.col("start")).cast("int")), F.lit(0)))
+    return rows.withColumn(values, part).where(F.size(values) > 0)
+
+
 def louder(rows: DataFrame, threshold: float | None, level, signal: str = "waveform") -> DataFrame:
     """Drop windows below the threshold (equal stays), measured on the padded window."""
     return rows if threshold is None else rows.where(level(F.col(signal)) >= threshold)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import beat_metrics
 from ..operators import beats as bt
 from ..operators import events as ev
 from .registry import query
@@ -134,3 +135,32 @@ def beats_minimal(spark, d):
     rows = e.select("user_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("frame"), (level - 3).alias("beat"), (level - 4).alias("downbeat"))
     found = bt.minimal(rows, "user_id", "frame")
     return found.groupBy("user_id").agg(F.count(F.when(F.col("kind") == "beat", 1)).alias("beats"), F.count(F.when(F.col("kind") == "downbeat", 1)).alias("downbeats"))
+
+
+@query(f"""with recursive n as {_N}, a as (select user_id, list(start order by start) as t from n where event_type = (select min(event_type) from events) group by user_id),
+b as (select user_id, list(start order by start) as t from n where event_type = (select max(event_type) from events) group by user_id),
+j as (select coalesce(a.user_id, b.user_id) as user_id, coalesce(a.t, []) as ta, coalesce(b.t, []) as tb from a full join b on a.user_id = b.user_id),
+walk(user_id, i, k, n) as (select user_id, 1, 1, 0 from j union all
+  select w.user_id, case when ta[i] <= tb[k] + 600 then i + 1 else i end, case when tb[k] <= ta[i] + 600 then k + 1 else k end, n + (abs(ta[i] - tb[k]) <= 600)::int
+  from walk w join j using (user_id) where i <= len(ta) and k <= len(tb)),
+m as (select user_id, max(n) as n_matched from walk group by user_id)
+select user_id, len(ta) as n_truth, len(tb) as n_found, n_matched::bigint as n_matched, round(coalesce(n_matched / nullif(len(tb), 0), 0), 6) as precision, round(coalesce(n_matched / nullif(len(ta), 0), 0), 6) as recall,
+round(2.0 * n_matched / (len(ta) + len(tb)), 6) as f_measure from j join m using (user_id)""")
+def beat_f_measure(spark, d):
+    """Events of the last type as found beats, of the first as true ones; they may be ten minutes apart."""
+    n = notes(spark, d)
+    kinds = n.agg(F.min("event_type").alias("first"), F.max("event_type").alias("last"))
+    marked = n.join(F.broadcast(kinds))  # one row
+    truth, found = (marked.where(F.col("event_type") == F.col(k)).select("user_id", "start") for k in ("first", "last"))
+    got = beat_metrics.f_measure(truth, found, "user_id", "start", 600.0)
+    return got.select(F.col("track").alias("user_id"), "n_truth", "n_found", F.col("n_matched").cast("long").alias("n_matched"), *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f_measure")))
+
+
+@query()
+def beat_continuity(spark, d):
+    """Continuity and Cemgil's score of the same series against itself moved by a minute and thinned out by type."""
+    n = notes(spark, d)
+    truth, found = n.select("user_id", "start"), n.where(F.col("event_id") % 3 > 0).select("user_id", (F.col("start") + 60).alias("start"))
+    runs = beat_metrics.continuity(truth, found, "user_id", "start")
+    bell = beat_metrics.cemgil(truth, found, "user_id", "start", 300.0)
+    return runs.join(bell, "track").select(F.col("track").alias("user_id"), *(F.round(c, 6).alias(c) for c in ("cml_c", "cml_t", "aml_c", "aml_t", "cemgil", "cemgil_best")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import arrays, globs
+from ..functions import arrays, globs, spectra
 from ..operators import fragment, pattern
 from .registry import query
 
@@ -137,3 +137,43 @@ def pattern_dict(spark, d):
 def pattern_slice(spark, d):
     got = pattern.project(signals(spark, d), "{waveform:array[4:20:3]->w}", keep=("vec_id",))
     return got.select("vec_id", F.size("w").cast("long").alias("n"), F.element_at("w", 1).cast("double").alias("first"), F.element_at("w", -1).cast("double").alias("last"))
+
+
+@query("""with x as (select vec_id, list_concat([0::float, 0::float, 0::float], embedding) as x from embeddings), f as (select vec_id, k as frame, x[k * 14 + 1 : k * 14 + 20] as w from (select vec_id, x, unnest(range(0, ceil((len(x) - 20) / 14)::bigint + 1)) as k from x))
+select vec_id, frame::int as frame, round(list_sum([v::double for v in w]), 6) as total, case when len(w) >= 20 then w[20]::double else 0.0 end as last from f""")
+def frames_padded(spark, d):
+    """Overlapped frames, the last one filled up with zeros."""
+    x = F.col("waveform")
+    rows = fragment.framed(signals(spark, d), 20, 14, lead=3)
+    return rows.select("vec_id", "frame", F.round(F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double")), 6).alias("total"), F.element_at(x, 20).cast("double").alias("last"))
+
+
+@query("select vec_id, generate_subscripts(embedding, 1)::bigint - 1 as place, unnest(embedding)::double as value from embeddings")
+def frames_unwrapped(spark, d):
+    """Frames with half of their overlap cut off at either end are the signal again."""
+    frames = fragment.framed(signals(spark, d).withColumn("n", F.size("waveform")), 20, 14, lead=3)
+    flat = fragment.unwrapped(frames, 6, F.col("n"), values="waveform")
+    return flat.select("vec_id", "start", F.posexplode("waveform").alias("k", "value")).select("vec_id", (F.col("start") + F.col("k")).alias("place"), F.col("value").cast("double").alias("value"))
+
+
+def _matrix():
+    """An embedding as four frames of sixteen bins."""
+    return F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.slice("embedding", k * 16 + 1, F.lit(16)))
+
+
+@query("""with p as (select vec_id, [10 * log10(v::double * v::double + 1e-10) for v in embedding] as d from embeddings), r as (select vec_id, d, list_min(d) as low, list_max(d) - list_min(d) as span from p)
+select vec_id, round(list_sum([(v - low) / span for v in d]), 5) as total, round((d[17] - low) / span, 5) as second_frame, 1.0::double as top from r""")
+def db_scaling(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", spectra.db_scaled(_matrix()).alias("m"))
+    total = F.aggregate(F.flatten("m"), F.lit(0.0), lambda a, v: a + v)
+    return e.select("vec_id", F.round(total, 5).alias("total"), F.round(F.element_at("m", 2)[0], 5).alias("second_frame"), F.array_max(F.flatten("m")).alias("top"))
+
+
+@query("""with h as (select vec_id, embedding, h as harmonic, [-12, 0, 12, 19][h + 1] as s from embeddings, range(0, 4) t(h)), f as (select *, f as frame from h, range(0, 4) t(f))
+select vec_id, harmonic::int as harmonic, frame::int as frame, round(coalesce(list_sum([embedding[frame * 16 + k + s + 1]::double * (k + 1) for k in range(0, 14) if k + s >= 0 and k + s < 16]), 0), 5) as weighed from f""")
+def harmonic_stack(spark, d):
+    """Bins beside those of their harmonics, an octave below to the third above, weighed by their place."""
+    stack = spectra.harmonic_stack(_matrix(), [0.5, 1, 2, 3], 1, 14)
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.posexplode(stack).alias("harmonic", "m")).select("vec_id", "harmonic", F.posexplode("m").alias("frame", "x"))
+    weighed = F.aggregate(F.transform("x", lambda v, k: v.cast("double") * (k + 1)), F.lit(0.0), lambda a, v: a + v)
+    return rows.select("vec_id", "harmonic", "frame", F.round(weighed, 5).alias("weighed"))

@@ -7,3 +7,36 @@ def test_every_position_is_looked_up(spark, small):
     n = [spark.read.parquet(f"{small}/{t}.parquet").count() for t in ("customer", "supplier")]
     got = sorted((r.position, r.ds_id, r.local) for r in QUERIES["combined_member_all"](spark, small).collect())
     assert n[0] > 200 and n[1] and got == [(k, int(k >= n[0]), k - n[0] * (k >= n[0])) for k in range(sum(n))]
+
+
+def test_draws_in_stretches_are_those_of_one_task(spark, monkeypatch):
+    """Stretches between retirements that all tasks count, and ones that a task goes through, give the draws of a plain loop."""
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from sonolith.operators import combine
+
+    def plain(sizes, batch, seed, normalise):
+        live, least = [[x, n, 0] for x, n in sorted(sizes)], min(n for _, n in sizes) if normalise else 0
+        out, k = [], 0
+        while len(live) >= batch:
+            c = live[int(hashlib.md5(f"{seed}:{k}".encode()).hexdigest()[:8], 16) % len(live)]
+            k += 1
+            if c[1] - c[2] <= least:
+                live.remove(c)
+                continue
+            c[2] += 1
+            out.append((c[0], c[2]))
+        return [(i // batch, i % batch, *x) for i, x in enumerate(out[: len(out) // batch * batch])]
+
+    for sizes, batch, normalise in (([("a", 900), ("b", 30), ("c", 400), ("d", 35), ("ä", 700)], 2, True), ([("a", 90), ("b", 3), ("c", 41)], 1, False), ([(f"k{k}", 5 + k % 7) for k in range(60)], 4, True), ([("a", 5)], 2, True)):
+        df = spark.createDataFrame(sizes, "label string, n long")
+        want = plain(sizes, batch, 7, normalise)
+        for at_once in (200_000, 150, 40):
+            monkeypatch.setattr(combine, "AT_ONCE", at_once)
+            got = [tuple(r) for r in combine.draws(df, batch, 7, normalise).orderBy("batch_id", "slot").collect()]
+            assert got == want, (sizes, at_once)
+    rows = spark.range(600).select((F.col("id") % 3).alias("label"), "id")
+    whole = combine.balanced_batches(rows, "label", "id", 2, keep_rest=True)
+    assert whole.count() == 600 and whole.select("id").distinct().count() == 600
