@@ -28,6 +28,7 @@ import zlib
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import islice
 
 import numpy as np
@@ -299,10 +300,14 @@ def fit(docs: DataFrame, max_langs: int = 32, least: int = 5, per_lang: int = 40
     """Learnt from documents with an id, a text and a language that are not held out, within the bounds named."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     learnable = own.where("doc_id is not null and lang is not null and text is not null").where(fold() != 1)
-    langs = [r.lang for r in learnable.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "lang").limit(max_langs).collect()]
+    counts = {r.lang: r.n for r in learnable.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
+    langs = list(counts)
     if not langs:
         return Model()
-    ranked = learnable.select("doc_id", "lang").where(F.col("lang").isin(langs)).withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
+    # of a frequent language only rows whose hash is so low that they can be among the first are ranked, about twice as many as are taken
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11)
+    low = reduce(lambda x, lang: x.when(F.col("lang") == lang, F.lit(int(min(1.0, 2 * per_lang / counts[lang]) * (1 << 53)))), langs, F.when(F.lit(False), F.lit(0)))
+    ranked = learnable.select("doc_id", "lang").where(place < low).withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id")))
     chosen = ranked.where(F.col("rn") <= per_lang).select("doc_id", "lang").distinct()  # per_lang of max_langs languages at most
     texts = learnable.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("doc_id", "lang", "text")
     spans = texts.mapInArrow(_sampled(sample_words), "doc_id long, lang string, words string")
