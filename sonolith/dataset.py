@@ -25,15 +25,18 @@ class Dataset:
 
     transforms: one for a scalar pattern (or a list of which the first counts), a list by position for a tuple, a dict by
     name for a dict; without a pattern all of a list go to the waveform, one after the other. Each maps a channel.
+    convert: changes what ``read`` gives, at its end. cache: keeps the rows in the executors' memory and disks once they are read.
     """
 
-    def __init__(self, spark: SparkSession, path: str, output_pattern: str | None = None, required: list[str] = (), transforms=(), channels: int | None = None, max_samples: int | None = None, keys: DataFrame | None = None, version: int | None = None):
+    def __init__(self, spark: SparkSession, path: str, output_pattern: str | None = None, required: list[str] = (), transforms=(), channels: int | None = None, max_samples: int | None = None, keys: DataFrame | None = None, version: int | None = None, convert: Callable[[DataFrame], DataFrame] | None = None, cache: bool = False):
         self.spark, self.path, self.pattern, self.transforms, self.channels = spark, path, output_pattern, transforms, channels
+        self.convert = convert or (lambda rows: rows)
         self.store = Store(spark, path)
         self.snapshot = self.store.snapshot(version)
         rows = index.required(self.store.read("fragments", self.snapshot), list(required))
         rows = rows if keys is None else rows.join(keys.select("frag_key").distinct(), "frag_key", "left_semi")
-        self.rows = rows if max_samples is None else rows.orderBy(key_order(F.col("frag_key"))).limit(max_samples)
+        rows = rows if max_samples is None else rows.orderBy(key_order(F.col("frag_key"))).limit(max_samples)
+        self.rows = rows.persist() if cache else rows
         self.partition_of: Dataset | None = None
 
     @property
@@ -99,10 +102,10 @@ class Dataset:
         steps = self.transforms if transforms is None else transforms
         chosen = output_pattern or self.pattern
         if chosen:
-            return pattern.transformed(pattern.project(rows, chosen, keep=("frag_key",)), chosen, steps)
+            return self.convert(pattern.transformed(pattern.project(rows, chosen, keep=("frag_key",)), chosen, steps))
         for t in [steps] if callable(steps) else steps:
             rows = rows.withColumn("waveform", F.transform("waveform", t))
-        return rows
+        return self.convert(rows)
 
     def query(self, n: int | None = None, seed: int | None = None, **wanted) -> DataFrame:
         """Rows with one of the given values of every feature: all, the first n by key, or n draws with replacement by seed."""
@@ -140,7 +143,7 @@ class Dataset:
         return {r.split: self.subset(stored.where(F.col("split") == r.split).select(F.col("key").alias("frag_key"))) for r in stored.select("split").distinct().collect()}
 
     def subset(self, keys: DataFrame) -> Dataset:
-        out = Dataset(self.spark, self.path, self.pattern, transforms=self.transforms, channels=self.channels)
+        out = Dataset(self.spark, self.path, self.pattern, transforms=self.transforms, channels=self.channels, version=self.version, convert=self.convert)
         out.rows = self.rows.join(keys.select("frag_key").distinct(), "frag_key", "left_semi")
         out.partition_of = self
         return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KIND = "map<string,string>"
@@ -36,6 +36,21 @@ def only(**values) -> Column:
     return put(F.create_map().cast(KIND), **values)
 
 
+def attributes(rows: DataFrame, names: list[str], column: str = "metadata") -> DataFrame:
+    """Fields of the rows' metadata as columns of their own; one that a row lacks is null. A name that is a column already is an error."""
+    if taken := [n for n in names if n in rows.columns]:
+        raise ValueError(f"columns already: {', '.join(taken)}")
+    return rows.select("*", *(get(F.col(column), n).alias(n) for n in names))
+
+
+def collected(rows: DataFrame, names: list[str], column: str = "metadata") -> DataFrame:
+    """Columns back into the rows' metadata: what is not null is put there, what is null is taken out; the columns go."""
+    base = F.coalesce(drop(F.col(column), *names), F.create_map().cast(KIND)) if column in rows.columns else F.create_map().cast(KIND)
+    entries = F.array(*(F.struct(F.lit(n).alias("key"), F.col(n).cast("string").alias("value")) for n in names))
+    own = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+    return rows.withColumn(column, F.map_concat(base, own)).drop(*names)
+
+
 def tag(key: Column, seed: int = 0) -> Column:
     """Eight letters from a to y, from the hash of a key."""
     digits = F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))

@@ -72,33 +72,22 @@ class _Energy:
         return at, quiet
 
 
-def decode(frames: np.ndarray, onsets: np.ndarray, onset: float = 0.5, frame: float = 0.3, least: int = 11, infer: bool = True, low: float | None = None, high: float | None = None, melodia: bool = True, tolerance: int = 11) -> list[tuple[int, int, int, float]]:
-    """(start, end, MIDI pitch, mean activation) of notes in (time, pitch) activations, in order.
+def trace(frames: np.ndarray, peaks: list[tuple[int, int]], frame: float = 0.3, least: int = 11, melodia: bool = True, tolerance: int = 11) -> list[tuple[int, int, int]]:
+    """(start, end, pitch from 0) of notes in (time, pitch) energies, as they are found.
 
-    Onset peaks are taken from the last to the first; a note runs on until the activation lies under ``frame`` for
+    Onset peaks (frame, pitch; in order) are taken from the last to the first; a note runs on until the energy lies under ``frame`` for
     ``tolerance`` frames; what it used, and its neighbours in pitch, no longer counts. Then, with ``melodia``, notes without
-    onsets: from the largest activation that is left both ways.
+    onsets: from the largest energy that is left both ways.
     """
-    frames, onsets = (between(np.asarray(a, float), low, high) for a in (frames, onsets))
-    if len(frames) < 3:
-        return []
-    onsets = inferred_onsets(onsets, frames) if infer else onsets
-    energy = _Energy(frames, frame, tolerance)
-    notes = []
-
-    def add(start: int, end: int, pitch: int) -> None:
-        notes.append((start, end, pitch + LOWEST, float(frames[start:end, pitch].mean())))
-
-    peak = np.zeros(onsets.shape, bool)
-    peak[1:-1] = (onsets[1:-1] > onsets[:-2]) & (onsets[1:-1] > onsets[2:]) & (onsets[1:-1] >= onset)
-    for start, pitch in np.argwhere(peak)[::-1].tolist():
+    energy, notes = _Energy(frames, frame, tolerance), []
+    for start, pitch in reversed(peaks):
         if start >= energy.last:
             continue
         end, quiet = energy.run(start + 1, pitch, 1)
         end -= quiet
         if end - start > least:
             energy.use(start, end, pitch)
-            add(start, end, pitch)
+            notes.append((start, end, pitch))
     while melodia:
         middle, pitch = divmod(int(energy.left.argmax()), frames.shape[1])
         if not energy.left[middle, pitch] > frame:
@@ -111,8 +100,20 @@ def decode(frames: np.ndarray, onsets: np.ndarray, onset: float = 0.5, frame: fl
         energy.use(before + 1, middle, pitch)
         start, end = before + 1 + quiet_before, after - 1 - quiet_after
         if end - start > least:
-            add(start, end, pitch)
-    return sorted(notes)
+            notes.append((start, end, pitch))
+    return notes
+
+
+def decode(frames: np.ndarray, onsets: np.ndarray, onset: float = 0.5, frame: float = 0.3, least: int = 11, infer: bool = True, low: float | None = None, high: float | None = None, melodia: bool = True, tolerance: int = 11) -> list[tuple[int, int, int, float]]:
+    """(start, end, MIDI pitch, mean activation) of notes in (time, pitch) activations, in order."""
+    frames, onsets = (between(np.asarray(a, float), low, high) for a in (frames, onsets))
+    if len(frames) < 3:
+        return []
+    onsets = inferred_onsets(onsets, frames) if infer else onsets
+    peak = np.zeros(onsets.shape, bool)
+    peak[1:-1] = (onsets[1:-1] > onsets[:-2]) & (onsets[1:-1] > onsets[2:]) & (onsets[1:-1] >= onset)
+    found = trace(frames, [tuple(x) for x in np.argwhere(peak).tolist()], frame, least, melodia, tolerance)
+    return sorted((s, e, p + LOWEST, float(frames[s:e, p].mean())) for s, e, p in found)
 
 
 def bends(contours: np.ndarray, notes: list[tuple], reach: int = 25, spread: float = 5.0) -> list[list[int]]:

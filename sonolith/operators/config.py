@@ -17,6 +17,17 @@ from . import fragment
 SECTIONS = {"windows": {f.name for f in dataclasses.fields(fragment.Windows)}, "audio": {"sr", "channels", "loudness_threshold", "waveform"}, "files": {"include", "exclude", "patterns", "parser", "writer"}, "features": None, "hashed": None}
 
 
+def _built_in() -> dict[str, dict]:
+    """Configurations that every file can include by name: the presets, and one for each feature that is shipped on its own."""
+    out = {n: {"windows": dataclasses.asdict(w)} for n, w in fragment.PRESETS.items()}
+    for n, level in fragment.PRESET_LOUDNESS.items():
+        out[n]["audio"] = {"loudness_threshold": level}
+    return out | {n: {"features": [{"entry": n}]} for n in ("mel", "loudness")}
+
+
+BUILT_IN = _built_in()
+
+
 def read(path: str) -> dict:
     """A file's object, in JSON or, where that library is there, in YAML."""
     with open(path, encoding="utf-8") as f:
@@ -56,7 +67,7 @@ def _layers(path: str, search: list[str], scopes: list[str], within: tuple[str,
     out, known = {}, set()
     names = own.pop("include", [])
     for name in [names] if isinstance(names, str) else names:
-        below, seen = _layers(find(name, search, os.path.dirname(path)), search, scopes, (*within, path))
+        below, seen = (BUILT_IN[name], set()) if name in BUILT_IN else _layers(find(name, search, os.path.dirname(path)), search, scopes, (*within, path))
         out, known = merge(out, below), known | seen
     scoped = own.pop("scopes", {})
     out = merge(out, own)
@@ -80,13 +91,9 @@ def override(text: str) -> dict:
 
 
 def resolve(name: str | None, search: list[str] = (), scopes: list[str] = (), overrides: list[str] = ()) -> dict:
-    """What a configuration says in the end. A preset's name gives its windows; unknown sections, keys and scopes are errors."""
-    out, known = {}, set()
-    if name in fragment.PRESETS:
-        out = {"windows": dataclasses.asdict(fragment.PRESETS[name])}
-        if name in fragment.PRESET_LOUDNESS:
-            out["audio"] = {"loudness_threshold": fragment.PRESET_LOUDNESS[name]}
-    elif name is not None:
+    """What a configuration says in the end; it is a file or one that is built in. Unknown sections, keys and scopes are errors."""
+    out, known = dict(BUILT_IN.get(name, {})), set()
+    if name is not None and name not in BUILT_IN:
         out, known = _layers(find(name, list(search)), list(search), list(scopes), ())
     if missing := [s for s in scopes if s not in known]:
         raise KeyError(f"no scope {', '.join(missing)}; known: {', '.join(sorted(known))}")

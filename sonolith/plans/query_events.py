@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import beat_metrics
 from ..operators import beats as bt
 from ..operators import events as ev
+from ..operators import note_frames
 from .registry import query
 
 
@@ -59,7 +60,11 @@ def onset_rise(spark, d):
     return notes(spark, d).select("event_id", F.round(ev.onset_rise(F.col("value"), w), 6).alias("rise"))
 
 
-@query()
+@query(f"""with recursive p as (select user_id, start, row_number() over (partition by user_id order by start) as i from ({_PEAKS})),
+w(user_id, i, peak, mean, n) as (select user_id, i, 0::bigint, start, 1 from p where i = 1 union all
+  select p.user_id, p.i, case when p.start - w.mean <= 600 then w.peak else w.peak + 1 end, case when p.start - w.mean <= 600 then w.mean + (p.start - w.mean) / (w.n + 1) else p.start end, case when p.start - w.mean <= 600 then w.n + 1 else 1 end
+  from w join p on p.user_id = w.user_id and p.i = w.i + 1)
+select user_id, peak, round(arg_max(mean, i), 3) as start from w group by user_id, peak""")
 def dedupe_peaks(spark, d):
     """Peaks that lie close to the mean of their run become that mean."""
     p = ev.peaks(notes(spark, d), "user_id", _ORDER, "value")
@@ -137,6 +142,21 @@ def beats_minimal(spark, d):
     return found.groupBy("user_id").agg(F.count(F.when(F.col("kind") == "beat", 1)).alias("beats"), F.count(F.when(F.col("kind") == "downbeat", 1)).alias("downbeats"))
 
 
+@query("""with f as (select user_id, row_number() over (partition by user_id order by ts, event_id) - 1 as frame, ln(greatest(value, 1e-9)) - 3 as beat, ln(greatest(value, 1e-9)) - 4 as down from events),
+m as (select *, max(beat) over w as top, max(down) over w as dtop from f window w as (partition by user_id order by frame rows between 3 preceding and 3 following)),
+b as (select user_id, frame from m where beat = top and beat > 0), n as (select user_id, frame from m where down = dtop and down > 0)
+select user_id, 'beat' as kind, frame / 50.0::double as time from b union all
+select distinct user_id, 'downbeat', coalesce((select arg_min(b.frame, abs(b.frame - n.frame) * 1000000 + b.frame) from b where b.user_id = n.user_id), frame) / 50.0::double from n""")
+def beats_times(spark, d):
+    """The times of beats and downbeats of each user's series as logits."""
+    from pyspark.sql import Window
+
+    e = spark.read.parquet(f"{d}/events.parquet")
+    level = F.log(F.greatest(F.col("value"), F.lit(1e-9)))
+    rows = e.select("user_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("frame"), (level - 3).alias("beat"), (level - 4).alias("downbeat"))
+    return bt.minimal(rows, "user_id", "frame")
+
+
 @query(f"""with recursive n as {_N}, a as (select user_id, list(start order by start) as t from n where event_type = (select min(event_type) from events) group by user_id),
 b as (select user_id, list(start order by start) as t from n where event_type = (select max(event_type) from events) group by user_id),
 j as (select coalesce(a.user_id, b.user_id) as user_id, coalesce(a.t, []) as ta, coalesce(b.t, []) as tb from a full join b on a.user_id = b.user_id),
@@ -164,3 +184,68 @@ def beat_continuity(spark, d):
     runs = beat_metrics.continuity(truth, found, "user_id", "start")
     bell = beat_metrics.cemgil(truth, found, "user_id", "start", 300.0)
     return runs.join(bell, "track").select(F.col("track").alias("user_id"), *(F.round(c, 6).alias(c) for c in ("cml_c", "cml_t", "aml_c", "aml_t", "cemgil", "cemgil_best")))
+
+
+def activations(spark, d):
+    """Vectors as frames of a track for each label: their values as energies of 64 pitches, turned round as onsets."""
+    from pyspark.sql import Window
+
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    energy = F.transform("embedding", lambda v: F.abs(v.cast("double")))
+    return e.select(F.col("label").alias("track"), (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).alias("frame"), energy.alias("energy"), F.reverse(energy).alias("onsets"), "vec_id")
+
+
+_FRAMES = """f as (select label as track, vec_id, row_number() over (partition by label order by vec_id) - 1 as frame, [abs(v::double) for v in embedding] as energy, list_reverse([abs(v::double) for v in embedding]) as onsets from embeddings)"""
+_INFERRED = f"""with {_FRAMES}, w as (select *, lag(energy, 1) over w as e1, lag(energy, 2) over w as e2 from f window w as (partition by track order by frame)),
+r as (select *, [case when frame >= 2 then greatest(least(energy[p] - e1[p], energy[p] - e2[p]), 0) else 0 end for p in range(1, 65)] as rise from w),
+t as (select track, max(list_max(onsets)) / nullif(max(list_max(rise)), 0) as scale from r group by track),
+o as (select track, frame, energy, [greatest(onsets[p], rise[p] * coalesce(scale, 0)) for p in range(1, 65)] as onsets from r join t using (track))"""
+
+
+@query(_INFERRED + """, s as (select *, lag(onsets) over w as a, lead(onsets) over w as b from o window w as (partition by track order by frame)),
+c as (select track, frame, p, onsets[p] as v, a[p] as a, b[p] as b from s, range(1, 65) t(p) where a is not null and b is not null)
+select track, frame, p::int - 1 as pitch, round(v, 6) as onset from c where v > a and v > b and v >= 0.25""")
+def note_onsets(spark, d):
+    """Peaks of inferred onsets."""
+    ready = note_frames.infer_onsets(activations(spark, d))
+    peaks = note_frames.onset_peaks(ready, 0.25).join(ready.select("track", "frame", "onsets"), ["track", "frame"])
+    return peaks.select("track", "frame", "pitch", F.round(F.get("onsets", F.col("pitch")), 6).alias("onset"))
+
+
+_ASKED = f"""with {_FRAMES}, n as (select distinct track, (frame // 7) * 7 as start, (frame // 7) * 7 + 5 as "end", ((track * 5 + frame // 7) % 60)::int as pitch from f)"""
+
+
+def _asked(rows):
+    start = F.floor(F.col("frame") / 7) * 7
+    return rows.select("track", start.cast("int").alias("start"), (start + 5).cast("int").alias("end"), ((F.col("track") * 5 + F.floor(F.col("frame") / 7)) % 60).cast("int").alias("pitch")).distinct()
+
+
+@query(_ASKED + """ select n.track, start, "end", pitch, round(avg(energy[pitch + 1]), 6) as amplitude from n join f on f.track = n.track and frame >= start and frame < "end" group by all""")
+def note_amplitudes(spark, d):
+    """The mean energy of given notes."""
+    rows = activations(spark, d)
+    return note_frames.amplitudes(_asked(rows), rows).withColumn("amplitude", F.round("amplitude", 6))
+
+
+@query(_ASKED + """, c as (select n.track, start, "end", pitch, frame, energy, round(12 * 3 * log2(440 * pow(2, (pitch + 21 - 69) / 12.0) / 27.5))::bigint as centre from n join f on f.track = n.track and frame >= start and frame < "end" where pitch < 20),
+b as (select *, [energy[k + 1] * exp(-0.5 * pow((k - centre) / 5.0, 2)) for k in range(greatest(centre - 25, 0), least(centre + 26, 64))] as w from c)
+select track, start, "end", pitch, array_to_string(list(list_position(w, list_max(w)) - 1 + greatest(centre - 25, 0) - centre order by frame), ',') as bends from b group by track, start, "end", pitch""")
+def note_bends(spark, d):
+    """The energies as 64 contour bins: how far the strongest one lies off given notes."""
+    rows = activations(spark, d)
+    found = note_frames.bends(_asked(rows).where("pitch < 20"), rows.withColumnRenamed("energy", "contours"))
+    return found.withColumn("bends", F.array_join(F.col("bends").cast("array<string>"), ","))
+
+
+@query("select event_id, round(event_id * (256 / 22050) - (256 / 22050 * (172 - 43844 / 256) + 0.0018) * (event_id // 172), 9) as seconds from events")
+def frame_seconds(spark, d):
+    """The events' numbers as frames, in seconds."""
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.round(note_frames.frame_seconds(F.col("event_id")), 9).alias("seconds"))
+
+
+@query()
+def note_rows(spark, d):
+    """Notes decoded frame by frame: onsets, traces, amplitudes and bends."""
+    rows = activations(spark, d).withColumn("contours", F.flatten(F.transform("energy", lambda v: F.array(v, v * 0.9, v * 0.8))))
+    found = note_frames.decode(rows, onset=0.25, frame=0.05, least=3, tolerance=3)
+    return found.select("track", "start", "end", "pitch", F.round("amplitude", 6).alias("amplitude"), F.array_join(F.col("bends").cast("array<string>"), ",").alias("bends"), F.round("start_s", 6).alias("start_s"))

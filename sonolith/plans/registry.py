@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return register
 
 
-from . import query_events, query_fragments, query_index, query_splits, query_store, query_transforms  # noqa: E402, F401
+from . import query_events, query_fragments, query_index, query_reads, query_splits, query_store, query_transforms  # noqa: E402, F401

@@ -7,7 +7,7 @@ import struct
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays, globs
@@ -115,6 +115,12 @@ def write_wave(rows: DataFrame, folder: str, sr: int) -> int:
     return rows.select("name", "waveform").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
+def output_names(inputs: DataFrame, folder: str, tag: str, path: str = "file_path") -> DataFrame:
+    """Adds output: ``folder/<stem>_<tag>`` for each input; ``clash`` tells which of several inputs of one name would write over another's."""
+    named = inputs.withColumn("output", F.concat(F.lit(folder.rstrip("/") + "/"), globs.stem(F.col(path)), F.lit(f"_{tag}")))
+    return named.withColumn("clash", F.row_number().over(Window.partitionBy("output").orderBy(path)) > 1)
+
+
 def outstanding(inputs: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
     """Inputs without an output yet: skips what an earlier run has done."""
     return inputs.join(outputs.select(key).distinct(), key, "left_anti")

@@ -23,6 +23,9 @@ def test_layers(tmp_path):
     assert config.resolve(path, lib) == {"windows": {"chunk": 100, "hop": 25}, "files": {"include": ["a*"]}, "audio": {"loudness_threshold": -60}}
     assert config.resolve(path, lib, ["long", "test"], ["windows.chunk=7", "files.parser=ranges"])["windows"] == {"chunk": 7, "hop": 25, "pad": "zero"}
     assert config.resolve("half_overlap_whole")["audio"] == {"loudness_threshold": -60.0}
+    write(tmp_path, built={"include": ["half_overlap_padded", "mel"], "windows": {"hop": 7}})
+    both = config.resolve(str(tmp_path / "built"))
+    assert both["windows"]["chunk"] == 262144 and both["windows"]["hop"] == 7 and both["features"] == [{"entry": "mel"}]
     assert config.resolve(None, overrides=["windows.chunk=5"]) == {"windows": {"chunk": 5}}
     for wrong, error in ((lambda: config.resolve(path), FileNotFoundError), (lambda: config.resolve(path, lib, ["nope"]), KeyError), (lambda: config.resolve(path, lib, overrides=["windows.size=1"]), KeyError), (lambda: config.resolve(path, lib, overrides=["window.chunk=1"]), KeyError), (lambda: config.override("x"), ValueError)):
         with pytest.raises(error):
