@@ -212,7 +212,7 @@ def note_onsets(spark, d):
     return peaks.select("track", "frame", "pitch", F.round(F.get("onsets", F.col("pitch")), 6).alias("onset"))
 
 
-_ASKED = f"""with {_FRAMES}, n as (select distinct track, (frame // 7) * 7 as start, (frame // 7) * 7 + 5 as "end", ((track * 5 + frame // 7) % 60)::int as pitch from f)"""
+_ASKED = f"""with {_FRAMES}, n as (select distinct track, ((frame // 7) * 7)::int as start, ((frame // 7) * 7 + 5)::int as "end", ((track * 5 + frame // 7) % 60)::int as pitch from f)"""
 
 
 def _asked(rows):

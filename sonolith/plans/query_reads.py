@@ -192,7 +192,7 @@ def split_files(spark, d):
 
 
 @query("""with e as (select event_type, value, ts, time_bucket(interval 3 hour, ts) as b from events), w as (select event_type, value, unnest([b, b - interval 3 hour]) as w from e)
-select w, event_type, count(*) as n, round(avg(value), 5) as mean_value from w group by all""")
+select w, event_type, count(*) as n, round(sum(value), 2) as total from w group by all""")
 def stream_windows(spark, d):
     """Overlapping windows with a watermark, over a stream that reads the events' files."""
     place = work_dir(spark, "stream")
@@ -200,4 +200,4 @@ def stream_windows(spark, d):
     counted = ingest.windowed_levels(stream, "6 hours", "3 hours", "1 hour")
     keep = lambda rows, _: rows.write.mode("overwrite").parquet(f"{place}/out")
     counted.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{place}/check").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{place}/out").select(F.col("window.start").cast("timestamp_ntz").alias("w"), "event_type", "n", F.round("mean_value", 5).alias("mean_value"))
+    return spark.read.parquet(f"{place}/out").select(F.col("window.start").cast("timestamp_ntz").alias("w"), "event_type", "n", F.round(F.col("mean_value") * F.col("n"), 2).alias("total"))
