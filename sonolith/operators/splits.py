@@ -7,10 +7,11 @@ import math
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import global_rank, shuffle_hash
+from ..functions.keys import global_rank, ordered_rank, shuffle_hash
+from ..store import work_dir
 
 
 def _part(rank: Column, n: Column, ratios: dict[str, float]) -> Column:
@@ -61,12 +62,63 @@ def balanced_plan(sizes, ratios: dict[str, float], total: int, tolerance: float
         yield label, part
 
 
+#: Labels that one task places at most, and labels of a block whose sizes are added up beforehand.
+AT_ONCE, BLOCK = 100_000, 10_000
+
+
 def split_balanced(rows: DataFrame, label: str, ratios: dict[str, float], tolerance: float = 0.1) -> DataFrame:
-    """Adds split. The labels' sizes, in order, pass through one task that keeps a number for each part, however many labels there are."""
+    """Adds split, as ``balanced_plan`` places the labels. Up to AT_ONCE of them pass through one task, more are placed by stretches."""
     _checked(ratios)
     text = F.coalesce(F.col(label).cast("string"), F.lit(""))
     counted = rows.groupBy(text.alias("_label")).agg(F.count("*").alias("n"))
-    total = rows.count()
+    known = counted.agg(F.count("*").alias("labels"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    plan = (_one_task if known.labels <= AT_ONCE else _stretches)(counted, ratios, known.rows, tolerance)
+    return rows.withColumn("_label", text).join(plan, "_label").drop("_label")
+
+
+def _stretches(counted: DataFrame, ratios: dict[str, float], total: int, tolerance: float) -> DataFrame:
+    """Labels come smallest first, so a part that has no room for one has none for any later one: it is full for good.
+
+    While the same parts are open a label's place alone tells its part. The block, then the label that would fill a part too far is found from
+    running sums, the part is closed, and the next stretch begins with that label: one stretch a part.
+    """
+    spark, names = counted.sparkSession, list(ratios)
+    room = [math.floor(r * total) + tolerance * total * r for r in ratios.values()]
+    place = f"{work_dir(spark, 'balanced')}/labels"
+    ordered_rank(counted.withColumn("_o", F.concat(F.lpad(F.col("n").cast("string"), 20, "0"), F.lit("/"), F.col("_label"))), "_o", "i").drop("_o").write.parquet(place)
+    ranked = spark.read.parquet(place).withColumn("block", F.floor(F.col("i") / BLOCK))
+    open_, begin, taken, out = set(range(len(names))), 0, [0] * len(names), None
+    while True:
+        turn = F.array(*(F.array(*(F.lit(p) for k in range(len(names)) if (p := (k - t) % len(names)) in open_)).cast("array<int>") for t in range(len(names))))
+        part = F.get(F.get(turn, (F.col("i") % len(names)).cast("int")), F.lit(0))
+        own = ranked.where(F.col("i") >= begin).withColumn("p", part)
+        sums = {} if not open_ else {(r.p, r.block): r.s for r in own.groupBy("p", "block").agg(F.sum("n").alias("s")).collect()}  # a number for each part and BLOCK labels
+        first = None
+        for p in open_:
+            held, bad = taken[p], None
+            for b in sorted(b for q, b in sums if q == p):
+                if held + sums[p, b] >= room[p]:
+                    bad = b
+                    break
+                held += sums[p, b]
+            if bad is not None:
+                run = F.sum("n").over(Window.orderBy("i")) + F.lit(held)  # within a block
+                hit = own.where((F.col("p") == p) & (F.col("block") == bad)).withColumn("run", run).where(F.col("run") >= room[p]).agg(F.min("i")).first()[0]
+                first = min(first or (hit, p), (hit, p))
+        done = own if first is None else own.where(F.col("i") < first[0])
+        named = done.select("_label", F.get(F.array(*map(F.lit, names)), F.col("p")).alias("split"))
+        out = named if out is None else out.unionByName(named)
+        if first is None:
+            return out
+        for r in done.groupBy("p").agg(F.sum("n").alias("s")).collect():  # a row a part
+            if r.p is not None:
+                taken[r.p] += r.s
+        begin = first[0]
+        open_.discard(first[1])
+
+
+def _one_task(counted: DataFrame, ratios: dict[str, float], total: int, tolerance: float) -> DataFrame:
+    """The labels' sizes, in order, through one task that keeps a number for each part."""
 
     def placed(batches):
         labels = (row for batch in batches for row in zip(batch["_label"], batch["n"].tolist(), strict=True))
@@ -74,8 +126,7 @@ def split_balanced(rows: DataFrame, label: str, ratios: dict[str, float], tolera
         while some := list(itertools.islice(found, 10_000)):
             yield pd.DataFrame(some, columns=["_label", "split"])
 
-    plan = counted.repartition(1).sortWithinPartitions("n", "_label").mapInPandas(placed, "_label string, split string")
-    return rows.withColumn("_label", text).join(plan, "_label").drop("_label")
+    return counted.repartition(1).sortWithinPartitions("n", "_label").mapInPandas(placed, "_label string, split string")
 
 
 def split_by_feature(rows: DataFrame, feature: str, parts: list[str]) -> DataFrame:

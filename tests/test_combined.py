@@ -40,3 +40,22 @@ def test_draws_in_stretches_are_those_of_one_task(spark, monkeypatch):
     rows = spark.range(600).select((F.col("id") % 3).alias("label"), "id")
     whole = combine.balanced_batches(rows, "label", "id", 2, keep_rest=True)
     assert whole.count() == 600 and whole.select("id").distinct().count() == 600
+
+
+def test_balanced_splits_by_stretches_are_those_of_one_task(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from sonolith.operators import splits
+
+    rng = random.Random(2)
+    sizes = {f"k{k}": rng.choice([1, 1, 2, 3, 5, 9, 30, 80]) for k in range(90)} | {"": 4, "ä": 2}
+    rows = spark.createDataFrame([(k, n) for k, n in sizes.items()], "label string, n int").select("label", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
+    for ratios, tolerance in (({"a": 0.8, "b": 0.2}, 0.1), ({"a": 0.5, "b": 0.3, "c": 0.2}, 0.0), ({"a": 0.1, "b": 0.2}, 0.05), ({"x": 1.0}, 0.0)):
+        found = []
+        for at_once in (100_000, 0):
+            monkeypatch.setattr(splits, "AT_ONCE", at_once)
+            monkeypatch.setattr(splits, "BLOCK", 7)
+            found.append(sorted((r.label, str(r.split), r.n) for r in splits.split_balanced(rows, "label", ratios, tolerance).groupBy("label", "split").agg(F.count("*").alias("n")).collect()))
+        assert found[0] == found[1] and len(found[0]) == len(sizes)
