@@ -210,7 +210,17 @@ def xform_equaliser(spark, d):
     return _some(spark, d, signal.equaliser(SR, [("lowshelf", 4, 0.7, 3), ("peak", 10, 1, -6), ("highshelf", 20, 0.7, 2)])(F.col("waveform")))
 
 
-@query()
+#: A periodic Hann window of 16, and what bins 4 to 6 hold of a sample that lies so many places off.
+_HANN = _literal([0.5 - 0.5 * np.cos(2 * np.pi * k / 16) for k in range(16)])
+_BINS = _literal([sum(np.cos(2 * np.pi * b * k / 16) for b in (4, 5, 6)) / 8 for k in range(16)])
+_MASKED = f"""with x as (select vec_id, [embedding[(case when i < 0 then -i when i > 63 then 126 - i else i end) + 1]::double for i in range(-8, 72)] as p, {_HANN} as w, {_BINS} as b from embeddings),
+s as (select *, [[p[4 * k + n] * w[n] for n in range(1, 17)] for k in range(0, 17)] as s from x),
+m as (select vec_id, w, [[f[n] - list_sum([f[m] * b[(n - m + 16) % 16 + 1] for m in range(1, 17)]) for n in range(1, 17)] for f in s] as m from s),
+y as (select vec_id, [list_sum([m[k + 1][i - 4 * k + 1] * w[i - 4 * k + 1] for k in range(0, 17) if i - 4 * k >= 0 and i - 4 * k < 16]) / list_sum([pow(w[i - 4 * k + 1], 2) for k in range(0, 17) if i - 4 * k >= 0 and i - 4 * k < 16]) for i in range(8, 72)] as y from m)
+select vec_id, len(y) as n, round(y[1], 6) as y1, round(y[2], 6) as y2, round(y[17], 6) as y17, round(list_sum([y[i] * i for i in range(1, 65)]), 4) as weighted from y"""
+
+
+@query(_MASKED)
 def xform_freqmask(spark, d):
     return _some(spark, d, signal.mask_frequencies(4, 3, 16)(F.col("waveform")))
 
@@ -225,7 +235,18 @@ def xform_stretch(spark, d):
     return _some(spark, d, signal.stretch(6, 5)(F.col("waveform")))
 
 
-@query()
+_UP = 1 - float(np.exp(-1 / (0.1 * SR)))
+#: The level that follows the signal; its line between -80, -40 (which becomes -20) and 0 dB, with parabolas within 3 dB of the bends.
+_BENT = """case when d < -83 then d when d <= -77 then d + 0.5 * (d + 83) * (d + 83) / 12 when d < -43 then -80 + 1.5 * (d + 80)
+when d <= -37 then -24.5 + 1.5 * (d + 43) - (d + 43) * (d + 43) / 12 when d < -3 then 0.5 * d when d <= 3 then -1.5 + 0.5 * (d + 3) + 0.5 * (d + 3) * (d + 3) / 12 else d end"""
+_COMPRESSED = f"""with x as (select vec_id, [cast(v as double) for v in embedding] as x from embeddings),
+f as (select vec_id, x, [20 * log10(greatest(list_sum([{_UP!r}::double * pow({1 - _UP!r}::double, i - k) * abs(x[k]) for k in range(1, i + 1)]) + pow({1 - _UP!r}::double, i), 1e-10)) for i in range(1, 65)] as db from x),
+g as (select vec_id, [x[i] * pow(10, (list_transform([db[i]], lambda d: {_BENT})[1] - db[i]) / 20) for i in range(1, 65)] as y0 from f),
+y as (select vec_id, [v / greatest(1.0, list_max([abs(w) for w in y0])) for v in y0] as y from g)
+select vec_id, len(y) as n, round(y[1], 6) as y1, round(y[2], 6) as y2, round(y[17], 6) as y17, round(list_sum([y[i] * i for i in range(1, 65)]), 4) as weighted from y"""
+
+
+@query(_COMPRESSED)
 def xform_compress(spark, d):
     return _some(spark, d, signal.compress(SR)(F.col("waveform")))
 
@@ -240,12 +261,20 @@ def xform_coloured_noise(spark, d):
     return _some(spark, d, signal.add_coloured_noise(1.0, 0.01)(F.col("waveform")))
 
 
-@query()
+_CLAMPED = "[greatest(-1.0, least(1.0, v)) for v in {}]"
+#: Shelf and high-pass at ten times the rate; a signal this short is one block.
+_SHELF, _HIGH = ([[v / a[0] for v in b], [v / a[0] for v in a]] for b, a in (dsp.biquad("highshelf", SR * 10, 1500, 0.5**0.5, 4.0), dsp.biquad("highpass", SR * 10, 38, 0.5)))
+_LOUD = f"""with x as (select vec_id, [cast(v as double) for v in embedding] as x from embeddings), s as (select vec_id, x, {_CLAMPED.format(_convolved(_impulse(*_SHELF)))} as s from x),
+h as (select vec_id, x, {_CLAMPED.format(_convolved(_impulse(*_HIGH), "s"))} as h from s), l as (select vec_id, x, -0.691 + 10 * log10(list_sum([v * v for v in h]) / 64) as lufs from h)"""
+
+
+@query(_LOUD + " select vec_id, round(lufs, 4) as lufs from l")
 def loudness_gated(spark, d):
     return signals(spark, d).select("vec_id", F.round(signal.loudness(SR * 10)(F.col("waveform")), 4).alias("lufs"))
 
 
-@query()
+@query(_LOUD + """, y as (select vec_id, [v * pow(10, (-23.0 - lufs) / 20) for v in x] as y from l)
+select vec_id, len(y) as n, round(y[1], 6) as y1, round(y[2], 6) as y2, round(y[17], 6) as y17, round(list_sum([y[i] * i for i in range(1, 65)]), 4) as weighted from y""")
 def loudness_match(spark, d):
     return _some(spark, d, signal.match_loudness(SR * 10, -23.0)(F.col("waveform")))
 
@@ -255,12 +284,28 @@ def _shape(spark, d, m):
     return rows.select("vec_id", F.size("m").cast("long").alias("bins"), F.size(F.col("m")[0]).cast("long").alias("frames"), F.round(F.col("m")[1][0], 5).alias("value"))
 
 
-@query()
+def _mel_row(row, n_mels, n_fft):
+    """The weights of a mel band's triangle on the bins of a transform."""
+    edges = [700 * (10 ** (k / (n_mels + 1) * np.log10(1 + SR / 2 / 700)) - 1) for k in range(n_mels + 2)]
+    low, mid, high = edges[row : row + 3]
+    return [max(0.0, min((f - low) / (mid - low), (high - f) / (high - mid))) for f in (k * SR / n_fft for k in range(n_fft // 2 + 1))]
+
+
+@query(f"""with x as (select vec_id, [embedding[abs(k) + 1]::double * (0.5 - 0.5 * cos(2 * pi() * (k + 8) / 16)) for k in range(-8, 8)] as x from embeddings),
+p as (select vec_id, [pow(list_sum([x[k + 1] * cos(2 * pi() * b * k / 16) for k in range(0, 16)]), 2) + pow(list_sum([x[k + 1] * sin(2 * pi() * b * k / 16) for k in range(0, 16)]), 2) for b in range(0, 9)] as p from x)
+select vec_id, 5::bigint as bins, 9::bigint as frames, round(list_sum([p[b] * ({_literal(_mel_row(1, 5, 16))})[b] for b in range(1, 10)]), 5) as value from p""")
 def mel(spark, d):
     return _shape(spark, d, signal.mel(SR, n_fft=16, hop=8, n_mels=5)(F.col("waveform")))
 
 
-@query()
+def _cqt_row(k, fmin, per_octave):
+    """The real part of a bin's kernel, where it meets the signal at the first frame."""
+    f = fmin * 2 ** (k / per_octave)
+    n = int(np.ceil(SR / (2 ** (1 / per_octave) - 1) / f))
+    return [(0.5 - 0.5 * np.cos(2 * np.pi * (j + 1) / (n + 1))) * np.cos(2 * np.pi * f / SR * (j - n / 2)) / n for j in range(n // 2 + 1, n)]
+
+
+@query(f"select vec_id, 24::bigint as bins, 4::bigint as frames, round(list_sum([embedding[k]::double * ({_literal(_cqt_row(1, 4.0, 6))})[k] for k in range(1, {len(_cqt_row(1, 4.0, 6)) + 1})]), 5) as value from embeddings")
 def cqt(spark, d):
     return _shape(spark, d, signal.cqt(SR, hop=16, fmin=4.0, n_bins=12, per_octave=6)(F.col("waveform")))
 
