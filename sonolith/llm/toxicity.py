@@ -10,8 +10,8 @@ them are scored where they are, and counts by language, label and margin (to 1/B
 the output's scale (so that a score is a probability) and, for each language, the threshold.
 
 Defined results: a null text is an empty one and gets the score of no words; a null id is
-kept and scored; a language without calibration rows uses the threshold of all; with no
-labelled rows, or of one label only, every score is 0; repeated rows are scored each; an
+kept and scored; a language without calibration rows, or not among the LANGUAGES with most of them, uses the threshold of all; with no
+labelled rows, or of one label only, every score is 0; labelled texts of over ``max_bytes`` are left out after the rows are chosen, so that the sample is smaller by them; repeated rows are scored each; an
 empty table gives an empty result; other columns are ignored, whatever their names. Texts
 are scored whole, however long. Language, source and id are no inputs of a score.
 """
@@ -39,6 +39,8 @@ CACHE = 300_000
 STRETCH = 20_000
 #: Margins are counted in steps of 1/BINS, from -LARGEST to LARGEST, to calibrate with.
 BINS, LARGEST = 256, 20
+#: Languages with thresholds of their own.
+LANGUAGES = 64
 
 
 @dataclass
@@ -253,7 +255,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bytes: int
     if not model.constant:
         scored = texts.where(fold() == 2).select("doc_id", "lang", "text").mapInArrow(_margins(model), "doc_id long, lang string, bin int")
         one = scored.groupBy("doc_id").agg(F.min(F.struct("bin", "lang")).alias("x")).join(marked.where(fold() == 2), "doc_id")
-        rest = one.groupBy("x.lang", "toxic", "x.bin").agg(F.count("*").alias("n")).orderBy("lang", "toxic", "bin").collect()  # bounded by the steps, for each language
+        often = texts.where(fold() == 2).select("doc_id", "lang").join(marked, "doc_id", "left_semi").groupBy("lang").agg(F.count("*").alias("n")).where("lang is not null").orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+        lang = F.when(F.col("x.lang").isin([r.lang for r in often]), F.col("x.lang")) if often else F.lit(None).cast("string")
+        rest = one.groupBy(lang.alias("lang"), "toxic", "x.bin").agg(F.count("*").alias("n")).orderBy("lang", "toxic", "bin").collect()  # bounded by the steps, for LANGUAGES + 1 languages
         if rest:
             calibrate(model, np.array([r.bin for r in rest]) / BINS, np.array([r.toxic for r in rest]), [r.lang for r in rest], counts=np.array([r.n for r in rest]))
     return model

@@ -67,6 +67,18 @@ def test_calibration_keeps_the_share_of_labels(spark):
     assert sum(s >= 0.7 for s in scores.values()) < 0.02 * len(scores)  # "vile" is toxic in less than half of its texts
 
 
+def test_languages_are_bounded(spark, corpus, monkeypatch):
+    """Rare languages share a threshold, so a column with as many values as rows makes neither the driver nor the plan grow."""
+    from pyspark.sql import functions as F
+
+    docs, labels = (spark.read.parquet(f"{corpus[0]}/{x}.parquet") for x in ("documents", "labels"))
+    dirty = docs.withColumn("lang", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("l"), "doc_id")).otherwise("en"))
+    monkeypatch.setattr(t, "LANGUAGES", 5)
+    model = t.fit(dirty, labels)
+    assert len(model.thresholds) <= 6 and "en" in model.thresholds
+    assert t.toxicity(dirty, model).count() == docs.count()
+
+
 def test_responses_against_plain_loops():
     """The largest response of every filter, place by place; texts shorter than a filter are padded at the end."""
     import numpy as np
