@@ -30,10 +30,10 @@ def test_draws_in_stretches_are_those_of_one_task(spark, monkeypatch):
             out.append((c[0], c[2]))
         return [(i // batch, i % batch, *x) for i, x in enumerate(out[: len(out) // batch * batch])]
 
-    for sizes, batch, normalise in (([("a", 900), ("b", 30), ("c", 400), ("d", 35), ("ä", 700)], 2, True), ([("a", 90), ("b", 3), ("c", 41)], 1, False), ([(f"k{k}", 5 + k % 7) for k in range(60)], 4, True), ([("a", 5)], 2, True)):
+    for sizes, batch, normalise, few in (([("a", 300), ("b", 30), ("c", 150), ("ä", 250)], 2, True, 120), ([("a", 40), ("b", 3), ("c", 41)], 1, False, 30), ([(f"k{k}", 5 + k % 7) for k in range(60)], 4, True, 90), ([("a", 5)], 2, True, 1)):
         df = spark.createDataFrame(sizes, "label string, n long")
         want = plain(sizes, batch, 7, normalise)
-        for at_once in (200_000, 150, 40):
+        for at_once in (200_000, few):
             monkeypatch.setattr(combine, "AT_ONCE", at_once)
             got = [tuple(r) for r in combine.draws(df, batch, 7, normalise).orderBy("batch_id", "slot").collect()]
             assert got == want, (sizes, at_once)
