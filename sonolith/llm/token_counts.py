@@ -1,10 +1,8 @@
 """Token counts without token ids.
 
-1. Texts are cut into pre-tokens once. Each batch of documents becomes a block. Pre-tokens
-   that the vocabulary file itself lists as whole words (a table bounded by that file, made
-   once on the driver) are summed at once; of the others a block holds the distinct ones, and
-   for each document their positions in that list with their frequencies. The blocks are
-   written to shared storage.
+1. Texts are cut into pre-tokens once. Each batch of documents becomes a block, which holds
+   the distinct pre-tokens and, for each document, their positions in that list with their
+   frequencies. The blocks are written to shared storage.
 2. The blocks' pre-tokens are sorted, and the library counts the pieces of every distinct
    pre-token of the corpus once, where its run begins. A pre-token occurs once a block,
    however many documents hold it, so there are no hot keys.
@@ -30,7 +28,7 @@ from pyspark.sql import functions as F
 from .bpe import PreTokenizer
 from .common import stored, text_of
 
-_BLOCKS = "block long, doc_id array<long>, n_bytes array<long>, base array<long>, start array<int>, entries binary, words array<string>"
+_BLOCKS = "block long, doc_id array<long>, n_bytes array<long>, start array<int>, entries binary, words array<string>"
 #: Documents of one block hold this many characters at most, but for a single longer one.
 BLOCK_CHARS = 24_000_000
 #: Counted pre-tokens that are put together before they go to their blocks.
@@ -48,45 +46,36 @@ def unpacked(data: bytes, columns: int = 2) -> np.ndarray:
     return np.ascontiguousarray(plain.T).view("<u4").reshape(columns, -1).astype(np.int64)
 
 
-def _blocks(path: str, listed: dict[str, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _blocks(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         pre, part, n = PreTokenizer(path), TaskContext.get().partitionId(), 0
-        schema = pa.schema([("block", pa.int64()), *((c, pa.list_(t)) for c, t in (("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("base", pa.int64()), ("start", pa.int32()))), ("entries", pa.binary()), ("words", pa.list_(pa.string()))])
+        schema = pa.schema([("block", pa.int64()), *((c, pa.list_(t)) for c, t in (("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("start", pa.int32()))), ("entries", pa.binary()), ("words", pa.list_(pa.string()))])
         for batch in batches:
             at = 0
             while at < batch.num_rows:
                 place: dict[str, int] = {}
-                ids, sizes, base, start, piece, freq, chars = [], [], [], [0], [], [], 0
+                ids, sizes, start, piece, freq, chars = [], [], [0], [], [], 0
                 while at < batch.num_rows and (not ids or chars < BLOCK_CHARS):
                     text = batch.column(1)[at].as_py()
                     counted = Counter(pre(text))
-                    base.append(sum([n * listed[w] for w, n in counted.items() if w in listed]))
-                    others = [w for w in counted if w not in listed]
-                    at_place = np.fromiter((place.setdefault(w, len(place)) for w in others), np.int64, len(others))
+                    at_place = np.fromiter((place.setdefault(w, len(place)) for w in counted), np.int64, len(counted))
                     order = np.argsort(at_place)
                     piece.append(np.diff(at_place[order], prepend=0))
-                    freq.append(np.fromiter((counted[w] for w in others), np.int64, len(others))[order])
+                    freq.append(np.fromiter(counted.values(), np.int64, len(counted))[order])
                     ids.append(batch.column(0)[at].as_py())
                     sizes.append(len(text.encode()))
-                    start.append(start[-1] + len(others))
+                    start.append(start[-1] + len(counted))
                     chars += len(text)
                     at += 1
-                row = [[(part << 32) + n], [ids], [sizes], [base], [start], [packed(np.concatenate(piece), np.concatenate(freq))], [list(place)]]
+                row = [[(part << 32) + n], [ids], [sizes], [start], [packed(np.concatenate(piece), np.concatenate(freq))], [list(place)]]
                 n += 1
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, schema.types, strict=True)], schema=schema)
 
     return cut
 
 
-def whole_words(path: str) -> dict[str, int]:
-    """Pieces of the pre-tokens that the vocabulary lists as whole words: as many as the file has at most."""
-    pre = PreTokenizer(path)
-    words = pre.listed()
-    return {w: len(ids) for w, ids in zip(words, pre.encode(words), strict=True)}
-
-
 def _pieces(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of rows in the order of their words: by block, packed positions and pieces."""
 
@@ -122,29 +111,29 @@ def _pieces(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in range(batch.num_rows):
-            ids, sizes, base, start = (batch.column(c)[r].values for c in range(4))
+            ids, sizes, start = (batch.column(c)[r].values for c in range(3))
             at = start.to_numpy()
-            delta, freq = unpacked(batch.column(4)[r].as_py())
+            delta, freq = unpacked(batch.column(3)[r].as_py())
             # places add up within each document
             whole = np.concatenate([[0], np.cumsum(delta)])
             piece = whole[1:] - np.repeat(whole[at[:-1]], np.diff(at))
             of = np.zeros(int(piece.max()) + 1 if len(piece) else 1, np.int64)
-            for part in batch.column(5)[r].as_py():
+            for part in batch.column(4)[r].as_py():
                 step, n = unpacked(part)
                 of[np.cumsum(step)] = n
             total = np.concatenate([[0], np.cumsum(of[piece] * freq)])
-            yield pa.RecordBatch.from_pydict({"doc_id": ids, "n_bytes": sizes, "n_tokens": pa.array(base.to_numpy() + total[at[1:]] - total[at[:-1]], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"doc_id": ids, "n_bytes": sizes, "n_tokens": pa.array(total[at[1:]] - total[at[:-1]], pa.int64())})
 
 
 def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens of every document. ``vocabulary``: path of a word-end BPE file, as every worker sees it."""
     cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    blocks = stored(cut.mapInArrow(_blocks(vocabulary, whole_words(vocabulary)), _BLOCKS), "token-blocks")
+    blocks = stored(cut.mapInArrow(_blocks(vocabulary), _BLOCKS), "token-blocks")
     words = blocks.select(F.posexplode("words").alias("pos", "word"), "block").select("word", "block", "pos").repartition("word").sortWithinPartitions("word")
     counted = words.mapInArrow(_pieces(vocabulary), "block long, counts binary").groupBy("block").agg(F.collect_list("counts").alias("counts"))
     joined = blocks.drop("words").join(counted, "block", "left")
     counts = F.coalesce("counts", F.array().cast("array<binary>"))
-    return joined.select("doc_id", "n_bytes", "base", "start", "entries", counts.alias("counts")).mapInArrow(_sums, "doc_id long, n_bytes long, n_tokens long")
+    return joined.select("doc_id", "n_bytes", "start", "entries", counts.alias("counts")).mapInArrow(_sums, "doc_id long, n_bytes long, n_tokens long")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
