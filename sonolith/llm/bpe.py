@@ -46,7 +46,6 @@ class PreTokenizer:
         others = iter(range(256, 512))
         self._letters = [chr(b if b in plain else next(others)) for b in range(256)]
         self._special_ids = {a["content"]: a["id"] for a in spec["added_tokens"]}
-        self._suffix = spec["model"]["end_of_word_suffix"]
         special = [a["content"] for a in spec["added_tokens"]]
         self._special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")")
 
@@ -60,18 +59,6 @@ class PreTokenizer:
             return _FIND(text.lower())
         return [piece for piece, _ in self._split.pre_tokenize_str(self._full.normalizer.normalize_str(text))]
 
-    def listed(self) -> list[str]:
-        """The pre-tokens that the vocabulary lists as whole words."""
-        back = {c: b for b, c in enumerate(self._letters)}
-        found = []
-        for token in self._full.get_vocab():
-            if token.endswith(self._suffix) and len(token) > len(self._suffix):
-                try:
-                    found.append(bytes(back[c] for c in token[: -len(self._suffix)]).decode())
-                except (KeyError, UnicodeDecodeError):
-                    continue
-        return sorted(found)
-
     def encode(self, words: list[str]) -> list[list[int]]:
         """The ids of each pre-token, by the library's model."""
         tokenize, letters = self._model.tokenize, self._letters

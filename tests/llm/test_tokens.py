@@ -25,7 +25,7 @@ def test_ids_are_the_librarys(library):
     for text in HARD:
         assert encode(text) == array("I", library.encode(text, add_special_tokens=False).ids).tobytes(), text
     pre = PreTokenizer(PATH)
-    assert len(pre.listed()) > 20_000 and "the" in pre.listed()
+    assert pre("It's the end") == ["it", "'s", "the", "end"]
 
 
 def test_counts(spark, small, library):
