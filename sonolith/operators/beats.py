@@ -11,13 +11,15 @@ from ..functions import arrays
 from . import events
 
 
-def minimal(rows: DataFrame, by: str, frame: str, beat: str = "beat", downbeat: str = "downbeat", fps: float = 50.0, reach: int = 3) -> DataFrame:
-    """by, kind (beat, downbeat), time: logits above 0 that are the largest within ``reach`` frames; peaks of neighbouring frames as
-    their mean; downbeats at their nearest beat (where there are beats), each once. Null logits are padding."""
+def minimal(rows: DataFrame, by: str, frame: str, beat: str = "beat", downbeat: str = "downbeat", fps: float = 50.0, reach: int = 3, width: float | None = 1.0) -> DataFrame:
+    """by, kind (beat, downbeat), time: logits above 0 that are the largest within ``reach`` frames; peaks of which each lies within
+    ``width`` frames of its run's mean as that mean (None: each peak for itself, also on plateaus); downbeats at their nearest beat
+    (where there are beats), each once. Null logits are padding."""
     found = {}
     for kind, column in (("beat", beat), ("downbeat", downbeat)):
         own = rows.where(F.col(column).isNotNull()).select(by, frame, F.col(column).alias("_v"))
-        merged = events.merge_close(events.peaks(own, by, [frame], "_v", reach), by, frame, 1.0)
+        peaks = events.peaks(own, by, [frame], "_v", reach)
+        merged = peaks if width is None else events.merge_close(peaks, by, frame, width)
         found[kind] = merged.select(by, (F.col(frame) / fps).alias("time"))
     near = events.nearest(found["downbeat"], found["beat"], by, "time")
     down = near.select(by, F.coalesce("nearest", "time").alias("time")).distinct()

@@ -33,3 +33,24 @@ def test_entry():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def _same_as_sql(spark, name, d, table):
+    c = duckdb.connect()
+    c.execute(f"create view {table} as select * from '{d}/{table}.parquet'")
+    df = QUERIES[name](spark, d)
+    columns = sorted(df.columns)
+    found = c.execute(ORACLES[name])
+    names = [x[0] for x in found.description]
+    want = sorted(repr(tuple(r[names.index(x)] for x in columns)) for r in found.fetchall())
+    assert want and sorted(repr(tuple(r[x] for x in columns)) for r in df.collect()) == want
+
+
+def _plateaus(tiny, d):
+    """Every event twice, one after the other, so that peaks have neighbours of the same height."""
+    duckdb.sql(f"copy (select event_id * 2 + k as event_id, ts, user_id, event_type, value, props from '{tiny}/events.parquet', range(2) t(k)) to '{d}/events.parquet'")
+
+
+def test_beats_minimal_on_plateaus(spark, tiny, tmp_path):
+    _plateaus(tiny, tmp_path)
+    _same_as_sql(spark, "beats_minimal", str(tmp_path), "events")
