@@ -115,10 +115,11 @@ def write_wave(rows: DataFrame, folder: str, sr: int) -> int:
     return rows.select("name", "waveform").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
-def output_names(inputs: DataFrame, folder: str, tag: str, path: str = "file_path") -> DataFrame:
-    """Adds output: ``folder/<stem>_<tag>`` for each input; ``clash`` tells which of several inputs of one name would write over another's."""
+def output_names(inputs: DataFrame, folder: str, tag: str, path: str = "file_path", ties: tuple[str, ...] = ()) -> DataFrame:
+    """Adds output: ``folder/<stem>_<tag>`` for each input; ``clash`` tells which of several inputs of one name would write over another's.
+    The first path does not; of inputs with one path, the first by ``ties``, without which it may be any of them."""
     named = inputs.withColumn("output", F.concat(F.lit(folder.rstrip("/") + "/"), globs.stem(F.col(path)), F.lit(f"_{tag}")))
-    return named.withColumn("clash", F.row_number().over(Window.partitionBy("output").orderBy(path)) > 1)
+    return named.withColumn("clash", F.row_number().over(Window.partitionBy("output").orderBy(path, *ties)) > 1)
 
 
 def outstanding(inputs: DataFrame, outputs: DataFrame, key: str) -> DataFrame:

@@ -59,3 +59,12 @@ def test_beats_minimal_on_plateaus(spark, tiny, tmp_path):
 def test_beats_times_on_plateaus(spark, tiny, tmp_path):
     _plateaus(tiny, tmp_path)
     _same_as_sql(spark, "beats_times", str(tmp_path), "events")
+
+
+def test_output_paths_of_equal_urls(spark, tiny, tmp_path):
+    """Of pages with one path the first keeps its output, however the rows lie; no row goes."""
+    duckdb.sql(f"copy (select page_id + 60 * k as page_id, url, html from '{tiny}/pages.parquet', (values (0), (1), (2), (2)) t(k) order by hash(page_id * 7 + k)) to '{tmp_path}/pages.parquet' (row_group_size 10)")
+    rows = QUERIES["output_paths"](spark, str(tmp_path)).collect()
+    n = duckdb.sql(f"select count(*) from '{tiny}/pages.parquet'").fetchall()[0][0]
+    assert len(rows) == 4 * n
+    assert all(r["page_id"] < 60 for r in rows if not r["clash"]) and len({r["output"] for r in rows}) == sum(not r["clash"] for r in rows)
