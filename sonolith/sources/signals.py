@@ -1,9 +1,9 @@
 """Long PCM files cut by byte ranges: ``windows`` for a scanned table of files, ``format("signal_windows")`` for folders.
 
-A file is the work of many tasks. Each reads the header first, by a range of a few bytes, takes its share of the file's
-windows and reads the frames that those span, a few megabytes at a time; no array holds a file. Wave (also RF64 and the extensible
-form) and AIFF / AIFC files are read: integers of 8 to 32 bits and floats. A file that cannot be
-read gives one row that says why in ``problem``, and no windows.
+A long file is the work of many tasks; small files share them. A task reads a file's header first, by a range of a few
+bytes, takes its share of the file's windows and reads the frames that those span, a few megabytes at a time; no array
+holds a file. Wave (also RF64 and the extensible form) and AIFF / AIFC files are read: integers of 8 to 32 bits and
+floats. A file that cannot be read gives one row that says why in ``problem``, and no windows.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ if TYPE_CHECKING:
 
 #: Bytes of a file that one task reads, and of frames that it holds.
 SPLIT, HELD = 64 << 20, 4 << 20
+#: Small ranges share a task: so many of at most so many bytes.
+SHARED, SMALL = 64, 64 << 10
 SCHEMA = "file_path string, sr int, channels int, n_frames long, start long, waveform array<array<float>>, problem string"
 _ARROW = pa.schema([("file_path", pa.string()), ("sr", pa.int32()), ("channels", pa.int32()), ("n_frames", pa.int64()), ("start", pa.int64()), ("waveform", pa.list_(pa.list_(pa.float32()))), ("problem", pa.string())])
 Read = Callable[[int, int], bytes]
@@ -195,10 +197,11 @@ def _uri() -> Column:
 
 
 def windows(files: DataFrame, cutting: Windows, low: int = 0, high: int | None = None, split: int = SPLIT) -> DataFrame:
-    """SCHEMA and root, for files (root, file_path, relative, length) as ``scan(content=False)`` gives them: dealt by byte ranges, one a task."""
+    """SCHEMA and root, for files (root, file_path, relative, length) as ``scan(content=False)`` gives them: dealt by byte ranges, about one a task, of small ones SHARED."""
     parts = F.greatest(F.ceil(F.col("length") / split), F.lit(1)).cast("int")
-    named = files.select("root", _uri().alias("uri"), "file_path", parts.alias("parts"))
-    total = named.agg(F.sum("parts")).first()[0] or 1
+    named = files.select("root", _uri().alias("uri"), "file_path", parts.alias("parts"), (F.col("length") / parts <= SMALL).alias("small"))
+    large, small = named.agg(*(F.coalesce(F.sum(F.when(which, F.col("parts"))), F.lit(0)) for which in (~F.col("small"), F.col("small")))).first()
+    tasks = max(1, large + -(-small // SHARED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,7 +210,7 @@ def windows(files: DataFrame, cutting: Windows, low: int = 0, high: int | None =
                     yield some.append_column("root", pa.array([r["root"]] * some.num_rows, pa.string()))
 
     ranges = named.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return ranges.repartition(int(total)).mapInArrow(run, SCHEMA + ", root string")
+    return ranges.repartition(tasks).mapInArrow(run, SCHEMA + ", root string")
 
 
 def problems(files: DataFrame) -> DataFrame:
@@ -228,14 +231,25 @@ def problems(files: DataFrame) -> DataFrame:
     return files.select(_uri().alias("uri"), "file_path").mapInArrow(run, "file_path string, problem string")
 
 
-@dataclasses.dataclass
-class _Range(InputPartition):
+@dataclasses.dataclass(frozen=True)
+class _Range:
     uri: str
     name: str
     part: int
     parts: int
 
 
+@dataclasses.dataclass
+class _Task(InputPartition):
+    """A large range, or small ones of several files."""
+
+    ranges: list[_Range]
+
+    @property
+    def name(self) -> str:
+        return self.ranges[0].name
+
+
 class SignalWindows(DataSource):
     """Options: path; windows (the fields of ``Windows`` as JSON); include, exclude (a glob each); split_bytes. Comparisons of ``start`` and equality of ``file_path`` are pushed down."""
 
@@ -270,12 +284,12 @@ class _Reader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[_Range]:
+    def partitions(self) -> list[_Task]:
         root, split = self.options["path"].rstrip("/"), int(self.options.get("split_bytes", SPLIT))
         system, path = opened(root)
         fits = [re.compile(globs.file_regex(self.options[o])) if self.options.get(o) else None for o in ("include", "exclude")]
         known = re.compile(globs.extension_regex())
-        out = []
+        out, small = [], []
         for f in sorted(system.get_file_info(fs.FileSelector(path, recursive=True)), key=lambda f: f.path):
             relative = f.path[len(path) :].lstrip("/")
             name = f"{path.rsplit('/', 1)[-1]}/{relative}"
@@ -283,14 +297,19 @@ class _Reader(DataSourceReader):
             if not wanted or (fits[0] and not fits[0].search(relative)) or (fits[1] and fits[1].search(relative)):
                 continue
             parts = max(1, -(-f.size // split))
-            out += [_Range(f"{root}/{relative}", name, k, parts) for k in range(parts)]
-        return out
+            ranges = [_Range(f"{root}/{relative}", name, k, parts) for k in range(parts)]
+            if f.size > parts * SMALL:
+                out += [_Task([r]) for r in ranges]
+            else:
+                small += ranges
+        return out + [_Task(small[k : k + SHARED]) for k in range(0, len(small), SHARED)]
 
-    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _Task) -> Iterator[pa.RecordBatch]:
         from ..operators.fragment import Windows
 
         cutting = Windows(**json.loads(self.options["windows"]))
-        yield from cut(partition.uri, partition.name, cutting, partition.part, partition.parts, self.low, self.high)
+        for r in partition.ranges:
+            yield from cut(r.uri, r.name, cutting, r.part, r.parts, self.low, self.high)
 
 
 def source(spark: SparkSession, path: str, cutting: Windows, **options) -> DataFrame:

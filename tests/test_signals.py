@@ -124,3 +124,23 @@ def test_datasets_by_ranges_equal_those_of_whole_files(spark, tmp_path):
         from sonolith.operators import registry
 
         dataset.preprocess(spark, [str(tmp_path / "ds")], str(tmp_path / "x"), Windows(100), features=[registry.Feature("a", F.array_max, pre_chunk=lambda d: d)], dir_parser="ranges")
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    root = tmp_path / "ds"
+    root.mkdir()
+    for k in range(200):
+        (root / f"{k}.wav").write_bytes(wav(X[:, : 100 + k], 8000, 2, 2))
+    (root / "bad.wav").write_bytes(b"nothing")
+    cutting = Windows(64, hop=32)
+    reader = signals._Reader({"path": str(root), "windows": json.dumps(dataclasses.asdict(cutting)), "split_bytes": 700})
+    tasks = reader.partitions()
+    held = [(r.name, r.part) for t in tasks for r in t.ranges]
+    assert len(tasks) == -(-len(held) // signals.SHARED) and len(held) == len(set(held)) > 300
+    want = sorted((f"ds/{k}.wav", start) for k in range(200) for start in range(0, 100 + k - 63, 32))
+    ours = signals.source(spark, str(root), cutting, split_bytes=700).where("start is not null")
+    assert sorted(map(tuple, ours.select("file_path", "start").collect())) == want
+    found = signals.windows(files.scan(spark, [str(root)], content=False), cutting, split=700)
+    assert found.rdd.getNumPartitions() <= len(tasks)
+    assert sorted(map(tuple, found.where("start is not null").select("file_path", "start").collect())) == want
+    assert [r.problem for r in found.where("problem is not null").collect()] == ["neither wave nor AIFF"]
