@@ -353,3 +353,45 @@ def test_command_line(spark, tmp_path):
     assert "ds/T0/a.wav\t7" in said and "\tloudness" not in said and '"frag_key":"000000001"' in said
     with pytest.raises(KeyError):
         call("update", "--path", out, "--feature", "nope")
+
+
+def plain_viterbi(observed, voiced, bins, reach, switch):
+    states = [(v, b) for v in (0, 1) for b in range(bins)]
+    with np.errstate(divide="ignore"):
+        seen = np.log(np.array([[o[b] if v == 0 else (1 - p) / bins for v, b in states] for o, p in zip(observed, voiced)]))
+    score, back = seen[0] - np.log(2 * bins), []
+    for row in seen[1:]:
+        step = lambda a, b: np.log((reach + 1 - abs(a[1] - b[1])) / (reach + 1) ** 2) + np.log(1 - switch if a[0] == b[0] else switch) if abs(a[1] - b[1]) <= reach else -np.inf
+        every = np.array([[score[k] + step(a, b) for k, a in enumerate(states)] for b in states])
+        back.append(every.argmax(axis=1))
+        score = every.max(axis=1) + row
+    return score.max(), seen
+
+
+@pytest.mark.parametrize("reach", [1, 3, 10, 11, 12, 40])
+def test_viterbi_against_all_steps(reach):
+    rng = np.random.default_rng(reach)
+    for share in (0.1, 0.5, 1.0):
+        bins = 12
+        observed = rng.random((5, bins)) / bins * (rng.random((5, bins)) < share)
+        voiced = observed.sum(axis=1)
+        best, ok = dsp._viterbi(observed, voiced, bins, reach, 0.1)
+        most, seen = plain_viterbi(observed, voiced, bins, reach, 0.1)
+        total = seen[0][best[0]] - np.log(2 * bins)
+        for t in range(1, 5):
+            (u, a), (v, b) = divmod(best[t - 1], bins), divmod(best[t], bins)
+            assert ok and abs(a - b) <= reach
+            total += np.log((reach + 1 - abs(a - b)) / (reach + 1) ** 2) + np.log(0.9 if u == v else 0.1) + seen[t][best[t]]
+        assert abs(total - most) < 1e-9
+
+
+def test_viterbi_needs_no_more_than_its_bins():
+    """A reach beyond all bins costs no more than the bins do."""
+    import tracemalloc
+
+    observed = np.random.default_rng(0).random((3, 100)) / 200
+    tracemalloc.start()
+    dsp._viterbi(observed, observed.sum(axis=1), 100, 50_000, 0.01)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8 << 20
